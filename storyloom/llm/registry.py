@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from storyloom.llm.bpe import op4_bpe
+from storyloom.llm.packing import op9_packing
 from storyloom.llm.pii import op1_pii
+from storyloom.llm.simhash import op3_simhash
+from storyloom.llm.substrings import op10_substrings
 
-QUERIES = {"op1_pii": op1_pii, "op4_bpe": op4_bpe}
+QUERIES = {"op1_pii": op1_pii, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_packing": op9_packing, "op10_substrings": op10_substrings}
 ORACLES: dict[str, str] = {}
