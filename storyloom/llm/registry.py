@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from storyloom.llm.bpe import op4_bpe
+from storyloom.llm.chat import op5_chat
 from storyloom.llm.packing import op9_packing
 from storyloom.llm.pii import op1_pii
+from storyloom.llm.quality import op8_quality
 from storyloom.llm.simhash import op3_simhash
+from storyloom.llm.sketches import op7_fingerprints
 from storyloom.llm.substrings import op10_substrings
 
-QUERIES = {"op1_pii": op1_pii, "op3_simhash": op3_simhash, "op4_bpe": op4_bpe, "op9_packing": op9_packing, "op10_substrings": op10_substrings}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_simhash": op3_simhash,
+    "op4_bpe": op4_bpe,
+    "op5_chat": op5_chat,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
+}
 ORACLES: dict[str, str] = {}
