@@ -10,12 +10,14 @@ from storyloom.llm.quality import op8_quality
 from storyloom.llm.simhash import op3_simhash
 from storyloom.llm.sketches import op7_fingerprints
 from storyloom.llm.substrings import op10_substrings
+from storyloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
