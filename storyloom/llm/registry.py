@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from storyloom.llm.archive import op2_archive
 from storyloom.llm.bpe import op4_bpe
 from storyloom.llm.chat import op5_chat
 from storyloom.llm.packing import op9_packing
@@ -14,6 +15,7 @@ from storyloom.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_archive": op2_archive,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,

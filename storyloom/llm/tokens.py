@@ -14,6 +14,7 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -64,10 +65,21 @@ class ChunkCodes:
         split = [t.lower().split() for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list(dict.fromkeys(c for chunks in split for c in chunks if c not in memo))
-        memo.update(zip(new, self.encode_new(new)))
-        return [[memo[c] for c in chunks] for chunks in split]
+        new = list(set(chain.from_iterable(split)).difference(self.memo))
+        self.memo.update(zip(new, self.encode_new(new)))
+        of = self.memo.__getitem__
+        return [list(map(of, chunks)) for chunks in split]
+
+
+class _Chunks(dict):
+    """Chunk -> ids, as bytes; a missing one is encoded word by word."""
+
+    def __init__(self, words: re.Pattern, word: Callable[[str], bytes]):
+        self.words, self.word = words.findall, word
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self[chunk] = b"".join(map(self.word, self.words(chunk)))
+        return found
 
 
 class Encoder:
@@ -85,7 +97,7 @@ class Encoder:
         self.lib.no_padding()
         self.model, self.words, self.alphabet = self.lib.model, word_pattern(), byte_alphabet()
         self.memo: dict[str, bytes] = {}
-        self.chunks = ChunkCodes(self._new)
+        self.chunks = _Chunks(self.words, self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -93,22 +105,22 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
             mapped = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
             ids = [t.id for t in self.model.tokenize(mapped)]
             found = self.memo[word] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        return [b"".join([self._word(w) for w in self.words.findall(c)]) for c in chunks]
+    def text(self, text: str | None) -> bytes:
+        """The ids of a text, as bytes; a null text has none."""
+        if not text:
+            return b""
+        return b"".join(map(self.chunks.__getitem__, text.lower().split())) if plain(text) else self._whole(text)
 
     def block(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as bytes; a null text has none."""
-        texts = [t or "" for t in texts]
-        easy = [plain(t) for t in texts]
-        fast = iter(self.chunks.block([t for t, e in zip(texts, easy) if e]))
-        return [b"".join(next(fast)) if e else self._whole(t) for t, e in zip(texts, easy)]
+        for memo in (self.memo, self.chunks):
+            if len(memo) > MEMO:
+                memo.clear()
+        return [self.text(t) for t in texts]
 
 
 _WORKER: dict[str, Encoder] = {}

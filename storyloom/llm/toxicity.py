@@ -50,7 +50,7 @@ HIDES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "%": "", "#": "", "*": "aeiou",
 }
-SUBSTITUTE, DROP, DROP_DIGIT, SHORTEN, BREAK = 1.0, 1.5, 4.0, 0.5, 2.0
+SUBSTITUTE, DROP, DROP_DIGIT, SHORTEN, BREAK = 1.0, 1.5, 8.0, 0.5, 2.0
 
 _PIECES = re.compile(r"[^\W\d_]+")
 _EDGES = re.compile(r"^[^\w@$(<|+!€£]+|[^\w@+€£]+$")
