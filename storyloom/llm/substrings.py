@@ -8,12 +8,12 @@ shortest run backward, of at least two sentences and at least MIN_WORDS words. E
 words); spans of equal hash are copies, the first is the one of the least (doc_id, position), and every sentence that
 some non-first copy covers is removed. What is shorter than a span (common words, headings, stock lines) stays.
 
-The spans' first places are found by an aggregation that combines on the map side, so a passage that a third of all
-documents share is one row per task; the join back splits such a key as any skewed join does. Only documents that lose
-something take part in the rebuilding, the others are passed through by the same join.
+Spans are shuffled once. Of a hash's copies within a chunk of spans only the first goes to where the hash's first copy
+is decided, the others are known as repeats and spread by keys of their own; so a passage that a third of all documents
+share meets as one row per chunk. Only repeats go on to the rebuilding of their documents.
 
-Defined results: a null text stays null, an empty or blank one unchanged; rows that repeat a doc_id count as one document's
-repeats in order of their text; rows with a null doc_id are left alone and are nobody's first. A very long text without
+Defined results: a null text stays null, an empty or blank one unchanged; rows that repeat
+a doc_id and its text are one document, rows that share a doc_id alone are ordered by their text's CRC-32; rows with a null doc_id are left alone and are nobody's first. A very long text without
 sentence ends is cut at hashed words like any long sentence.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm.common import arrow_map, table
@@ -31,6 +31,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG = 24  # words; a longer sentence is cut further
 CUT_ONE_IN = 8
+CHUNK = 200_000  # spans
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
@@ -95,44 +96,63 @@ def spans(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
 
 
 def hashed_spans(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, row, first, last) of every span; `row` tells rows of one doc_id apart."""
+    """(key, h2, doc_id, place, size) of every span: the hash's halves, the document, the place (which row of that doc_id,
+    which sentence; ascending in reading order) and the number of sentences.
+
+    Spans are gathered CHUNK at a time, and of a hash's copies within a chunk only the first competes for being the first
+    of all; the others are repeats already. They get a negative size and a key of their own, so that they spread."""
 
     def run(blocks):
         import numpy as np
         import xxhash
 
+        held: list[tuple] = []
+        digests: list[bytes] = []
+
+        def chunk():
+            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            doc, place, size = (np.array(x, np.int64) for x in zip(*held))
+            key, h2 = h[:, 0].copy(), h[:, 1].copy()
+            order = np.lexsort((place, doc, h2, key))
+            like = lambda *cols: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in cols])
+            order = order[np.r_[True, ~like(key, h2, doc, place)]]  # a repeated row is the same document
+            repeat = order[np.r_[False, like(key, h2)]]
+            size[repeat] *= -1
+            key[repeat] ^= (doc[repeat] * 0x9E3779B1) ^ (place[repeat] * 0x85EBCA6B)
+            return {"key": key[order], "h2": h2[order], "doc_id": doc[order], "place": place[order], "size": size[order]}
+
         for ids, texts in blocks:
-            out = {k: [] for k in ("doc_id", "row", "first", "last")}
-            digests = []
             for i, text in zip(ids, texts):
                 if i is None or not text:
                     continue
                 found = sentences(text)
-                row = zlib.crc32(text.encode())
+                row = zlib.crc32(text.encode()) << 31
                 lines = [" ".join(w) for _, _, w in found]
                 for a, b in spans(found):
-                    digests.append(xxhash.xxh3_128_digest(" ".join(lines[a : b + 1]).encode()))
-                    out["doc_id"].append(i)
-                    out["row"].append(row)
-                    out["first"].append(a)
-                    out["last"].append(b)
-            halves = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            yield {"h1": halves[:, 0], "h2": halves[:, 1], **out}
+                    digests.append(xxhash.xxh3_128_digest(" ".join(lines[a : b + 1])))
+                    held.append((i, row + a, b - a + 1))
+            if len(held) >= CHUNK:
+                yield chunk()
+                held, digests = [], []
+        if held:
+            yield chunk()
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "h1 long, h2 long, doc_id long, row long, first int, last int", 256)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "key long, h2 long, doc_id long, place long, size int", 256)
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, row, covered): the sentence ranges of each document that non-first copies cover, as an array of structs."""
-    every = hashed_spans(docs)
-    place = F.struct("doc_id", "row", "first")
-    firsts = every.groupBy("h1", "h2").agg(F.min(place).alias("head"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    later = every.join(firsts, ["h1", "h2"]).where(place != F.col("head"))
-    return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("covered"))
+    # A hash has one competing row per chunk, so its group is small; repeats known as such stand alone.
+    every = hashed_spans(docs).repartition("key")
+    rank = F.rank().over(Window.partitionBy("key", "h2", F.col("size") > 0).orderBy("doc_id", "place"))
+    later = every.withColumn("rank", rank).where("rank > 1 or size < 0")
+    first = F.col("place").bitwiseAND(F.lit((1 << 31) - 1))
+    later = later.select("doc_id", F.shiftright("place", 31).alias("row"), F.struct(first.cast("int").alias("first"), (first + F.abs("size") - 1).cast("int").alias("last")).alias("span"))
+    return later.groupBy("doc_id", "row").agg(F.collect_set("span").alias("covered"))
 
 
-def _without(text: str, covered: list[dict]) -> tuple[str, int, int, str]:
-    """The text without the sentences covered, how many there were and are gone, and the removed ranges."""
+def _without(text: str, covered: list[dict]) -> tuple[str, int, str]:
+    """The text without the sentences covered, how many are gone, and the removed ranges."""
     found = sentences(text)
     gone = [False] * len(found)
     for c in covered:
@@ -153,12 +173,13 @@ def _without(text: str, covered: list[dict]) -> tuple[str, int, int, str]:
                 at += 1
         k += 1
     out.append(text[at:])
-    return "".join(out), len(found), sum(gone), ",".join(ranges)
+    return "".join(out), sum(gone), ",".join(ranges)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated spans removed from `text`, `n_chars` (where present) brought up to date, and the added
-    columns n_sentences, n_removed, removed (ranges start:end of the text as it was)."""
+def remove_repeats(docs: DataFrame, report: bool = True) -> DataFrame:
+    """`docs` with repeated spans removed from `text` and `n_chars` (where present) brought up to date; with `report` also
+    n_removed and removed (sentences, and ranges start:end of the text as it was), in place of columns so called."""
+    docs = docs.drop("n_removed", "removed") if report else docs
     names = docs.columns
     repeats = repeated_sentences(docs).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.col("covered").alias("__covered"))
     row = F.crc32(F.encode("text", "UTF-8"))
@@ -168,14 +189,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for cols in blocks:
             out = dict(zip([*names, "__covered"], cols))
             covered = out.pop("__covered")
-            done = [_without(t, c) if c and t else (t, None if t is None else len(sentences(t)), 0, "") for t, c in zip(out["text"], covered)]
+            done = [_without(t, c) if c and t else (t, 0, "") for t, c in zip(out["text"], covered)]
             out["text"] = [d[0] for d in done]
             if "n_chars" in out:
                 out["n_chars"] = [n if d[0] is None else len(d[0]) for n, d in zip(out["n_chars"], done)]
-            yield out | {"n_sentences": [d[1] for d in done], "n_removed": [d[2] for d in done], "removed": [d[3] for d in done]}
+            yield out | ({"n_removed": [d[1] for d in done], "removed": [d[2] for d in done]} if report else {})
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(joined, run, f"{ddl}, n_sentences int, n_removed int, removed string", 256)
+    return arrow_map(joined, run, f"{ddl}, n_removed int, removed string" if report else ddl, 256)
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
