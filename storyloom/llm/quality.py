@@ -126,8 +126,9 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that are kept, with their columns as they were."""
-    return assess(docs, labels, threshold).where("kept").select(docs.columns)
+    """The rows of `docs` that are kept, with their columns as they were, whatever these are called."""
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
+    return assess(packed, labels, threshold).where("kept").select("__row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
