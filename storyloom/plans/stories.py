@@ -153,24 +153,23 @@ def weighted_jaccard_pairs(spark, sf_dir):
     k = k.select("id", "us", "tt", F.array_union("tt", "te").alias("ct"))
     n = k.agg(F.count("*").alias("n"))
     df = k.select(F.explode("ct").alias("token")).groupBy("token").agg(F.count("*").alias("df")).withColumn("w", F.lit(1.0) + F.log((n.scalar() + 1) / (F.col("df") + 1)))
-    long = k.select("id", "us", F.explode("ct").alias("token"), "tt").join(df, "token")
-    rows = long.groupBy("id", "us").agg(F.collect_list(F.struct("token", "w", F.array_contains("tt", F.col("token")).alias("t"))).alias("toks"))
-    rows = rows.select("id", "us", "toks", F.transform("toks", lambda x: x["token"]).alias("names"))
+    # A token carries its weight in its name, so that shared tokens are found by hashing whole strings and only those
+    # shared are read again; what does not depend on the other side is summed up before the pairs are made.
+    named = F.concat_ws("|", "token", F.col("w").cast("string"))
+    long = k.select("id", "us", F.explode("ct").alias("token"), "tt").join(df, "token").select("id", "us", "w", named.alias("named"), F.array_contains("tt", F.col("token")).alias("t"))
+    rows = long.groupBy("id", "us").agg(
+        F.collect_list("named").alias("ctx"), F.collect_list(F.when(F.col("t"), F.col("named"))).alias("ttl"), F.sum("w").alias("wc"), F.sum(F.when(F.col("t"), F.col("w")).otherwise(0.0)).alias("wt")
+    )
     p = P.band_pairs(rows, "id", "us", 48 * P.HOUR)
-    # Shared tokens of a, with what b says of them.
-    total = lambda side, keep: F.aggregate(F.filter(f"{side}_toks", keep), F.lit(0.0), lambda s, x: s + x["w"])
-    b_title = F.transform(F.filter("b_toks", lambda x: x["t"]), lambda x: x["token"])
-    p = p.withColumn("b_title", b_title).withColumn("a_title", F.transform(F.filter("a_toks", lambda x: x["t"]), lambda x: x["token"]))
-    both = F.filter("a_toks", lambda x: F.array_contains("b_names", x["token"]))
-    p = p.withColumn("both", both).withColumn("both_title", F.filter("a_toks", lambda x: x["t"] & F.array_contains("b_title", x["token"])))
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["w"])
+    p = p.withColumn("both", F.array_intersect("a_ctx", "b_ctx")).withColumn("both_title", F.array_intersect("a_ttl", "b_ttl"))
+    weight = lambda x: F.substring_index(x, "|", -1).cast("double")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + weight(x))
     p = p.select(
-        F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.abs(F.col("a_us") - F.col("b_us")) / P.HOUR).alias("hours"),
-        add("both").alias("ci"), (total("a", lambda x: F.lit(True)) + total("b", lambda x: F.lit(True)) - add("both")).alias("cu"),
-        add("both_title").alias("ti"), (total("a", lambda x: x["t"]) + total("b", lambda x: x["t"]) - add("both_title")).alias("tu"),
-        F.size("both_title").alias("shared_title"), F.size("both").alias("shared_context"),
-        F.size(F.filter("both", lambda x: (F.length(x["token"]) >= 4) & (x["w"] >= 1.35))).alias("shared_salient"),
+        F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.abs(F.col("a_us") - F.col("b_us")) / P.HOUR).alias("hours"), "a_wc", "b_wc", "a_wt", "b_wt",
+        add("both").alias("ci"), add("both_title").alias("ti"), F.size("both_title").alias("shared_title"), F.size("both").alias("shared_context"),
+        F.size(F.filter("both", lambda x: (F.length(F.substring_index(x, "|", 1)) >= 4) & (weight(x) >= 1.35))).alias("shared_salient"),
     )
+    p = p.withColumn("cu", F.col("a_wc") + F.col("b_wc") - F.col("ci")).withColumn("tu", F.col("a_wt") + F.col("b_wt") - F.col("ti"))
     share = lambda i, u: F.when(F.col(u) > 0, F.col(i) / F.col(u)).otherwise(0.0)
     p = p.withColumn("t", share("ti", "tu")).withColumn("c", share("ci", "cu"))
     score = F.least(F.lit(1.0), F.lit(0.6) * F.col("t") + F.lit(0.4) * F.col("c") + F.least(F.lit(0.24), F.lit(0.08) * F.col("shared_salient")))

@@ -22,15 +22,17 @@ ALIASES = [
     ("marseille", "keiten", "strong"),
     ("marseille", "idiot", "weak"),
 ]
-_VALUES = ", ".join(f"('{t}', '{a}', '{s}')" for t, a, s in ALIASES)
 _B = r"[^\p{L}\p{N}]"
-_COUNT = lambda field: f"CASE WHEN {field} = '' THEN 0 ELSE len(regexp_extract_all({field}, '(?i)(^|{_B})' || alias || '({_B}|$)')) END"
+_COUNT = lambda field, a: f"len(regexp_extract_all({field}, '(?i)(^|{_B}){a}({_B}|$)'))"
 _WS = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _COMPACT = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '{_WS}+', ' ', 'g'))"
-_EVIDENCE = f"""{ARTICLES_SQL}, al(topic, alias, strength) AS (VALUES {_VALUES}),
+_PER_ALIAS = " UNION ALL ".join(
+    f"SELECT id, '{t}' AS topic, '{a}' AS alias, '{s}' AS strength, {_COUNT('title', a)} AS title, {_COUNT('excerpt', a)} AS excerpt, {_COUNT('substr(body, 1, 900)', a)} AS lead, {_COUNT('body', a)} AS body, {_COUNT('substr(body, 901)', a)} AS after FROM c"
+    for t, a, s in ALIASES
+)
+_EVIDENCE = f"""{ARTICLES_SQL},
  c AS (SELECT id, {_COMPACT('title')} AS title, {_COMPACT('excerpt')} AS excerpt, {_COMPACT('content')} AS body FROM art),
- e AS (SELECT id, topic, alias, strength, {_COUNT('title')} AS title, {_COUNT('excerpt')} AS excerpt, {_COUNT('substr(body, 1, 900)')} AS lead,
-   {_COUNT('body')} AS body, {_COUNT('substr(body, 901)')} AS after FROM c, al),
+ e AS ({_PER_ALIAS}),
  g AS (SELECT id, topic, bool_or(strength = 'strong' AND title > 0) AS st, bool_or(strength = 'strong' AND excerpt > 0) AS se, bool_or(strength = 'strong' AND lead > 0) AS sl,
    bool_or(strength = 'strong' AND after > 0) AS sb, arg_min(body, struct_pack(a := -length(alias), b := alias)) FILTER (strength = 'strong' AND after > 0) AS sbn,
    bool_or(strength = 'weak' AND title > 0) AS wt, bool_or(strength = 'weak' AND excerpt > 0) AS we, bool_or(strength = 'weak' AND lead > 0 AND after = 0) AS wl FROM e GROUP BY 1, 2),
