@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from storyloom.operators import vocabulary as V
 
 MOST_SEGMENTS, MOST_PEOPLE, MOST_CLUBS, MOST_TOKENS, MOST_TEXT, MOST_FRAGMENTS = 60, 3, 4, 24, 1800, 8
-VERSION = "events-1"
 
 
 @lru_cache(maxsize=None)
@@ -341,10 +340,16 @@ def _join_by_matter(events: list[Event], heroes: list[str]) -> list[Event]:
     return list(out.values())
 
 
-def identity(article_id: str, e: Event) -> str:
-    """The same for the same matter however its people and clubs are ordered; the text around it does not count."""
-    parts = {"article": str(article_id), "family": e.family, "people": sorted(map(norm, e.people)), "clubs": sorted(map(norm, e.clubs)), "from": norm(e.club_from or ""), "to": norm(e.club_to or ""), "anchor": norm(e.anchor or ""), "version": VERSION}
-    return hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()
+def identity(article_id, title: str | None, e: Event) -> str:
+    """The same for the same event however its people, clubs and tokens are ordered; title and evidence count, the
+    dictionary it was found with does not."""
+    parts = {
+        "title": (title or "").strip(), "family": e.family, "stage": e.stage or "unknown", "people": sorted(map(norm, e.people)), "clubs": sorted(map(norm, e.clubs)),
+        "from": norm(e.club_from or ""), "to": norm(e.club_to or ""), "competition": e.competition, "anchor": e.anchor, "opponents": sorted(map(norm, e.opponents)),
+        "kind": e.kind, "fragments": e.fragments, "tokens": sorted(e.tokens),
+    }
+    inner = hashlib.sha256(json.dumps(parts, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    return hashlib.sha256(f"event:v1\0{article_id}\0{inner}".encode()).hexdigest()
 
 
 SCHEMA = (
@@ -362,7 +367,7 @@ def extract(articles: DataFrame, context: Context | None = None) -> DataFrame:
             rows = []
             for i, t, x, c in zip(pdf.id, pdf.title, pdf.excerpt, pdf.content):
                 for e in extract_article(t, x, c, context):
-                    rows.append((i, identity(i, e), e.family, e.stage, e.people, e.clubs, e.club_from, e.club_to, e.competition, e.anchor, e.opponents, e.kind, e.segment, e.text, len(e.fragments), e.tokens))
+                    rows.append((i, identity(i, t, e), e.family, e.stage, e.people, e.clubs, e.club_from, e.club_to, e.competition, e.anchor, e.opponents, e.kind, e.segment, e.text, len(e.fragments), e.tokens))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return articles.select("id", "title", "excerpt", "content").mapInPandas(run, SCHEMA)

@@ -207,7 +207,8 @@ def test_people_guards():
 def test_identity_ignores_order():
     a, b = (events("Ibrahim Mbaye quitte le PSG et file à Aston Villa. Officiel.")[0] for _ in range(2))
     b.clubs.reverse()
-    assert X.identity("1", a) == X.identity("1", b) != X.identity("2", a)
+    assert X.identity("1", "t", a) == X.identity("1", "t", b)
+    assert len({X.identity("1", "t", a), X.identity("2", "t", a), X.identity("1", "u", a)}) == 3
 
 
 def test_extract_table(spark):
@@ -236,3 +237,107 @@ def test_stream_replay(spark, tmp_path):
     assert n >= 1 and spark.read.parquet(str(tmp_path / "out")).count() == 30
     jobs.drain(stream(), lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_role_contract(spark):
+    from storyloom.operators import review
+
+    good = '```json\n{"role": "subject", "confidence": 0.87654, "rationale": "ok"}\n```'
+    assert review.parse_role(good) == {"role": "subject", "confidence": 0.877, "rationale": "ok"}
+    bad = ['{"role": "x", "confidence": 1, "rationale": "a"}', '{"role": "unclear", "confidence": 1.2, "rationale": "a"}', '{"role": "unclear", "confidence": 1, "rationale": ""}', "{oops", None]
+    rows = spark.createDataFrame([(x,) for x in [good, *bad]], "raw string").select(review.parse_roles("raw").alias("p")).collect()
+    assert [r.p.error for r in rows] == [None, "invalid_role", "invalid_confidence", "invalid_rationale", "invalid_json", "invalid_json"]
+
+
+@pytest.mark.parametrize(
+    "change, code",
+    [
+        ({}, None),
+        ({"decision": "join"}, "invalid_ai_decision"),
+        ({"confidence": 2}, "invalid_ai_confidence"),
+        ({"rationale": "x" * 701}, "invalid_ai_rationale"),
+        ({"evidence_event_ids": "e"}, "invalid_ai_evidence_ids"),
+        ({"story_id": "s9"}, "ai_story_not_in_candidate_set"),
+        ({"evidence_event_ids": []}, "ai_attach_without_evidence"),
+        ({"evidence_event_ids": ["m1"]}, "ai_attach_missing_new_event_evidence"),
+        ({"evidence_event_ids": ["e"]}, "ai_attach_missing_story_evidence"),
+        ({"story_id": "s2", "evidence_event_ids": ["e", "m2"]}, "ai_attach_club_pair_mismatch"),
+        ({"decision": "unsure"}, "ai_non_attach_has_story_id"),
+        ({"decision": "unsure", "story_id": None, "evidence_event_ids": ["z"]}, "ai_unknown_evidence_event"),
+    ],
+)
+def test_arbitration_contract(change, code):
+    import json
+
+    from storyloom.operators import review
+
+    answer = {"decision": "attach", "story_id": "s1", "confidence": 0.9, "rationale": "r", "evidence_event_ids": ["e", "m1"]} | change
+    args = "e", {"s1": ["m1"], "s2": ["m2"]}, {"e": ["PSG", "OM"], "m1": ["OM", "psg"], "m2": ["OL", "OM"]}
+    if code is None:
+        assert review.parse_arbitration({"response": json.dumps(answer)}, *args)["story_id"] == "s1"
+    else:
+        with pytest.raises(ValueError, match=code):
+            review.parse_arbitration(answer, *args)
+
+
+def test_snapshots_and_representatives(spark):
+    from storyloom.operators import review
+
+    c = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1), ("d", 1, 1)], "story_id string, member_count int, revision int")
+    s = spark.createDataFrame([("a", "active", None, 1, 1), ("b", "active", None, 2, 1), ("c", "merged", "a", 1, 1)], "story_id string, status string, merged_into string, member_count int, revision int")
+    assert {r.story_id: r.state for r in review.snapshot_state(c, s).collect()} == {"a": "valid", "b": "candidate_snapshot_changed", "c": "candidate_story_inactive", "d": "candidate_story_inactive"}
+    cand = spark.createDataFrame([("e", f"s{i}", i / 10) for i in range(6)], "event_id string, story_id string, hybrid double")
+    mem = spark.createDataFrame([(f"s{i}", f"m{k}", k) for i in range(6) for k in range(5)], "story_id string, member_id string, rank int")
+    got = review.representatives(cand, mem).collect()
+    assert len(got) == 12 and {r.story_id for r in got} == {"s5", "s4", "s3", "s2"} and {r.member_id for r in got} == {"m0", "m1", "m2"}
+
+
+def test_gates(spark):
+    from storyloom.operators import review
+
+    names = "family string, people array<string>, clubs array<string>, relations array<string>, opponents array<string>, anchor string, procedure string, competition string"
+    schema = "pair_id string, " + ", ".join(f"{s}_{n}" for s in "ab" for n in names.split(", "))
+    side = lambda family, people=(), clubs=(), anchor=None, competition=None, opponents=(): (family, list(people), list(clubs), [], list(opponents), anchor, None, competition)
+    rows = [
+        ("1", *side("transfer", ["p"], ["c"]), *side("contract", ["p"], ["c"])),
+        ("2", *side("transfer", ["p"], ["c"]), *side("injury", ["p"], ["c"])),
+        ("3", *side("match", clubs=["c", "d"], anchor="finale"), *side("match", clubs=["c", "d"], anchor="quart")),
+        ("4", *side("match", clubs=["c"], competition="l1"), *side("match", clubs=["d"], competition="l1")),
+        ("5", *side("match", clubs=["c"]), *side("match", clubs=["d"])),
+        ("6", *side("unknown", ["p"]), *side("injury", ["p"])),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    f = review.gate_features("a_", "b_")
+    g = review.gates(V.family_compatible(F.col("a_family"), F.col("b_family")), F.col("a_family"), F.col("b_family"), f, F.lit(0.0))
+    gated = df.select("pair_id", *[c.alias(n) for n, c in g.items()])
+    got = {r.pair_id: (r.family_compat, r.football_conflicts, r.football_anchor_v1) for r in gated.collect()}
+    assert got == {"1": (True,) * 3, "2": (False,) * 3, "3": (True, False, False), "4": (True,) * 3, "5": (True, True, False), "6": (True,) * 3}
+    expected = spark.createDataFrame([("1", "allow"), ("3", "block"), ("5", "allow"), ("9", "allow")], "pair_id string, expected_gate string")
+    assert {r.pair_id: r["pass"] for r in review.sentinels(expected, gated, "football_anchor_v1").collect()} == {"1": True, "3": True, "5": False, "9": False}
+
+
+def test_recommendation(spark):
+    from storyloom.operators import review
+
+    runs = spark.createDataFrame([("conservative", 0.65, 1.0, 1.0, 0.8, 0.9, 5, 3.0), ("conservative", None, 0.9, 1.0, 1.0, 1.0, 5, 3.0), ("stress", None, 1.0, 1.0, 1.0, 1.0, 5, 3.0)], "mode string, anchor double, co_cluster_precision double, different_separation double, same_recall double, pair_accuracy double, largest int, longest_days double")
+    assert review.recommendation(runs).first().anchor == 0.65
+
+
+def test_maintenance(spark):
+    from storyloom.operators import maintenance as M
+
+    ex = spark.createDataFrame([(1, "s", "h", "retry", "HTTP 404"), (2, "s", "h", "retry", "HTTP 500")], "article_id int, source_id string, content_hash string, status string, error_detail string")
+    done, rejected = M.gone_pages(ex, spark.createDataFrame([("s", "ol"), ("s", "om")], "source_id string, topic string"))
+    assert [r.article_id for r in done.collect()] == [1] and {r.topic for r in rejected.collect()} == {"ol", "om"} and rejected.first().reason_detail == '{"http_error":"HTTP 404"}'
+    arts = spark.createDataFrame([(1, "h", "s", "raw"), (2, "h", "s", "raw"), (3, "x", "s", "raw")], "article_id int, content_hash string, source_id string, status string")
+    ass = spark.createDataFrame([(1, "ol", "h", "rejected"), (1, "om", "h", "needs_review"), (2, "ol", "h", "relevant")], "article_id int, topic string, content_hash string, decision string")
+    extracted = spark.createDataFrame([(1, "h", "completed"), (2, "h", "completed"), (3, "h", "completed")], "article_id int, content_hash string, status string")
+    assert [tuple(r) for r in M.reconcile_status(arts, spark.createDataFrame([("s", "ol"), ("s", "om")], "source_id string, topic string"), ass, extracted).collect()] == [(1, "phase_a_review")]
+    text = spark.createDataFrame([(1, "foot01", "l&rsquo;OL", "x"), (2, "foot01", "ok", "y")], "id int, source_id string, title string, excerpt string")
+    assert [(r.id, r.title) for r in M.clean_texts(text, ["title", "excerpt"]).collect()] == [(1, "l’OL")]
+    a = spark.createDataFrame([(1, "A &#233; B", None, "d", "old")], "id int, title string, excerpt string, published_at string, content_hash string")
+    fixed = M.normalize_entities(a).first()
+    assert fixed.title == "A é B" and M.normalize_entities(spark.createDataFrame([fixed])).count() == 0
+    plan = M.embedding_plan(spark.createDataFrame([(1, "h1"), (2, "h1"), (3, "h3")], "event_id int, representation_hash string"), spark.createDataFrame([(1, "h1")], "event_id int, representation_hash string"))
+    assert {r.event_id: r.action for r in plan.collect()} == {1: "ready", 2: "reuse", 3: "embed"}
+    assert {r.event_id: r.status for r in M.repair_vectors(spark.createDataFrame([(1, "1,2"), (2, "1,x")], "event_id int, text string"), 2).collect()} == {1: "ready", 2: "failed"}
