@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions import text as T
 from storyloom.functions import vector as V
 from storyloom.operators import evaluate as E
 from storyloom.operators import pairs as P
+from storyloom.operators import review
 from storyloom.plans.registry import query
 from storyloom.plans.stories import PAIRS_SQL, scored_pairs
-from storyloom.sources.tables import EVENTS_SQL, events
+from storyloom.plans.texts import _MAIN, _TITLE
+from storyloom.sources.tables import EVENTS_SQL, events, load
 
 _THRESHOLDS = [i / 200 for i in range(60, 157, 8)]
 _COMPAT = "fa = fb OR concat_ws('|', least(fa, fb), greatest(fa, fb)) IN ('contract|transfer','discipline|transfer','competition|match','discipline|match','contract|staff','finance|institutional')"
@@ -100,3 +103,76 @@ def bridge_triads(spark, sf_dir):
     p = scored_pairs(spark, sf_dir).select("a", "b", "hybrid", V.family_compatible(F.col("fa"), F.col("fb")).alias("compatible"), F.lit(None).cast("string").alias("label"))
     c = E.bridge_candidates(E.bridge_triads(p, 0.3, 0.4))
     return c.select("center", "triads", "family_block", "below_low", "ambiguous_gap", "not_shortlisted", F.round("max_severity", 4).alias("max_severity"), "risk")
+
+
+@query("""WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+ w AS (SELECT *, i = round(0.5::DOUBLE * (n - 1)) AS mid, i = round(0.9::DOUBLE * (n - 1)) AS high FROM r)
+ SELECT source, n, max(CASE WHEN mid THEN n_chars END) AS p50, max(CASE WHEN high THEN n_chars END) AS p90 FROM w GROUP BY 1, 2""")
+def length_percentiles(spark, sf_dir):
+    """Nearest-rank percentiles of text length per source, by rank and not by gathering a source's lengths."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    by = Window.partitionBy("source")
+    r = d.withColumn("i", F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1).withColumn("n", F.count("*").over(by))
+    at = lambda q: F.max(F.when(F.col("i") == F.round(F.lit(q) * (F.col("n") - 1)), F.col("n_chars")))
+    return r.groupBy("source", "n").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+@query(f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, length({_MAIN}) AS n, length({_TITLE}) AS t FROM pages)
+ SELECT host, count(*) AS pages, count(*) FILTER (n >= 200) AS usable, round(count(*) FILTER (n >= 200) / count(*), 6) AS rate, median(n) AS median_chars, max(t) AS longest_title FROM p GROUP BY 1""")
+def extractor_compare(spark, sf_dir):
+    """Usable bodies (200 characters or more) and their median length per host."""
+    p = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.char_length(T.main_text(F.col("html"))).alias("n"), F.char_length(T.first_tag_text(F.col("html"), "title")).alias("t"))
+    usable = F.count_if(F.col("n") >= 200)
+    return p.groupBy("host").agg(F.count("*").alias("pages"), usable.alias("usable"), F.round(usable / F.count("*"), 6).alias("rate"), F.median("n").alias("median_chars"), F.coalesce(F.max("t"), F.lit(0)).alias("longest_title"))
+
+
+@query("""WITH s AS (SELECT conv_id AS story_id, count(*) AS member_count, max(turn) AS revision, CASE WHEN bool_or(role = 'system') AND max(turn) > 3 THEN 'merged' ELSE 'active' END AS status FROM conversations GROUP BY 1),
+ c AS (SELECT conv_id AS story_id, count(*) FILTER (role <> 'system') AS member_count, max(turn) AS revision FROM conversations GROUP BY 1)
+ SELECT CASE WHEN s.status <> 'active' THEN 'candidate_story_inactive' WHEN s.member_count <> c.member_count OR s.revision <> c.revision THEN 'candidate_snapshot_changed' ELSE 'valid' END AS state, count(*) AS n FROM c LEFT JOIN s USING (story_id) GROUP BY 1""")
+def snapshot_validation(spark, sf_dir):
+    """Candidates as they were shown against the stories as they are."""
+    g = load(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("story_id"))
+    merged = F.max(F.col("role") == "system") & (F.max("turn") > 3)
+    now = g.agg(F.count("*").alias("member_count"), F.max("turn").alias("revision"), F.when(merged, "merged").otherwise("active").alias("status")).withColumn("merged_into", F.lit(None).cast("long"))
+    shown = g.agg(F.count_if(F.col("role") != "system").alias("member_count"), F.max("turn").alias("revision"))
+    return review.snapshot_state(shown, now).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PAIRS_SQL}, b AS (SELECT b AS event_id, a AS story_id, row_number() OVER (PARTITION BY b ORDER BY hybrid DESC, a) AS place FROM sp),
+ m AS (SELECT p.event_id AS story_id, e.event_id AS member_id, row_number() OVER (PARTITION BY p.event_id ORDER BY epoch_us(e.ts), e.event_id) AS member_place FROM ev p JOIN ev e ON e.person = p.person AND e.family = p.family AND e.club = p.club JOIN embeddings ON vec_id = p.event_id)
+ SELECT b.event_id, b.story_id, place, member_id, member_place FROM b LEFT JOIN m ON b.story_id = m.story_id AND member_place <= 3 WHERE place <= 4""")
+def representative_members(spark, sf_dir):
+    """The best four candidate stories of each event with their first three members."""
+    candidates = scored_pairs(spark, sf_dir).select(F.col("b").alias("event_id"), F.col("a").alias("story_id"), "hybrid")
+    e = events(spark, sf_dir)
+    founders = e.join(load(spark, sf_dir, "embeddings"), F.col("event_id") == F.col("vec_id"), "left_semi").select(F.col("event_id").alias("story_id"), "person", "family", "club")
+    members = founders.join(e.select("person", "family", "club", F.col("event_id").alias("member_id"), F.unix_micros("ts").alias("rank")), ["person", "family", "club"]).select("story_id", "member_id", "rank")
+    return review.representatives(candidates, members)
+
+
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT a, b, hybrid, floor(hybrid * 20)::INT AS bucket, la = lb AS same FROM sp) SELECT bucket, same, count(*) AS pairs, round(min(hybrid), 6) AS least, round(max(hybrid), 6) AS most FROM c GROUP BY 1, 2""")
+def score_histogram(spark, sf_dir):
+    p = _labelled(spark, sf_dir)
+    return p.groupBy(F.floor(F.col("hybrid") * 20).cast("int").alias("bucket"), "same").agg(F.count("*").alias("pairs"), F.round(F.min("hybrid"), 6).alias("least"), F.round(F.max("hybrid"), 6).alias("most"))
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs with the gates: an event's person, club and salient token stand for its anchors."""
+    one = lambda c: F.array(F.col(c).cast("string"))
+    e = events(spark, sf_dir).select(
+        "event_id", "family", one("person").alias("people"), one("club").alias("clubs"), F.array().cast("array<string>").alias("relations"), F.array().cast("array<string>").alias("opponents"),
+        F.col("salient").alias("anchor"), F.lit(None).cast("string").alias("procedure"), F.lit(None).cast("string").alias("competition"),
+    )
+    side = lambda s: e.select(*[F.col(c).alias(f"{s}{c}") for c in e.columns])
+    p = scored_pairs(spark, sf_dir).join(side("a_"), F.col("a") == F.col("a_event_id")).join(side("b_"), F.col("b") == F.col("b_event_id"))
+    g = review.gates(V.family_compatible(F.col("a_family"), F.col("b_family")), F.col("a_family"), F.col("b_family"), review.gate_features("a_", "b_"), F.col("lex"))
+    return p.select("a", "b", "hybrid", (F.col("la") == F.col("lb")).alias("same"), *[c.alias(n) for n, c in g.items()])
+
+
+@query(f"""WITH {PAIRS_SQL}, g AS (SELECT sp.*, x.person = y.person AS person, x.club = y.club AS club, x.salient = y.salient AS anchor, ({_COMPAT}) AS ok FROM sp JOIN ev x ON x.event_id = a JOIN ev y ON y.event_id = b),
+ h AS (SELECT la = lb AS same, hybrid, ok AS family_compat, ok AND anchor AS football_conflicts, ok AND anchor AND person AND club AS football_anchor_v1 FROM g)
+ SELECT same, hybrid >= 0.4::DOUBLE AS merged, count(*) AS baseline, count(*) FILTER (family_compat) AS family_compat, count(*) FILTER (football_conflicts) AS football_conflicts, count(*) FILTER (football_anchor_v1) AS football_anchor_v1 FROM h GROUP BY 1, 2""")
+def gate_audit(spark, sf_dir):
+    """How many scored pairs each gate lets through, by truth and by score."""
+    g = _gated(spark, sf_dir)
+    return g.groupBy("same", (F.col("hybrid") >= 0.4).alias("merged")).agg(*[F.count_if(n).alias(n) for n in ("baseline", "family_compat", "football_conflicts", "football_anchor_v1")])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.operators import evaluate as E
 from storyloom.operators import extraction as X
+from storyloom.operators import review
 from storyloom.plans.registry import query
 from storyloom.plans.stories import scored_pairs
 from storyloom.sources.tables import articles, events, load
@@ -49,6 +50,25 @@ def cluster_eval(spark, sf_dir):
     return E.cluster_evaluation(assigned, labels)
 
 
+@query()
+def simulation_runs(spark, sf_dir):
+    """The clusterer under a grid of founder thresholds and modes, evaluated, with the run to take marked. Each run and
+    key is a group of its own."""
+    v = _vectors(spark, sf_dir)
+    labels = scored_pairs(spark, sf_dir).where("fa = fb").select("a", "b", (F.col("la") == F.col("lb")).alias("same"))
+    out = None
+    for mode in ("conservative", "stress"):
+        for anchor in (None, 0.2, 0.4):
+            assigned = clusterer.cluster(v, low=0.3, high=0.45, anchor=anchor, stress=mode == "stress")
+            sizes = clusterer.summary(assigned, v).agg(F.sum("stories").alias("stories"), F.max("largest").alias("largest"), F.max("longest_days").alias("longest_days"))
+            run = E.cluster_evaluation(assigned, labels).join(sizes)  # one row each
+            run = run.select(F.lit(mode).alias("mode"), F.lit(anchor).cast("double").alias("anchor"), "*")
+            out = run if out is None else out.unionByName(run)
+    best = review.recommendation(out).select("mode", "anchor", F.lit(True).alias("recommended"))
+    joined = out.join(best, (out.mode == best.mode) & out.anchor.eqNullSafe(best.anchor), "left").select(out["*"], F.coalesce(best.recommended, F.lit(False)).alias("recommended"))
+    return joined
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS people FROM events GROUP BY 1")
 def stream_ingest(spark, sf_dir):
     """The events table as a file stream, drained in micro-batches into a table of its own, then counted."""
