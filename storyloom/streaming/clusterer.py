@@ -2,18 +2,21 @@
 
 The fold depends on order, so it runs once per partition key (language, topic: whatever keeps stories apart), in one
 sorted group each; its state is a story's centroid, members and dates. In a stream the same fold goes on from the state
-table of the batch before.
+the batch before left.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from storyloom.functions.vector import COMPATIBLE, HIGH, LOW, SIGMA_DAYS
 
@@ -53,31 +56,41 @@ class Story:
         return 0.60 * cosine(vector, self.centroid.astype(np.float64)) + 0.25 * lexical + 0.15 * math.exp(-days * days / (2 * SIGMA_DAYS**2))
 
 
-def fold(events: Iterable[tuple], low: float = LOW, high: float = HIGH, anchor: float | None = None, stress: bool = False) -> list[tuple]:
-    """(event_id, story_id, decision, score) of events (event_id, us, family, tokens, vector) in order of (us, event_id).
-    A candidate story shares a token with one of its members; posting lists find it. With `anchor`, an event also needs
-    that cosine to the story's founder; `stress` attaches ambiguous events, too."""
-    stories: dict[int, Story] = {}
-    postings: dict[str, set[int]] = {}
-    out = []
-    for id_, us, family, tokens, vector in sorted(events, key=lambda e: (e[1], e[0])):
+class Fold:
+    """Stories so far, and the posting lists that find them; `step` takes the next events in order."""
+
+    def __init__(self, low: float = LOW, high: float = HIGH, anchor: float | None = None, stress: bool = False):
+        self.low, self.high, self.anchor, self.stress = low, high, anchor, stress
+        self.stories: dict[int, Story] = {}
+        self.postings: dict[str, set[int]] = {}
+
+    def place(self, id_: int, us: int, family: str, tokens: Iterable[str], vector) -> tuple:
         tokens, vector = frozenset(tokens), np.asarray(vector, np.float64)
-        names = set().union(*(postings.get(t, ()) for t in tokens)) if tokens else set()
-        scored = [(-stories[n].score(vector, tokens, us), n) for n in names]
-        fit = [s for s in scored if compatible(family, stories[s[1]].family) and (anchor is None or cosine(vector, stories[s[1]].anchor) >= anchor)]
-        best = min(fit, default=None)
-        score = -best[0] if best else (-min(scored)[0] if scored else None)
-        if best and (score >= high or stress and score >= low):
-            home, decision = best[1], "attach" if score >= high else "stress_attach"
-            stories[home].add(vector, tokens, us)
+        names = set().union(*(self.postings.get(t, ()) for t in tokens)) if tokens else set()
+        scored = [(-self.stories[n].score(vector, tokens, us), n) for n in names]
+        close = lambda n: self.anchor is None or cosine(vector, self.stories[n].anchor) >= self.anchor
+        best = min((s for s in scored if compatible(family, self.stories[s[1]].family) and close(s[1])), default=None)
+        score = -(best or min(scored))[0] if scored else None
+        if best and (score >= self.high or self.stress and score >= self.low):
+            home, decision = best[1], "attach" if score >= self.high else "stress_attach"
+            self.stories[home].add(vector, tokens, us)
         else:
             home = id_
-            decision = "new_no_candidate" if not scored else "new_below_low" if score < low else "new_ambiguous"
-            stories[home] = Story(home, vector, family, tokens, us)
+            decision = "new_no_candidate" if not scored else "new_below_low" if score < self.low else "new_ambiguous"
+            self.stories[home] = Story(home, vector, family, tokens, us)
         for t in tokens:
-            postings.setdefault(t, set()).add(home)
-        out.append((id_, home, decision, score))
-    return out
+            self.postings.setdefault(t, set()).add(home)
+        return id_, home, decision, score
+
+    def step(self, events: Iterable[tuple]) -> list[tuple]:
+        return [self.place(*e) for e in sorted(events, key=lambda e: (e[1], e[0]))]
+
+
+def fold(events: Iterable[tuple], **options) -> list[tuple]:
+    """(event_id, story_id, decision, score) of events (event_id, us, family, tokens, vector) in order of (us, event_id).
+    A candidate story shares a token with one of its members; posting lists find it. With `anchor`, an event also needs
+    that cosine to the story's founder; `stress` attaches ambiguous events, too."""
+    return Fold(**options).step(events)
 
 
 SCHEMA = "key string, event_id long, story_id long, decision string, score double"
@@ -97,3 +110,33 @@ def summary(assigned: DataFrame, events: DataFrame) -> DataFrame:
     """Per key: stories, singletons, largest story, longest span in days."""
     s = assigned.join(events.select("event_id", "us"), "event_id").groupBy("key", "story_id").agg(F.count("*").alias("n"), ((F.max("us") - F.min("us")) / DAY_US).alias("span"))
     return s.groupBy("key").agg(F.count("*").alias("stories"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"), F.round(F.max("span"), 6).alias("longest_days"))
+
+
+_OUT = S.StructType([S.StructField("key", S.StringType()), S.StructField("event_id", S.LongType()), S.StructField("story_id", S.LongType()), S.StructField("decision", S.StringType()), S.StructField("score", S.DoubleType())])
+
+
+class StoryProcessor(StatefulProcessor):
+    """The fold as a stateful streaming operator: a key's stories are its state, from micro-batch to micro-batch."""
+
+    def __init__(self, **options):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("stories", S.StructType([S.StructField("fold", S.BinaryType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.state.get() if self.state.exists() else None
+        now = pickle.loads(held[0]) if held else Fold(**self.options)
+        events = [e for pdf in rows for e in zip(pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector)]
+        placed = now.step(events)
+        self.state.update((pickle.dumps(now),))
+        yield pd.DataFrame([(key[0], *r) for r in placed], columns=["key", "event_id", "story_id", "decision", "score"])
+
+    def close(self) -> None:
+        pass
+
+
+def cluster_stream(events: DataFrame, **options) -> DataFrame:
+    """Streaming form over (key, event_id, us, family, tokens, vector); a batch is taken in order of date. Needs the
+    RocksDB state store (`spark.sql.streaming.stateStore.providerClass`)."""
+    return events.groupBy("key").transformWithStateInPandas(StoryProcessor(**options), outputStructType=_OUT, outputMode="Append", timeMode="None")

@@ -341,3 +341,24 @@ def test_maintenance(spark):
     plan = M.embedding_plan(spark.createDataFrame([(1, "h1"), (2, "h1"), (3, "h3")], "event_id int, representation_hash string"), spark.createDataFrame([(1, "h1")], "event_id int, representation_hash string"))
     assert {r.event_id: r.action for r in plan.collect()} == {1: "ready", 2: "reuse", 3: "embed"}
     assert {r.event_id: r.status for r in M.repair_vectors(spark.createDataFrame([(1, "1,2"), (2, "1,x")], "event_id int, text string"), 2).collect()} == {1: "ready", 2: "failed"}
+
+
+def test_stream_of_stories_matches_the_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(8)
+    rows = [("k%d" % (i % 3), i, i * clusterer.DAY_US // 20, "transfer", [f"t{rng.randrange(4)}"], [rng.choice([0.0, 1.0]), 1.0]) for i in range(60)]
+    schema = "key string, event_id long, us long, family string, tokens array<string>, vector array<double>"
+    src = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 20 : k * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(src))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = clusterer.cluster_stream(jobs.read_stream(spark, str(src), "*.parquet"))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r.event_id: (r.story_id, r.decision) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.event_id: (r.story_id, r.decision) for r in clusterer.cluster(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and len(got) == 60 and any(d == "attach" for _, d in got.values())
