@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import table
+from storyloom.llm.common import cut, table
 
 BUCKETS = 1 << 16  # for words, and as many for word pairs
 TARGET_DOCS = 50_000
@@ -96,7 +96,7 @@ def ratio_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
     hashed = hashed.join(F.broadcast(trusted), F.col("__doc") == F.col("__id"), "left").select("__words", F.coalesce("__target", F.lit(0)).alias("__target"))
     hashed = hashed.withColumn("__pairs", _paired(F.col("__words"), F.col("__words"), 1))
     grams = hashed.select("__target", F.explode(_buckets()).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__target").alias("target"))
+    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("__target").alias("target")))  # used twice below
     order = (F.col("bucket") >= BUCKETS).cast("int")
     totals = counts.groupBy(order.alias("order")).agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     share = F.col("raw") / F.col("all_raw")
