@@ -196,3 +196,54 @@ def clean_editorial(x: Column, source: Column) -> Column:
     regional = F.regexp_replace(regional, r"(?i)\{\s*['\"]skus['\"]\s*:\s*\[[^\]]*\]\s*\}", " ")
     feed = F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*Lire plus\s*(?=The post\b)", " "), r"(?is)\s*The post\s+.*?\s+first appeared on But! Football Club\s*\.?\s*$", "")
     return compact(F.when(F.lower(source) == "leprogres", regional).when(F.lower(source) == "butfootballclub", feed).otherwise(bare))
+
+
+def stable_title(title: Column, source: Column) -> Column:
+    """A title without what a source's listing adds to it and changes as the item ages."""
+    value = compact(decode_basic_entities(F.coalesce(title, F.lit(""))))
+    clock = F.regexp_replace(value, r"(?i)^(?:(?:[01]?\d|2[0-3]):[0-5]\d|\d{2}/\d{2})\s+Football\s+", "")
+    card = F.regexp_replace(value, r"(?i)\s*•\s*(?:(?:[01]?\d|2[0-3])h[0-5]\d|\d{2}/\d{2})\s*$", "")
+    card = F.regexp_replace(card, r"(?i)(?<![\p{L}\p{N}_])(Mercato|Ligue 1|Ligue 2|Ligue Europa|Ligue des Champions|Anciens|OL)\s*•\s*\1(?![\p{L}\p{N}_])", "$1")
+    return compact(F.when(source == "sports_orange", clock).when(source == "madeingones", card).otherwise(value))
+
+
+def page_fields(html: Column, title: Column, excerpt: Column, author: Column, published: Column, image: Column) -> dict[str, Column]:
+    """What a page says of itself, else what its listing said."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    pick = lambda names, *rest: F.coalesce(some(meta_content(html, names)), *rest)
+    return {
+        "title": some(compact(pick("(?i)^(?:og:title|twitter:title)$", first_tag_text(html, "h1", "title"), title))),
+        "excerpt": some(compact(pick("(?i)^(?:description|og:description|twitter:description)$", excerpt))),
+        "author": some(compact(pick("(?i)^(?:author|article:author)$", author))),
+        "published_at": pick("(?i)^(?:article:published_time|date|datepublished)$", published),
+        "content": some(main_text(html)),
+        "image_url": pick("(?i)^(?:og:image|twitter:image)$", image),
+    }
+
+
+def clip(x: Column, most: int) -> Column:
+    return F.substring(compact(x), 1, most)
+
+
+def error_text(x: Column) -> Column:
+    """An error message on one line, 1200 characters at most."""
+    return clip(F.coalesce(F.nullif(x, F.lit("")), F.lit("unknown error")), 1200)
+
+
+def stable_json(**fields: Column) -> Column:
+    """JSON of the fields in alphabetical order, nulls written out, so that equal values hash alike."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """The same for (a, b) and (b, a)."""
+    return F.concat_ws(":", F.least(a.cast("string"), b.cast("string")), F.greatest(a.cast("string"), b.cast("string")))
+
+
+def is_suspicious(title: Column, url: Column) -> Column:
+    """Stored rows that look like navigation."""
+    t, u = F.lower(title), F.lower(url)
+    out = t.isin("se connecter", "connexion", "accueil", "calendrier", "classement") | t.like("calendrier%") | t.like("classement%")
+    for part in ("/login", "/connexion", "/calendrier", "/classement"):
+        out = out | u.contains(part)
+    return F.coalesce(out, F.lit(False))

@@ -69,3 +69,30 @@ def parse_vector(x: Column, dimension: int) -> Column:
     """A vector from comma-separated text; null unless every element is a finite number and the length is right."""
     parsed = F.transform(F.split(x, ","), lambda e: F.trim(e).try_cast("float"))
     return F.when(valid(parsed, dimension), parsed)
+
+
+def decode_float32(blob: Column, dimension: int) -> Column:
+    """Little-endian 32-bit floats from bytes; null where the length is wrong or a number is not finite."""
+    # Eight hex digits a number, bytes turned round, then IEEE 754 by arithmetic: no Python for a fixed-width format.
+    digits = F.hex(blob)
+
+    def one(i: Column) -> Column:
+        at = lambda k: F.substring(digits, (i * 8 + 1 + 2 * k).cast("int"), F.lit(2))
+        bits = F.conv(F.concat(at(3), at(2), at(1), at(0)), 16, 10).cast("long")
+        sign = F.when(F.shiftright(bits, 31) == 1, -1.0).otherwise(1.0)
+        exponent, mantissa = F.shiftright(bits, 23).bitwiseAND(F.lit(255)), bits.bitwiseAND(F.lit((1 << 23) - 1)).cast("double")
+        normal = (mantissa / float(1 << 23) + 1.0) * F.pow(F.lit(2.0), (exponent - 127).cast("double"))
+        small = mantissa / float(1 << 23) * F.pow(F.lit(2.0), F.lit(-126.0))
+        return F.when(exponent == 255, F.lit(None).cast("float")).otherwise((sign * F.when(exponent == 0, small).otherwise(normal)).cast("float"))
+
+    values = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), one)
+    return F.when((F.length(blob) == dimension * 4) & F.forall(values, lambda v: v.isNotNull()), values)
+
+
+def hashed_embedding(tokens: Column, dimension: int = 64) -> Column:
+    """A stand-in where no embedding model is at hand: signed counts of hashed tokens, of length one. Deterministic."""
+    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(dimension))
+    sign = lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(tokens, lambda t: slot(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))

@@ -60,6 +60,34 @@ def index_keys(people: Column, clubs: Column, relation_from: Column, relation_to
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
+def _keys(parts: list[tuple[str, Column, str]], extra: str) -> Column:
+    """Structs (key_type, key_value, `extra`) of non-empty values, the first of each (type, value) kept, sorted."""
+    none = F.array().cast("array<string>")
+    made = [F.transform(F.filter(F.coalesce(v, none), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.struct(F.lit(t).alias("key_type"), x.alias("key_value"), F.lit(e).alias(extra))) for t, v, e in parts]
+    every = F.concat(*made)
+    first = F.filter(every, lambda k, i: ~F.exists(F.slice(every, F.lit(1), i), lambda o: (o["key_type"] == k["key_type"]) & (o["key_value"] == k["key_value"])))
+    return F.array_sort(first)
+
+
+def lookup_keys(people: Column, clubs: Column, relations: Column, competition: Column, opponents: Column, salient: Column) -> Column:
+    """What an event looks stories up by, and why: a club is also looked for as another event's relation, and the other
+    way round."""
+    return _keys(
+        [("person", people, "person"), ("club", clubs, "club"), ("relation_from", relations, "relation"), ("relation_to", relations, "relation"), ("club", relations, "relation_cross"),
+         ("relation_from", clubs, "relation_cross"), ("relation_to", clubs, "relation_cross"), ("competition", F.array(competition), "competition"), ("opponent", opponents, "opponent"), ("salient", salient, "salient")],
+        "lookup_reason",
+    )
+
+
+def rule_keys(people: Column, clubs: Column, relations: Column, salient: Column) -> Column:
+    """(rule_type, key_type, key_value) by which members of a story are found for the shortlist's rules."""
+    parts = [("person", "person", people), ("club", "club", clubs), ("relation", "relation_from", clubs), ("relation", "relation_to", clubs), ("relation", "club", relations),
+             ("relation", "relation_from", relations), ("relation", "relation_to", relations), ("salient", "salient", salient)]
+    none = F.array().cast("array<string>")
+    made = [F.transform(F.filter(F.coalesce(v, none), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.struct(F.lit(r).alias("rule_type"), F.lit(t).alias("key_type"), x.alias("key_value"))) for r, t, v in parts]
+    return F.array_distinct(F.concat(*made))
+
+
 def probe(queries: DataFrame, postings: DataFrame, id_: str, most: int = 16) -> DataFrame:
     """For each query the stories with most matching keys: (id, story_id, matched_key_count, place). `queries` is
     (id, key_type, key_value), `postings` is (key_type, key_value, story_id); postings are counted before they widen."""

@@ -9,7 +9,7 @@ from storyloom.functions import text as T
 from storyloom.functions import vector as V
 from storyloom.operators import pairs as P
 from storyloom.operators import queues
-from storyloom.plans.registry import query
+from storyloom.plans.registry import ORACLES, query
 from storyloom.plans.texts import _DF, _TOKENS
 from storyloom.sources.tables import ARTICLES_SQL, EVENTS_SQL, articles, events, load
 
@@ -191,3 +191,10 @@ def tfidf_pairs(spark, sf_dir):
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     v = w.select("doc_id", "token", (F.col("w") / norm).alias("w"))
     return P.token_pairs(v, "doc_id", "w", 0.18 - 5e-10).select("a", "b", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT * FROM ({ORACLES['weighted_jaccard_pairs']}) ORDER BY (confidence = 'strong') DESC, score DESC, a, b LIMIT 30")
+def preview_pairs(spark, sf_dir):
+    """The thirty best article pairs: strong ones first, then by score, then by id (a report of fixed length)."""
+    p = weighted_jaccard_pairs(spark, sf_dir)
+    return p.orderBy(F.desc(F.col("confidence") == "strong"), F.desc("score"), "a", "b").limit(30)

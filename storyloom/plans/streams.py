@@ -75,3 +75,14 @@ def stream_ingest(spark, sf_dir):
     base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams/{uuid.uuid4().hex}"
     jobs.drain(jobs.read_stream(spark, sf_dir, "events.parquet"), lambda b: b.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("people"))
+
+
+@query()
+def event_preview(spark, sf_dir):
+    """What extraction gives per language: articles, events, how many have several or none, and of what family."""
+    a = articles(spark, sf_dir)
+    found = X.extract(a, TOPICS).groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("family") == "unknown").alias("unknown"), F.count_if(F.col("kind") != "lead").alias("body"))
+    j = a.select("id", "language").join(found, "id", "left").fillna(0, ["n", "unknown", "body"])
+    g = j.groupBy("language").agg(F.count("*").alias("articles"), F.sum("n").alias("events"), F.count_if(F.col("n") > 1).alias("several"), F.count_if(F.col("n") == 0).alias("without"), F.sum("unknown").alias("unknown"), F.sum("body").alias("body"))
+    rate = lambda x, of: F.round(E.ratio(F.col(x), F.col(of), 0.0), 6)
+    return g.select("language", "articles", "events", "without", rate("several", "articles").alias("multi_event_rate"), rate("unknown", "events").alias("unknown_rate"), rate("body", "events").alias("body_rate"))

@@ -128,6 +128,18 @@ def discover_links(pages: DataFrame, adapter: DataFrame | None = None) -> DataFr
     return first.select("page_id", "canonical", "f.pos", "f.title").withColumn("place", place).where(F.col("place") <= LISTED).select("page_id", "place", F.col("canonical").alias("url"), "title")
 
 
+def embedded_routes(pages: DataFrame, base: str, path: str) -> DataFrame:
+    """Articles named in script payloads under `path`, with a title made of the slug; (page_id, place, url, title)."""
+    route = r"\\?/".join(re.escape(p) for p in path.strip("/").split("/"))
+    slugs = F.regexp_extract_all("html", F.lit(rf"(?i)\\?/{route}\\?/([a-z0-9][a-z0-9-]{{5,}})"), F.lit(1))
+    found = pages.select("page_id", F.posexplode(F.array_distinct(slugs)).alias("pos", "slug")).withColumn("url", F.concat(F.lit(f"{base.rstrip('/')}/{path.strip('/')}/"), "slug"))
+    parts = F.filter(F.split("slug", "-"), lambda w: w != "")
+    title = F.array_join(F.transform(parts, lambda w: F.when(F.length(w) <= 3, F.upper(w)).otherwise(w)), " ")
+    found = found.where(R.looks_like_article_url(F.col("url"))).withColumn("title", title)
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return found.withColumn("place", place).where(F.col("place") <= LISTED).select("page_id", "place", "url", "title")
+
+
 def xml_tag(block: Column, tag: str) -> Column:
     inner = F.regexp_extract(block, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
     return T.compact(F.regexp_replace(F.regexp_replace(inner, r"(?is)<!\[CDATA\[(.*?)\]\]>", "$1"), r"(?s)<[^>]+>", " "))

@@ -362,3 +362,62 @@ def test_stream_of_stories_matches_the_batch(spark, tmp_path):
     got = {r.event_id: (r.story_id, r.decision) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.event_id: (r.story_id, r.decision) for r in clusterer.cluster(spark.createDataFrame(rows, schema)).collect()}
     assert got == want and len(got) == 60 and any(d == "attach" for _, d in got.values())
+
+
+def test_keys(spark):
+    row = spark.createDataFrame([(["p"], ["c"], ["r"], "l1", [], ["s", "s"])], "p array<string>, c array<string>, r array<string>, k string, o array<string>, s array<string>")
+    got = row.select(P.lookup_keys(F.col("p"), F.col("c"), F.col("r"), F.col("k"), F.col("o"), F.col("s")).alias("v")).first().v
+    assert [(x.key_type, x.key_value, x.lookup_reason) for x in got] == [("club", "c", "club"), ("club", "r", "relation_cross"), ("competition", "l1", "competition"), ("person", "p", "person"), ("relation_from", "c", "relation_cross"), ("relation_from", "r", "relation"), ("relation_to", "c", "relation_cross"), ("relation_to", "r", "relation"), ("salient", "s", "salient")]
+    rules = row.select(P.rule_keys(F.col("p"), F.col("c"), F.col("r"), F.col("s")).alias("v")).first().v
+    assert len(rules) == 8 and ("relation", "club", "r") in [(x.rule_type, x.key_type, x.key_value) for x in rules]
+
+
+def test_bytes_and_hashed_vectors(spark):
+    import struct
+
+    xs = [0.0, -1.5, 3.1415927, 1e-40, 65504.0, -2.0**-126]
+    blob = bytearray(struct.pack("<6f", *xs))
+    df = spark.createDataFrame([(blob,), (blob[:-1],), (bytearray(struct.pack("<6f", *xs[:5], float("inf"))),)], "b binary")
+    got = [r.v for r in df.select(V.decode_float32(F.col("b"), 6).alias("v")).collect()]
+    assert got[0] == list(struct.unpack("<6f", blob)) and got[1] is None and got[2] is None
+    v = one(spark, V.hashed_embedding(F.array(F.lit("a"), F.lit("b")), 16))
+    assert sum(x * x for x in v) == pytest.approx(1, abs=1e-6) and v == one(spark, V.hashed_embedding(F.array(F.lit("b"), F.lit("a")), 16))
+
+
+def test_extraction_queue_and_persistence(spark):
+    from storyloom.operators import persistence as S
+
+    at = lambda h: F.lit("2026-01-02").cast("timestamp") - F.make_dt_interval(hours=F.lit(h))
+    e = spark.createDataFrame([(i, "s", f"c{i}", "text", "completed") for i in range(6)], "article_id int, source_hash string, content_hash string, text string, status string").withColumn("updated_at", at(1))
+    e = e.withColumn("source_hash", F.when(F.col("article_id") == 5, "old").otherwise("s"))
+    arts, ok = e.select("article_id").withColumn("source_hash", F.lit("s")), e.select("article_id", F.lit("s").alias("source_hash"), F.lit("relevant").alias("decision")).where("article_id != 4")
+    ledger = spark.createDataFrame([(0, "c0", "v", "completed"), (1, "c1", "v", "retry"), (2, "c2", "v", "retry"), (3, "c3", "u", "completed")], "article_id int, content_hash string, version string, status string")
+    ledger = ledger.withColumn("until", F.when(F.col("article_id") == 1, at(-1)).otherwise(at(2)))
+    got = S.waiting(e, arts, ok, ledger, "v", F.lit("2026-01-02").cast("timestamp"))
+    assert [r.article_id for r in got.collect()] == [2, 3]
+    produced = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "c", "z")], "article_id int, event_id string, family string")
+    stored = spark.createDataFrame([(1, "a", "x", "active"), (1, "b", "old", "active"), (1, "d", "x", "active")], "article_id int, event_id string, family string, status string")
+    plan = {r.event_id: r.action for r in S.persist_plan(produced, stored, ["family"]).collect()}
+    assert plan == {"a": "keep", "b": "refresh", "c": "insert", "d": "supersede"}
+    again = S.persist_plan(produced, produced.withColumn("status", F.lit("active")), ["family"])
+    assert {r.action for r in again.collect()} == {"keep"}
+    rows = S.ledger_rows(e.where("article_id in (1, 3)"), produced, "v").collect()
+    assert {r.article_id: r.events for r in rows} == {1: 2, 3: 0}
+    links, shared = S.topic_links(spark.createDataFrame([("e", ["ol", "om", "x"])], "event_id string, clubs array<string>"), spark.createDataFrame([("ol", "ol"), ("om", "om"), ("om2", "om")], "topic string, alias string"))
+    assert [tuple(r) for r in links.collect()] == [("e", "ol")] and [tuple(r) for r in shared.collect()] == [("e", "om")]
+    context = S.topic_context(spark.createDataFrame([("ol", "OL"), ("om", "OM")], "topic string, name string"), spark.createDataFrame([("ol", "b"), ("ol", "a")], "topic string, alias string"))
+    assert {r.topic: r.aliases for r in context.collect()} == {"ol": ["a", "b"], "om": []}
+    assert S.merge_topics(spark.createDataFrame([("e", ["b"]), ("e", ["a", "b"])], "event_id string, topics array<string>")).first().topics == ["a", "b"]
+    assert S.given(produced, article_id=None, family="x").count() == 1
+
+
+def test_sinks_replay(spark, tmp_path):
+    from storyloom.sources import sinks
+
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "k int, p string, v string")
+    for _ in range(2):
+        sinks.write_tables([(df, "t", ["p"])], str(tmp_path))
+    sinks.write_tables([(df.where("p = 'a'").withColumn("k", F.lit(9)), "t", ["p"])], str(tmp_path))
+    assert {(r.k, r.p) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(9, "a"), (2, "b")}
+    sinks.write_artifact(df, str(tmp_path / "j"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "j")).collect())[0] == '{"k":1,"p":"a","v":null}'

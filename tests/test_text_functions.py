@@ -156,3 +156,28 @@ def test_bodies(spark):
     pages = spark.createDataFrame([(1, long, 200), (2, "<p>short</p>", 200), (3, long, 503), (4, long, 404), (5, None, 200)], "page_id long, html string, code int")
     got = {r.page_id: r for r in P.bodies(pages, F.col("code")).collect()}
     assert got[1].status == "completed" and "menu" not in got[1].text and got[1].text.endswith("\n\ntwo") and [got[i].status for i in (2, 3, 4, 5)] == ["failed", "retry", "failed", "failed"]
+
+
+@pytest.mark.parametrize("source, title, want", [("sports_orange", "19:09 Football OL : victoire", "OL : victoire"), ("sports_orange", "02/09 Football OL", "OL"), ("madeingones", "Fofana part OL • 15h45", "Fofana part OL"), ("madeingones", "Mercato • Mercato Fofana", "Mercato Fofana"), ("foot01", "19:09 Football OL", "19:09 Football OL")])
+def test_stable_titles(spark, source, title, want):
+    assert value(spark, T.stable_title(F.col("x"), F.lit(source)), x=title) == want
+
+
+def test_page_fields(spark):
+    page = "<meta name='author' content='A  B'><meta property='article:published_time' content='2026-01-05'><h1>T</h1>"
+    null = F.lit(None).cast("string")
+    got = value(spark, F.struct(*[c.alias(n) for n, c in T.page_fields(F.col("x"), F.lit("listed"), F.lit("e"), null, null, F.lit("i")).items()]), x=page)
+    assert tuple(got) == ("T", "e", "A B", "2026-01-05", None, "i")
+
+
+def test_small_helpers(spark):
+    assert value(spark, T.error_text(F.col("x")), x=" a\n b ") == "a b" and value(spark, T.error_text(F.col("x")), x="") == "unknown error"
+    assert value(spark, T.stable_json(b=F.lit(None).cast("string"), a=F.col("x")), x="1") == '{"a":"1","b":null}'
+    assert value(spark, T.pair_key(F.lit("b"), F.col("x")), x="a") == "a:b"
+    assert value(spark, T.is_suspicious(F.lit("Calendrier OL"), F.col("x")), x="https://a/") and not value(spark, T.is_suspicious(F.lit("OL"), F.col("x")), x="https://a/b")
+
+
+def test_embedded_routes(spark):
+    html = r'<script>{"u":"\/fr\/actualites\/un-slug-assez-long-de-l-ol-2026"}</script>'
+    rows = P.embedded_routes(spark.createDataFrame([(1, html)], "page_id int, html string"), "https://www.ol.fr", "/fr/actualites/").collect()
+    assert [(r.url, r.title) for r in rows] == [("https://www.ol.fr/fr/actualites/un-slug-assez-long-de-l-ol-2026", "UN slug assez long DE L OL 2026")]
