@@ -128,7 +128,9 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that are kept, with their columns as they were, whatever these are called."""
     packed = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
-    return assess(packed, labels, threshold).where("kept").select("__row.*")
+    # A condition that is not deterministic stays above the projection, so that no count is worked out a second time.
+    chosen = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return assess(packed, labels, threshold).select("__row", chosen.alias("__chosen")).where("__chosen").select("__row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
