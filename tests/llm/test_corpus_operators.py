@@ -308,3 +308,16 @@ def test_substrings_against_brute_force(spark, monkeypatch):
     want = brute_removed(rows)
     for r in substrings.remove_repeats(df).collect():
         assert r.n_removed == len(want[r.doc_id]), r.doc_id
+
+
+def test_plan_does_not_grow_with_the_table():
+    rng = random.Random(1)
+    shape = {n: rng.randint(1, 50) for n in range(1, 4097)}
+    sizes = []
+    for scale in (1_000, 1_000_000, 1_000_000_000):
+        counts = {n: c * scale for n, c in shape.items()}
+        plan, bins = packing.best_fit_decreasing(counts)
+        least = -(-sum(n * c for n, c in counts.items()) // 4096)
+        assert least <= bins <= 1.005 * least and sum(b - a for _, a, b, _, _ in plan) == sum(counts.values())
+        sizes.append(len(plan))
+    assert max(sizes) < 100_000 and max(sizes) < 1.2 * min(sizes)
