@@ -44,51 +44,88 @@ _ONE, _48, _16, _FULL = np.uint64(1), np.uint64(48), np.uint64(16), np.uint64(0x
 
 
 class Models:
-    """The state of all lanes' models at one place of their blocks."""
+    """The state of all lanes' models at one place of their blocks. Frequencies of a step are held symbol by symbol
+    (a row per symbol), so that sums over symbols are a few passes over whole rows."""
 
     def __init__(self, lanes: int, length: int):
-        self.at = np.arange(lanes)
-        self.ids = np.zeros((lanes, length), np.int32)
-        self.slots1 = np.full((lanes, SLOTS), -1, np.int16)
-        self.slots2 = np.full((lanes, SLOTS), -1, np.int16)
-        self.agree = np.ones((lanes * 16, SYMBOLS), np.int32)
-        self.after = np.ones((lanes * 64, SYMBOLS), np.int32)
-        self.weight = np.full(lanes, 8, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-
-    def predict(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1 (-1: none) at place t of the first n lanes, and their symbols' frequencies."""
-        at = self.at[:n]
-        one = self.ids[:n, t - 1].astype(np.int64) if t else np.zeros(n, np.int64)
-        two = self.ids[:n, t - 2].astype(np.int64) if t > 1 else np.zeros(n, np.int64)
-        self.h1 = (one * 2654435761 >> 11) & (SLOTS - 1)
-        self.h2 = ((one * 2654435761 ^ two * 2246822519) >> 11) & (SLOTS - 1)
-        p1, p2 = self.slots1[at, self.h1], self.slots2[at, self.h2]
-        guess1 = np.where(p1 >= 0, self.ids[at, p1], -1)
-        guess2 = np.where(p2 >= 0, self.ids[at, p2], -1)
-        kind = (guess1 >= 0) * 1 + (guess2 >= 0) * (1 + (guess1 != guess2))
-        self.row_a = at * 16 + kind * 4 + self.last[:n]
-        self.row_b = at * 64 + (one & 63)
-        self.a, self.b = self.agree[self.row_a], self.after[self.row_b]
-        w = self.weight[:n, None]
-        return guess2, guess1, self.a * w + self.b * (16 - w)
+        at = np.arange(lanes)
+        self.ids = np.zeros((length, lanes), np.int32)
+        self.slots1, self.slots2 = np.full(lanes * SLOTS, -1, np.int16), np.full(lanes * SLOTS, -1, np.int16)
+        self.agree, self.after = np.ones((lanes * 16, SYMBOLS), np.int16), np.ones((lanes * 32, SYMBOLS), np.int16)
+        self.sum_agree, self.sum_after = np.full(lanes * 16, SYMBOLS, np.int32), np.full(lanes * 32, SYMBOLS, np.int32)
+        self.at, self.at_slot, self.at_agree, self.at_after = at, at * SLOTS, at * 16, at * 32
+        self.weight, self.last = np.full(lanes, 8, np.int32), np.zeros(lanes, np.int64)
+
+    def _guess(self, slots: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
+        place = slots.take(where).astype(np.int64)
+        found = self.ids.ravel().take(np.maximum(place, 0) * self.ids.shape[1] + self.at[:n])
+        return np.where(place >= 0, found, -1)
+
+    def predict(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1 (-1: none) at place t of the first n lanes; leaves the symbols' frequencies in
+        `f`, and where each symbol's share ends in `ends`."""
+        one = self.ids[t - 1, :n].astype(np.int64) if t else np.zeros(n, np.int64)
+        two = self.ids[t - 2, :n].astype(np.int64) if t > 1 else np.zeros(n, np.int64)
+        mixed = one * 2654435761
+        self.h1 = (mixed >> 11 & (SLOTS - 1)) + self.at_slot[:n]
+        self.h2 = ((mixed ^ two * 2246822519) >> 11 & (SLOTS - 1)) + self.at_slot[:n]
+        guess1, guess2 = self._guess(self.slots1, self.h1, n), self._guess(self.slots2, self.h2, n)
+        kind = (guess1 >= 0) * 4 + (guess2 >= 0) * (4 + 4 * (guess1 != guess2))
+        self.row_a, self.row_b = kind + self.at_agree[:n] + self.last[:n], (one & 31) + self.at_after[:n]
+        self.a, self.b = self.agree.take(self.row_a, 0).T.astype(np.int32), self.after.take(self.row_b, 0).T.astype(np.int32)
+        w = self.weight[:n]
+        self.f = self.a * w
+        self.f += self.b * (16 - w)
+        self.ends = np.empty_like(self.f)
+        self.ends[0] = self.f[0]
+        for s in range(1, SYMBOLS):
+            np.add(self.ends[s - 1], self.f[s], out=self.ends[s])
+        return guess2, guess1
+
+    def share(self, symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of the symbols' shares."""
+        self.pick = symbol * n + self.at[:n]
+        size = self.f.ravel().take(self.pick).astype(np.int64)
+        return self.ends.ravel().take(self.pick) - size, size
 
     def update(self, t: int, n: int, symbol: np.ndarray, ids: np.ndarray) -> None:
-        at = self.at[:n]
-        self.ids[:n, t] = ids
-        self.slots1[at, self.h1] = t
-        self.slots2[at, self.h2] = t
-        better = self.a[at, symbol] * self.b.sum(1) > self.b[at, symbol] * self.a.sum(1)
-        self.weight[:n] = np.clip(self.weight[:n] + np.where(better, 1, -1), 1, 15)
-        for table_, row, old in ((self.agree, self.row_a, self.a), (self.after, self.row_b, self.b)):
-            now = old[at, symbol] + STEP
-            table_[row, symbol] = now
-            full = np.flatnonzero(now > CEILING)
+        """After `share`: the ids and symbols that came."""
+        self.ids[t, :n] = ids
+        self.slots1[self.h1] = t
+        self.slots2[self.h2] = t
+        here_a, here_b = self.a.ravel().take(self.pick), self.b.ravel().take(self.pick)
+        sum_a, sum_b = self.sum_agree.take(self.row_a), self.sum_after.take(self.row_b)
+        w = self.weight[:n]
+        w += np.where(here_a.astype(np.int64) * sum_b > here_b.astype(np.int64) * sum_a, 1, -1)
+        np.clip(w, 1, 15, out=w)
+        for table_, sums, row, here, total in ((self.agree, self.sum_agree, self.row_a, here_a, sum_a), (self.after, self.sum_after, self.row_b, here_b, sum_b)):
+            now = here + STEP
+            table_.ravel()[row * SYMBOLS + symbol] = now
+            sums[row] = total + STEP
+            full = row[now > CEILING]
             if len(full):
-                table_[row[full]] = (table_[row[full]] + 1) >> 1
+                table_[full] = (table_[full] + 1) >> 1
+                sums[full] = table_[full].sum(1)
         self.last[:n] = np.minimum(symbol, 2) + (symbol == NEW)
 
 
+def _moving(low_: np.ndarray, range_: np.ndarray, n: int):
+    """Lanes whose top 16 bits are settled, or whose range has become too short and is cut to end at a settled place:
+    (lanes, low, range), again and again until none is left. Who iterates moves those lanes on."""
+    low, rng, lanes = low_[:n], range_[:n], None
+    while True:
+        settled = (low ^ (low + rng)) < _TOP
+        move = np.flatnonzero(settled | (rng < _BOTTOM))
+        if not len(move):
+            return
+        low, rng, settled = low[move], rng[move], settled[move]
+        if not settled.all():
+            rng = np.where(settled, rng, (~low + _ONE) & (_BOTTOM - _ONE))
+        lanes = move if lanes is None else lanes[move]
+        yield lanes, low, rng
+        low, rng = low_[lanes], range_[lanes]
+
+
 class Writer:
     def __init__(self, lanes: int, length: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
@@ -99,16 +136,7 @@ class Writer:
         r = self.range[:n] // total
         self.low[:n] += start * r
         self.range[:n] = r * size
-        lanes = np.arange(n)
-        while True:
-            low, rng = self.low[lanes], self.range[lanes]
-            settled = (low ^ (low + rng)) < _TOP
-            short = ~settled & (rng < _BOTTOM)
-            move = settled | short
-            if not move.any():
-                return
-            lanes, low, rng, short = lanes[move], low[move], rng[move], short[move]
-            rng = np.where(short, (~low + _ONE) & (_BOTTOM - _ONE), rng)
+        for lanes, low, rng in _moving(self.low, self.range, n):
             self.out[lanes, self.n[lanes]] = (low >> _48).astype(np.uint16)
             self.n[lanes] += 1
             self.low[lanes], self.range[lanes] = low << _16, rng << _16
@@ -140,16 +168,7 @@ class Reader:
     def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
         self.low[:n] += start * self.share
         self.range[:n] = self.share * size
-        lanes = np.arange(n)
-        while True:
-            low, rng = self.low[lanes], self.range[lanes]
-            settled = (low ^ (low + rng)) < _TOP
-            short = ~settled & (rng < _BOTTOM)
-            move = settled | short
-            if not move.any():
-                return
-            lanes, low, rng, short = lanes[move], low[move], rng[move], short[move]
-            rng = np.where(short, (~low + _ONE) & (_BOTTOM - _ONE), rng)
+        for lanes, low, rng in _moving(self.low, self.range, n):
             self.code[lanes] = self.code[lanes] << _16 | self.words[lanes, np.minimum(self.n[lanes], self.words.shape[1] - 1)]
             self.n[lanes] += 1
             self.low[lanes], self.range[lanes] = low << _16, rng << _16
@@ -181,17 +200,16 @@ def _encode_lanes(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
     for t in range(length):
         n = int(active[t])
         now = ids[:n, t]
-        guess2, guess1, f = models.predict(t, n)
+        guess2, guess1 = models.predict(t, n)
         d = depth[:n, t]
         symbol = np.where(now == guess2, 0, np.where(now == guess1, 1, np.where(d >= 0, d + 2, NEW)))
-        ends, at = np.cumsum(f, axis=1), models.at[:n]
-        size = f[at, symbol].astype(np.int64)
+        start, size = models.share(symbol, n)
         known = (symbol >= 2) & (symbol < NEW)
         bits = np.where(symbol == NEW, 16, np.where(known, DEPTH_BITS[np.maximum(d, 0)], 0))
         value = np.where(symbol == NEW, now & 0xFFFF, np.where(known, far[:n, t] - DEPTHS[np.maximum(d, 0)], 0))
         # One coding step for both: the symbol's share of the range is cut into 2**bits equal parts.
         part = size << (16 - bits)
-        out.put(n, ((ends[at, symbol] - size << 16) + value * part).astype(np.uint64), part.astype(np.uint64), ends[:, -1].astype(np.uint64) << _16)
+        out.put(n, ((start << 16) + value * part).astype(np.uint64), part.astype(np.uint64), models.ends[-1].astype(np.uint64) << _16)
         if wide:
             new = symbol == NEW
             out.put(n, np.where(new, now >> 16, 0).astype(np.uint64), _ONE, np.where(new, 1 << 16, 1).astype(np.uint64))
@@ -205,26 +223,27 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, wide: bool) -> np.nda
     active = np.searchsorted(-lengths, -np.arange(length), side="left")
     for t in range(length):
         n = int(active[t])
-        guess2, guess1, f = models.predict(t, n)
-        ends, at = np.cumsum(f, axis=1), models.at[:n]
-        place = inp.at(n, ends[:, -1].astype(np.uint64) << _16).astype(np.int64)
-        symbol = (ends <= place[:, None] >> 16).sum(1)
-        size = f[at, symbol].astype(np.int64)
+        guess2, guess1 = models.predict(t, n)
+        place = inp.at(n, models.ends[-1].astype(np.uint64) << _16).astype(np.int64)
+        coarse, symbol = place >> 16, np.zeros(n, np.int64)
+        for s in range(SYMBOLS - 1):
+            symbol += models.ends[s] <= coarse
+        start, size = models.share(symbol, n)
         known = (symbol >= 2) & (symbol < NEW)
         d = np.where(known, symbol - 2, 0)
         bits = np.where(symbol == NEW, 16, np.where(known, DEPTH_BITS[d], 0))
-        part, start = size << (16 - bits), ends[at, symbol] - size << 16
+        part, start = size << (16 - bits), start << 16
         value = (place - start) // part
         inp.take(n, (start + value * part).astype(np.uint64), part.astype(np.uint64))
         back = np.clip(t - (value + DEPTHS[d]), 0, length - 1)
-        now = np.where(symbol == 0, guess2, np.where(symbol == 1, guess1, np.where(known, models.ids[at, back], value)))
+        now = np.where(symbol == 0, guess2, np.where(symbol == 1, guess1, np.where(known, models.ids.ravel().take(back * models.ids.shape[1] + models.at[:n]), value)))
         if wide:
             new = symbol == NEW
             high = inp.at(n, np.where(new, 1 << 16, 1).astype(np.uint64))
             inp.take(n, high, _ONE)
             now = now | np.where(new, high.astype(np.int64) << 16, 0)
         models.update(t, n, symbol, now)
-    return models.ids
+    return np.ascontiguousarray(models.ids.T)
 
 
 _HEAD = struct.Struct("<4sBIQ")  # magic, wide, blocks, ids
