@@ -31,6 +31,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG = 24  # words; a longer sentence is cut further
 CUT_ONE_IN = 8
+LONGEST = 32  # words of a piece, where no word chosen by its hash comes (one word over and over)
 CHUNK = 200_000  # spans
 
 _WORD = re.compile(r"\S+")
@@ -61,7 +62,7 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
         else:
             pieces, at = [], 0
             for i, (_, _, w) in enumerate(words):
-                if zlib.crc32(w.lower().encode()) % CUT_ONE_IN == 0:
+                if i - at >= LONGEST or zlib.crc32(w.lower().encode()) % CUT_ONE_IN == 0:
                     pieces.append(words[at : i + 1])
                     at = i + 1
             if at < len(words):
