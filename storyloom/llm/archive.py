@@ -49,27 +49,24 @@ class Models:
 
     def __init__(self, lanes: int, length: int):
         at = np.arange(lanes)
-        self.ids = np.zeros((length, lanes), np.int32)
-        self.slots1, self.slots2 = np.full(lanes * SLOTS, -1, np.int16), np.full(lanes * SLOTS, -1, np.int16)
+        self.lanes, self.flat = lanes, np.full((length + 1) * lanes, -1, np.int32)  # ids by place, then a place of none
+        self.ids = self.flat[: length * lanes].reshape(length, lanes)
+        nowhere = np.repeat(length * lanes + at, SLOTS).astype(np.int32)
+        self.slots1, self.slots2 = nowhere, nowhere.copy()
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.agree, self.after = np.ones((lanes * 16, SYMBOLS), np.int16), np.ones((lanes * 32, SYMBOLS), np.int16)
         self.sum_agree, self.sum_after = np.full(lanes * 16, SYMBOLS, np.int32), np.full(lanes * 32, SYMBOLS, np.int32)
         self.at, self.at_slot, self.at_agree, self.at_after = at, at * SLOTS, at * 16, at * 32
         self.weight, self.last = np.full(lanes, 8, np.int32), np.zeros(lanes, np.int64)
 
-    def _guess(self, slots: np.ndarray, where: np.ndarray, n: int) -> np.ndarray:
-        place = slots.take(where).astype(np.int64)
-        found = self.ids.ravel().take(np.maximum(place, 0) * self.ids.shape[1] + self.at[:n])
-        return np.where(place >= 0, found, -1)
-
     def predict(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Predictions of order 2 and 1 (-1: none) at place t of the first n lanes; leaves the symbols' frequencies in
         `f`, and where each symbol's share ends in `ends`."""
-        one = self.ids[t - 1, :n].astype(np.int64) if t else np.zeros(n, np.int64)
-        two = self.ids[t - 2, :n].astype(np.int64) if t > 1 else np.zeros(n, np.int64)
+        one, two = self.one[:n], self.two[:n]
         mixed = one * 2654435761
         self.h1 = (mixed >> 11 & (SLOTS - 1)) + self.at_slot[:n]
         self.h2 = ((mixed ^ two * 2246822519) >> 11 & (SLOTS - 1)) + self.at_slot[:n]
-        guess1, guess2 = self._guess(self.slots1, self.h1, n), self._guess(self.slots2, self.h2, n)
+        guess1, guess2 = self.flat.take(self.slots1.take(self.h1)), self.flat.take(self.slots2.take(self.h2))
         kind = (guess1 >= 0) * 4 + (guess2 >= 0) * (4 + 4 * (guess1 != guess2))
         self.row_a, self.row_b = kind + self.at_agree[:n] + self.last[:n], (one & 31) + self.at_after[:n]
         self.a, self.b = self.agree.take(self.row_a, 0).T.astype(np.int32), self.after.take(self.row_b, 0).T.astype(np.int32)
@@ -91,8 +88,10 @@ class Models:
     def update(self, t: int, n: int, symbol: np.ndarray, ids: np.ndarray) -> None:
         """After `share`: the ids and symbols that came."""
         self.ids[t, :n] = ids
-        self.slots1[self.h1] = t
-        self.slots2[self.h2] = t
+        self.one, self.two = ids, self.one[:n]
+        here = self.at[:n] + t * self.lanes
+        self.slots1[self.h1] = here
+        self.slots2[self.h2] = here
         here_a, here_b = self.a.ravel().take(self.pick), self.b.ravel().take(self.pick)
         sum_a, sum_b = self.sum_agree.take(self.row_a), self.sum_after.take(self.row_b)
         w = self.weight[:n]
@@ -193,20 +192,23 @@ def _encode_lanes(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
     ids = np.zeros((lanes, length), np.int64)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    far = _distances(ids, lengths)
+    # What a place has to say if neither prediction holds: by place, then lane.
+    far, ids = np.ascontiguousarray(_distances(ids, lengths).T), np.ascontiguousarray(ids.T)
     depth = np.searchsorted(DEPTHS, far, side="right") - 1
+    known = depth >= 0
+    other = np.where(known, depth + 2, NEW)
+    other_value, other_bits = np.where(known, far - DEPTHS[depth], ids & 0xFFFF), np.where(known, DEPTH_BITS[depth], 16)
     models, out = Models(lanes, length), Writer(lanes, length * (2 if wide else 1))
     active = np.searchsorted(-lengths, -np.arange(length), side="left")
     for t in range(length):
         n = int(active[t])
-        now = ids[:n, t]
+        now = ids[t, :n]
         guess2, guess1 = models.predict(t, n)
-        d = depth[:n, t]
-        symbol = np.where(now == guess2, 0, np.where(now == guess1, 1, np.where(d >= 0, d + 2, NEW)))
+        hit2, hit1 = now == guess2, now == guess1
+        hit = hit1 | hit2
+        symbol = np.where(hit, ~hit2, other[t, :n])
         start, size = models.share(symbol, n)
-        known = (symbol >= 2) & (symbol < NEW)
-        bits = np.where(symbol == NEW, 16, np.where(known, DEPTH_BITS[np.maximum(d, 0)], 0))
-        value = np.where(symbol == NEW, now & 0xFFFF, np.where(known, far[:n, t] - DEPTHS[np.maximum(d, 0)], 0))
+        bits, value = np.where(hit, 0, other_bits[t, :n]), np.where(hit, 0, other_value[t, :n])
         # One coding step for both: the symbol's share of the range is cut into 2**bits equal parts.
         part = size << (16 - bits)
         out.put(n, ((start << 16) + value * part).astype(np.uint64), part.astype(np.uint64), models.ends[-1].astype(np.uint64) << _16)
@@ -236,7 +238,7 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, wide: bool) -> np.nda
         value = (place - start) // part
         inp.take(n, (start + value * part).astype(np.uint64), part.astype(np.uint64))
         back = np.clip(t - (value + DEPTHS[d]), 0, length - 1)
-        now = np.where(symbol == 0, guess2, np.where(symbol == 1, guess1, np.where(known, models.ids.ravel().take(back * models.ids.shape[1] + models.at[:n]), value)))
+        now = np.where(symbol == 0, guess2, np.where(symbol == 1, guess1, np.where(known, models.flat.take(back * models.lanes + models.at[:n]), value)))
         if wide:
             new = symbol == NEW
             high = inp.at(n, np.where(new, 1 << 16, 1).astype(np.uint64))
