@@ -82,7 +82,12 @@ class Event:
         return "\n".join(self.fragments)[:MOST_TEXT]
 
 
+_ANY_FAMILY = "|".join(V.FAMILIES.values())
+
+
 def family_of(text: str) -> str:
+    if not has(_ANY_FAMILY, text):
+        return "unknown"
     hit = {f: has(p, text) for f, p in V.FAMILIES.items()}
     for first in ("injury", "contract", "discipline", "institutional"):
         if hit[first]:
@@ -153,7 +158,8 @@ def regroup(block: str, context: Context) -> list[str]:
         return [block]
     groups, now, facts = [], "", None
     for s in found:
-        family, people = family_of(s), people_of(s, context)
+        family = family_of(s)
+        people = people_of(s, context) if family != "unknown" else []  # only then do they matter
         telling = family != "unknown" and bool(people or clubs_of(s, context))
         if not now:
             now, facts = s, (family, people, telling)
@@ -199,7 +205,10 @@ def _relations(text: str, clubs: list[str]) -> tuple[str | None, str | None]:
 
 
 def event_of(kind: str, index: int, text: str, context: Context) -> Event | None:
-    family, clubs, people = family_of(text), clubs_of(text, context), people_of(text, context)
+    family, clubs = family_of(text), clubs_of(text, context)
+    if not clubs and family in ("unknown", "match", "competition"):
+        return None
+    people = people_of(text, context)
     named = {"unknown": bool(people and clubs and len(text) >= 40), "match": bool(clubs), "competition": bool(clubs)}
     named |= dict.fromkeys(("transfer", "contract", "injury", "staff", "statement"), bool(people))
     if not named.get(family, bool(people or clubs)):
