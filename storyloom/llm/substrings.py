@@ -2,9 +2,10 @@
 
 A text is cut into sentences: after a terminator (. ! ? and their kin) that white space follows, at line breaks, and
 before a capitalised word inside a line, which is where a passage pasted into the middle of a sentence begins. Long
-sentences are cut further after words chosen by their own hash, so that a passage gives the same pieces wherever it
-stands. A span is a run of consecutive sentences: from each sentence the shortest run forward, and to each sentence the
-shortest run backward, of at least two sentences and at least MIN_WORDS words. Every span is hashed (128 bits of its
+sentences are cut further after words chosen by the hashes around them, so that a passage gives the same pieces wherever
+it stands; a passage of over 50 words without any sentence end always has a span of its own. A span is a run of consecutive sentences: from each sentence the shortest run forward, and to each sentence the
+shortest run backward, of at least two sentences and at least MIN_WORDS words (inside a long sentence, backward runs that
+the forward run from the same piece covers but for less than a piece are left out). Every span is hashed (128 bits of its
 words); spans of equal hash are copies, the first is the one of the least (doc_id, position), and every sentence that
 some non-first copy covers is removed. What is shorter than a span (common words, headings, stock lines) stays.
 
@@ -14,7 +15,7 @@ share meets as one row per chunk. Only repeats go on to the rebuilding of their
 
 Defined results: a null text stays null, an empty or blank one unchanged; rows that repeat
 a doc_id and its text are one document, rows that share a doc_id alone are ordered by their text's CRC-32; rows with a null doc_id are left alone and are nobody's first. A very long text without
-sentence ends is cut at hashed words like any long sentence.
+sentence ends is cut like any long sentence.
 """
 
 from __future__ import annotations
@@ -30,16 +31,37 @@ from storyloom.llm.common import arrow_map, table
 MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG = 24  # words; a longer sentence is cut further
-CUT_ONE_IN = 8
-LONGEST = 32  # words of a piece, where no word chosen by its hash comes (one word over and over)
+WINDOW = 6  # words, of which one is cut after; 51 words less 2 * WINDOW - 2 at either edge leave MIN_WORDS and a piece
 CHUNK = 200_000  # spans
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 
+def cuts(words: list[str]) -> list[int]:
+    """After which words a long run is cut: in every WINDOW words the last of least hash (winnowing). Which of a window's
+    words that is hangs on the window alone, so two copies of a passage are cut alike but for WINDOW - 1 words at either
+    edge, and no piece but the first and last is longer than WINDOW. One word over and over is cut after each."""
+    hashes = [zlib.crc32(w.encode()) for w in words]
+    out, best = [], -1
+    for i in range(WINDOW - 1, len(words)):
+        if best <= i - WINDOW:
+            lo = i - WINDOW + 1
+            best = max(range(lo, i + 1), key=lambda k: (-hashes[k], k))
+        elif hashes[i] <= hashes[best]:
+            best = i
+        if not out or out[-1] != best:
+            out.append(best)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, normal words) of each sentence; code points, end after its last word."""
+    return pieces(text)[0]
+
+
+def pieces(text: str) -> tuple[list[tuple[int, int, list[str]]], set[int]]:
+    """The text's sentences, and which of them end at a cut inside a long one."""
     raw: list[list[tuple[int, int, str]]] = []
     for line in re.finditer(r"[^\n]+", text):
         now: list[tuple[int, int, str]] = []
@@ -55,24 +77,23 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
                 now = []
         if now:
             raw.append(now)
-    out = []
+    out: list[tuple[int, int, list[str]]] = []
+    inner: set[int] = set()
     for words in raw:
-        if len(words) <= LONG:
-            pieces = [words]
-        else:
-            pieces, at = [], 0
-            for i, (_, _, w) in enumerate(words):
-                if i - at >= LONGEST or zlib.crc32(w.lower().encode()) % CUT_ONE_IN == 0:
-                    pieces.append(words[at : i + 1])
-                    at = i + 1
-            if at < len(words):
-                pieces.append(words[at:])
-        out += [(p[0][0], p[-1][1], [w.lower() for _, _, w in p]) for p in pieces]
-    return out
-
-
-def spans(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
-    """(first, last) sentence of each span, without repeats: shortest runs forward from, and backward to, each sentence."""
+        normal, at = [w.lower() for _, _, w in words], 0
+        for i in cuts(normal) if len(words) > LONG else ():
+            if i + 1 < len(words):
+                inner.add(len(out))
+                out.append((words[at][0], words[i][1], normal[at : i + 1]))
+                at = i + 1
+        out.append((words[at][0], words[-1][1], normal[at:]))
+    return out, inner
+
+
+def spans(found: list[tuple[int, int, list[str]]], inner: set[int] = frozenset()) -> list[tuple[int, int]]:
+    """(first, last) sentence of each span, without repeats: shortest runs forward from, and backward to, each sentence. To
+    one of `inner`, from a piece of at most WINDOW words, the forward run falls short by less than that piece and stands
+    for both."""
     n, out = len(found), {}
     size = [0]
     for _, _, w in found:
@@ -92,7 +113,8 @@ def spans(found: list[tuple[int, int, list[str]]]) -> list[tuple[int, int]]:
             i -= 1
         if i < 0:
             break
-        out[i, j] = True
+        if j not in inner or len(found[i][2]) > WINDOW:
+            out[i, j] = True
     return list(out)
 
 
@@ -126,10 +148,10 @@ def hashed_spans(docs: DataFrame) -> DataFrame:
             for i, text in zip(ids, texts):
                 if i is None or not text:
                     continue
-                found = sentences(text)
+                found, inner = pieces(text)
                 row = zlib.crc32(text.encode()) << 31
                 lines = [" ".join(w) for _, _, w in found]
-                for a, b in spans(found):
+                for a, b in spans(found, inner):
                     digests.append(xxhash.xxh3_128_digest(" ".join(lines[a : b + 1])))
                     held.append((i, row + a, b - a + 1))
             if len(held) >= CHUNK:

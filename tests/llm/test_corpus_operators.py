@@ -284,6 +284,37 @@ def test_substrings_on_a_table(spark):
     assert substrings.remove_repeats(fixtures.frame(spark, [])).count() == 0
 
 
+def running(rng, n):
+    return [rng.choice(fixtures.WORDS) + rng.choice(["", "re", "th", "an", "on"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [51, 52, 55, 60, 70])
+def test_lower_case_passages_without_sentence_ends_share_a_span(n):
+    rng = random.Random(n)
+    for _ in range(400):
+        passage = running(rng, n)
+        seen = []
+        for _ in range(2):
+            words = running(rng, rng.randint(0, 60)) + passage + running(rng, rng.randint(0, 60))
+            found, inner = substrings.pieces(" ".join(words))
+            seen.append({" ".join(w for _, _, ws in found[a : b + 1] for w in ws) for a, b in substrings.spans(found, inner)})
+        assert any(s in " ".join(passage) for s in seen[0] & seen[1])
+
+
+def test_lower_case_passages_are_removed(spark):
+    rng = random.Random(8)
+    rows, passages = [], [running(rng, 51) for _ in range(60)]
+    for i, p in enumerate(passages):
+        for k in (0, 100):
+            rows.append((i + k, " ".join(running(rng, 40) + p + running(rng, 40)), "en", "s", 1, "", "", 0))
+    got = {r.doc_id: r for r in substrings.remove_repeats(fixtures.frame(spark, rows)).collect()}
+    assert all(got[i].n_removed == 0 and got[i].text == rows[2 * i][1] for i in range(60))
+    gone = [131 - len(got[100 + i].text.split()) for i in range(60)]
+    assert min(gone) >= substrings.MIN_WORDS and max(gone) <= 51 and sum(gone) / 60 > 35
+    one = [(i, "x " * 51 + " ".join(running(rng, 40)), "en", "s", 1, "", "", 0) for i in range(2)]
+    assert {r.doc_id: r.n_removed > 0 for r in substrings.remove_repeats(fixtures.frame(spark, one)).collect()}[1]
+
+
 def brute_removed(rows):
     """Sentences covered by any non-first repeated span, by comparing all spans."""
     first, out = {}, defaultdict(set)
