@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation: restore disguised words, then score the restored text.
 
-A disguised word (look-alike characters, letters spread over spaces or dots, letters drawn out) is a lattice: each
-character stands for itself or for the letters it may hide, punctuation may be dropped, a drawn-out letter may be one
-or two, and between single letters a word may end. Viterbi decoding finds the likeliest reading under a character
+A disguised word (look-alike characters, letters spread over white space or punctuation, letters doubled or drawn out) is
+a lattice: each character stands for itself or for the letters it may hide, punctuation may be dropped, a doubled or
+drawn-out letter may be one or two, and between single letters a word may end. Viterbi decoding finds the likeliest reading under a character
 trigram model (what people write) and the channel's costs (how they disguise it). The trigram model is counted over
 every document; its table is bounded by the alphabet's cube, whatever the corpus.
 
@@ -50,14 +50,19 @@ HIDES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "%": "", "#": "", "*": "aeiou",
 }
-SUBSTITUTE, DROP, DROP_DIGIT, SHORTEN, BREAK = 1.0, 1.5, 8.0, 0.5, 2.0
+SUBSTITUTE, DROP, DROP_DIGIT, SHORTEN, UNDOUBLE, BREAK = 1.0, 1.5, 8.0, 0.5, 1.0, 2.0
 
 _PIECES = re.compile(r"[^\W\d_]+")
+_SIGNS = re.escape("".join(c for c in HIDES if not c.isdigit()))
 _EDGES = re.compile(r"^[^\w@$(<|+!€£]+|[^\w@+€£]+$")
-_DISGUISED = re.compile(r"[^\W\d_].*[\W\d_].*[^\W\d_]|^[@$(<|+!0-9€£][^\W\d_]{2}|([^\W\d_])\1\1|[^\W\d_]{2}[@+€£0-9]$", re.S)
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,3}[^\W_]){3,}(?![^\W_])")
-_GAPS = re.compile(r"[ .\-_*]+")
-_DRAWN = re.compile(r"(.)\1\1+", re.S)
+_FAR_EDGES = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
+_LETTER = re.compile(r"[^\W\d_]")
+_MARK = re.compile(rf"[0-9{_SIGNS}]|([^\W\d_])\1|[^\W\d_][\W\d_]+[^\W\d_]")  # a look-alike, a doubled letter, a letter set apart
+# Lone characters with up to eight others between them; a sign counts as one if it stands apart from words and signs.
+_LONE = rf"(?:(?<![^\W_])[^\W_](?![^\W_])|(?<![^\s.,/\\\-_:;*~])[{_SIGNS}](?![^\s.,/\\\-_:;*~]))"
+_UNIT = re.compile(_LONE)
+_SPACED = re.compile(rf"{_LONE}(?:[\W_]{{1,8}}?{_LONE}){{2,}}+")
+_DRAWN = re.compile(r"([^\W\d_])\1+|(.)\2\2+", re.S)
 
 
 def count_trigrams(text: str, into: np.ndarray) -> None:
@@ -93,22 +98,34 @@ class Channel:
         """For each unit of the text its readings: letters (none, one, two) and the channel's cost."""
         units, at = [], 0
         for m in _DRAWN.finditer(text):
-            units += [(c, 1) for c in text[at : m.start()]] + [(m[1], m.end() - m.start())]
+            units += [(c, 1) for c in text[at : m.start()]] + [(m.group()[0], m.end() - m.start())]
             at = m.end()
         units += [(c, 1) for c in text[at:]]
         out = []
         for c, n in units:
             hidden = HIDES.get(c, "")
             if c.isalpha():
-                out.append([(c, 0.0 if n == 1 else SHORTEN), *([(c + c, SHORTEN)] if n > 1 else [])])
+                once, twice = (UNDOUBLE, 0.0) if n == 2 else (SHORTEN, SHORTEN)
+                out.append([(c, once), (c + c, twice)] if n > 1 else [(c, 0.0)])
             else:
                 drop = DROP_DIGIT if c.isdigit() else DROP
-                out.append([("", drop), *((h, SUBSTITUTE) for h in hidden)])
+                out.append([("", drop), *((h, SUBSTITUTE) for h in hidden), *((h + h, SUBSTITUTE + SHORTEN) for h in hidden if n > 1)])
             if breaks:
                 out[-1] += [(r + " ", k + BREAK) for r, k in out[-1] if r]
         return out
 
+    def undoubled(self, text: str, at: int) -> str:
+        """What decode() gives for letters of which only text[at] and the next are doubled: just three costs differ."""
+        get, end = _INDEX.get, SIDE - 1
+        v, c, n = get(text[at - 1], end) if at else 0, get(text[at], end), get(text[at + 2], end) if at + 2 < len(text) else 0
+        both = self.costs[(v * SIDE + c) * SIDE + c] + self.costs[(c * SIDE + c) * SIDE + n]
+        return text[:at] + text[at + 1 :] if self.costs[(v * SIDE + c) * SIDE + n] + UNDOUBLE < both else text
+
     def decode(self, text: str, breaks: bool = False) -> str:
+        if not breaks and text.isalpha():
+            drawn = list(_DRAWN.finditer(text))
+            if len(drawn) == 1 and len(drawn[0].group()) == 2:
+                return self.undoubled(text, drawn[0].start())
         best = {(0, 0): (0.0, None)}  # last two letters -> cost, and the letters so far as a chain
         costs, get = self.costs, _INDEX.get
         for readings in self.lattice(text, breaks):
@@ -143,14 +160,23 @@ class Restorer:
             if len(self.memo) > MEMO:
                 self.memo.clear()
             plain = _PIECES.findall(token)
-            core = _EDGES.sub("", token)
-            if _DISGUISED.search(core):
-                plain += _PIECES.findall(self.channel.decode(core))
+            # Signs at the edges are punctuation or hide letters: both readings count.
+            for core in {_EDGES.sub("", token): 1, _FAR_EDGES.sub("", token): 1}:
+                if _LETTER.search(core) and _MARK.search(core):
+                    plain += [w for w in _PIECES.findall(self.channel.decode(core)) if w not in plain]
             found = self.memo[token] = tuple(plain)
         return found
 
     def spaced(self, text: str) -> list[str]:
-        return [w for m in _SPACED.finditer(text) for w in self.channel.decode(_GAPS.sub("", m.group()), breaks=True).split()]
+        out = []
+        for m in _SPACED.finditer(text):
+            units = "".join(_UNIT.findall(m.group()))
+            bare = "".join(c for c in units if c.isalnum())
+            # Lone signs are letters or separators: both readings count. Three digits are a number.
+            for line in {units: 1, bare: 1} if bare else ():
+                if len(line) > 3 or len(line) == 3 and any(map(str.isalpha, line)):
+                    out += self.channel.decode(line, breaks=True).split()
+        return out
 
     def words(self, text: str) -> list[str]:
         text = text.lower()

@@ -178,6 +178,21 @@ def test_restoring_disguised_words():
     assert r.words("oueand$$$ the") == ["oueand", "the"]
 
 
+def test_restoring_combined_disguises():
+    counts = np.zeros(toxicity.SIDE**3, np.int64)
+    for w in ("idiot", "stupid", "trash", "scum", "ass", "worthless", "the and of that"):
+        for _ in range(50):
+            toxicity.count_trigrams(f"the {w} and {w} of", counts)
+    r = toxicity.Restorer(toxicity.Channel(toxicity.trigram_costs(counts)))
+    for disguised, word in [
+        ("i d ! o t", "idiot"), ("t r @ s h", "trash"), ("$ c u m", "scum"), ("a s s", "ass"), ("t\tr\ta\ts\th", "trash"), ("i\nd\ni\no\nt", "idiot"), ("s , c , u , m", "scum"), ("t / r / a / s / h", "trash"),
+        ("i*d*i*o*t", "idiot"), ("stuupid", "stupid"), ("iddiott", "idiot"), ("a$$", "ass"), ("a55", "ass"), ("s t u u p i d", "stupid"), ("t  r  @  $  h", "trash"), ("1 d 1 0 t", "idiot"), ("a$$!", "ass"),
+    ]:
+        assert word in r.words(f"worthless {disguised} worthless"), disguised
+    assert r.spaced("1 2 3 of") == [] and r.words("the and") == ["the", "and"]
+    r.words("! " * 20_000 + "* " * 20_000 + "a " * 300 + "$*" * 20_000)
+
+
 def test_toxicity_on_a_table(spark):
     rng = random.Random(4)
     rows, labels = [], []
