@@ -3,9 +3,11 @@
 Best fit decreasing looks at pieces by length only, and lengths are few (1 to the capacity). So the plan is made once,
 for the whole table, from the count of pieces of each length: lengths go down, and for each the tightest open bins that
 it fits are found through a segment tree over remaining capacities (which capacities have open bins), in logarithmic
-time; bins of one remaining capacity are alike, so a whole run of them is filled in one step. The plan is a table of
-runs (length, rank from, rank to, first bin, offset), and each piece finds its place by its rank among the pieces of
-its length. The outcome is that of placing every piece of the table, longest first, one by one.
+time. A bin just filled is tighter than it was, so it takes pieces of the same length until none fits any more, and only
+then does the next bin get one; bins of one remaining capacity are alike, so a whole run of them is filled in one step.
+The plan is a table of runs (length, rank from, rank to, first bin, offset, pieces a bin), and each piece finds its place
+by its rank among the pieces of its length. The outcome is that of placing every piece of the table, longest first, one
+by one.
 
 What meets in one place is the count per length (at most the capacity's number of rows) and the plan. Ranks come from
 per-task counts and a running sum per length over tasks, so no length's pieces are ever gathered.
@@ -61,13 +63,14 @@ class OpenCapacities:
         return None
 
 
-def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, from rank, to rank, first bin, offset) and the number of bins, for `counts` pieces of each length."""
+def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """Runs (length, from rank, to rank, first bin, offset, pieces a bin) and the number of bins, for `counts` pieces of
+    each length."""
     tree, open_bins = OpenCapacities(capacity), {}
     plan, bins = [], 0
 
     def put(r: int, first: int, n: int) -> None:
-        if r:
+        if r and n:
             if not open_bins.get(r):
                 tree.set(r, True)
             runs = open_bins.setdefault(r, [])
@@ -80,32 +83,27 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
         rank, left = 0, counts[length]
         while left:
             r = tree.tightest(length)
-            if r is None:
-                # New bins for all that is left, each taking as many of this length as it holds.
-                per = capacity // length
-                full, rest = divmod(left, per)
-                for k in range(per):
-                    n = full + (k < rest)
-                    if n:
-                        plan.append((length, rank, rank + n, bins, k * length))
-                        rank += n
-                put(capacity - per * length, bins, full)
-                if rest:
-                    put(capacity - rest * length, bins + full, 1)
-                bins += full + (rest > 0)
-                left = 0
-                break
-            runs = open_bins[r]
-            first, n = runs[-1]
-            take = min(n, left)
-            if take == n:
-                runs.pop()
+            per = (capacity if r is None else r) // length
+            if r is None:  # new bins for all that is left
+                first, n = bins, -(-left // per)
+                r, bins = capacity, bins + n
             else:
-                runs[-1] = [first + take, n - take]
-            if not runs:
-                tree.set(r, False)
-            plan.append((length, rank, rank + take, first, capacity - r))
-            put(r - length, first, take)
+                runs = open_bins[r]
+                first, n = runs.pop()
+                if n * per > left:  # the run's other bins stay as they are
+                    n, whole = -(-left // per), n
+                    if whole > n:
+                        runs.append([first + n, whole - n])
+                if not runs:
+                    tree.set(r, False)
+            take = min(left, n * per)
+            full, rest = divmod(take, per)
+            if full:
+                plan.append((length, rank, rank + full * per, first, capacity - r, per))
+                put(r - per * length, first, full)
+            if rest:  # the last bin, with room for more of this length
+                plan.append((length, rank + full * per, rank + take, first + full, capacity - r, rest))
+                put(r - rest * length, first + full, 1)
             rank, left = rank + take, left - take
     return plan, bins
 
@@ -161,7 +159,7 @@ def _slices(plan: list) -> list[list]:
 
 def _place(ranked: DataFrame, plan: list) -> DataFrame:
     """The plan's rows are by falling length, then rising rank: a piece's row is found by binary search."""
-    table_ = np.array(plan, np.int64).reshape(-1, 5)
+    table_ = np.array(plan, np.int64).reshape(-1, 6)
     sent = ranked.sparkSession.sparkContext.broadcast(table_)
 
     def run(batches):
@@ -173,9 +171,10 @@ def _place(ranked: DataFrame, plan: list) -> DataFrame:
             cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in ("length", "rank")}
             at = np.searchsorted(key, -cols["length"] * (1 << 44) + cols["rank"], side="right") - 1
             row = plan_[at] if len(plan_) else plan_[:0]
-            bins = row[:, 3] + cols["rank"] - row[:, 1]
+            bins, within = np.divmod(cols["rank"] - row[:, 1], row[:, 5])
+            offset = row[:, 4] + within * cols["length"]
             keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(bins), pa.array(row[:, 4])], [*keep, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(row[:, 3] + bins), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
