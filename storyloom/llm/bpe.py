@@ -7,6 +7,9 @@ rest (encoding the two side by side gives the two again). A node is visited once
 path from the root to the current node is held, so memory is bounded by the longest word. A word's ids are read off
 backwards from its leaf, whose final symbol is the end-of-word form.
 
+Decoding reads ids alone: a group of ids (those of a chunk) is looked up by its ids in what the worker has decoded
+before, else id by id in the vocabulary; nothing of the encoder's strings goes into it.
+
 Defined results: null and empty texts have no ids, the digest of nothing and an empty decoded text; strings that are
 control tokens of the vocabulary become those tokens; texts are read whole whatever their length.
 """
@@ -46,6 +49,7 @@ class TrieBpe:
         self.alone: dict[str, bool] = {}
         self.memo: dict[str, tuple[str, ...]] = {}
         self.chunks = ChunkCodes(self._new)
+        self.decoded = _Decoded(self.strings)
         self._lib = None
 
     # -- the pair test -------------------------------------------------------------------------------------------
@@ -127,23 +131,20 @@ class TrieBpe:
         return word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
 
     # -- texts ---------------------------------------------------------------------------------------------------
-    def _new(self, chunks: list[str]) -> list[tuple[str, str, int]]:
-        """For each chunk: its ids and its tokens, space-joined, and how many there are."""
+    def _new(self, chunks: list[str]) -> list[tuple[str, int]]:
+        """For each chunk: its ids, space-joined, and how many there are."""
         split = [[self.to_bytes_alphabet(w) for w in self.words.findall(c)] for c in chunks]
         return self._codes(split)
 
-    def _codes(self, split: list[list[str]]) -> list[tuple[str, str, int]]:
+    def _codes(self, split: list[list[str]]) -> list[tuple[str, int]]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
+        memo, vocab = self.memo, self.vocab
         memo.update(self.encode_words([w for ws in split for w in ws if w not in memo]))
-        out = []
-        for ws in split:
-            tokens = [t for w in ws for t in memo[w]]
-            out.append((" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)))
-        return out
+        ids = [[str(vocab[t]) for w in ws for t in memo[w]] for ws in split]
+        return [(" ".join(x), len(x)) for x in ids]
 
-    def _whole(self, text: str) -> tuple[str, str, int]:
+    def _whole(self, text: str) -> list[tuple[str, int]]:
         """A text outside the plain range: control strings split off, the library's normaliser and pre-tokenizer."""
         if self._lib is None:
             from tokenizers import Tokenizer
@@ -153,31 +154,41 @@ class TrieBpe:
         out = []
         for part in parts:
             if part in self.control:
-                out.append((str(self.control[part]), part, 1))
+                out.append((str(self.control[part]), 1))
             elif part:
                 pieces = self._lib.pre_tokenizer.pre_tokenize_str(self._lib.normalizer.normalize_str(part))
                 out += self._codes([[w for w, _ in pieces]])
-        out = [x for x in out if x[2]]
-        return " ".join(x[0] for x in out), " ".join(x[1] for x in out), sum(x[2] for x in out)
+        return out
 
-    def block(self, texts: list[str | None]) -> list[tuple[str, str, int]]:
-        """(ids, decoded text, number of ids) of each text."""
+    def block(self, texts: list[str | None]) -> list[tuple[list[str], int]]:
+        """For each text its ids, as groups of space-joined ids in order, and the number of ids."""
         texts = [t or "" for t in texts]
         easy = [plain(t) for t in texts]
         fast = iter(self.chunks.block([t for t, e in zip(texts, easy) if e]))
-        out = []
-        for t, e in zip(texts, easy):
-            if e:
-                codes = [c for c in next(fast) if c[2]]
-                out.append((" ".join([c[0] for c in codes]), " ".join([c[1] for c in codes]), sum([c[2] for c in codes])))
-            else:
-                out.append(self._whole(t))
-        return out
+        codes = [next(fast) if e else self._whole(t) for t, e in zip(texts, easy)]
+        return [([c[0] for c in found if c[1]], sum([c[1] for c in found])) for found in codes]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary names no decoder, so tokens are joined by spaces; ids outside it are skipped."""
         return " ".join(self.strings[i] for i in ids if i in self.strings)
 
+    def decode_groups(self, groups: list[str]) -> str:
+        """`decode` of all the groups' ids in a row."""
+        if len(self.decoded) > MEMO:
+            self.decoded.clear()
+        return " ".join(map(self.decoded.__getitem__, groups))
+
+
+class _Decoded(dict):
+    """Space-joined ids -> decoded text."""
+
+    def __init__(self, strings: dict[int, str]):
+        self.strings = strings
+
+    def __missing__(self, group: str) -> str:
+        found = self[group] = " ".join([self.strings[int(i)] for i in group.split()])
+        return found
+
 
 _WORKER: dict[str, TrieBpe] = {}
 
@@ -195,7 +206,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         bpe = worker(path)
         for ids, texts in blocks:
             codes = bpe.block(texts)
-            yield {"doc_id": ids, "ids": [[int(x) for x in c[0].split()] for c in codes], "decoded": [c[1] for c in codes]}
+            yield {"doc_id": ids, "ids": [[int(x) for g in groups for x in g.split()] for groups, _ in codes], "decoded": [bpe.decode_groups(groups) for groups, _ in codes]}
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, decoded string", 256)
 
@@ -207,7 +218,12 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         bpe, hexed = worker(path), lambda s: hashlib.sha256(s.encode()).hexdigest()
         for ids, texts in blocks:
             codes = bpe.block(texts)
-            yield {"doc_id": ids, "n_tokens": [c[2] for c in codes], "ids_sha256": [hexed(c[0]) for c in codes], "decoded_sha256": [hexed(c[1]) for c in codes]}
+            yield {
+                "doc_id": ids,
+                "n_tokens": [n for _, n in codes],
+                "ids_sha256": [hexed(" ".join(groups)) for groups, _ in codes],
+                "decoded_sha256": [hexed(bpe.decode_groups(groups)) for groups, _ in codes],
+            }
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", 256)
 
