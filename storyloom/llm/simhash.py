@@ -5,26 +5,34 @@ so for each of the 15 pairs of blocks the fingerprints that agree there form a b
 bucket. Within buckets a binary trie (a sorted array of fingerprints, its nodes ranges) is joined with itself: node
 pairs go down together, differing bits add up, and a pair is dropped once they exceed the budget. A pair of nodes that
 already lie in one component has nothing to add and is dropped too, so a dense group of thousands of near copies costs
-about its size and not its square. A bucket gives back links to its components' least ids only, at most one per member.
+about its size and not its square; so that such groups are known early, neighbours in sorted and rotated order are
+compared before the walk (an aid to pruning: each link it makes is within the budget, and the walk finds all others).
+A bucket gives back links to its components' least fingerprints only, at most one per member.
 
 Equal fingerprints are one node from the start (partial aggregation), so a group of copies, however large, is one row
-here; a bucket holds different fingerprints only, and those within reach of one centre are bounded by the Hamming ball.
+here. A bucket with more than LARGE different fingerprints is not gathered: its members go to the 70 finer buckets of
+four in eight blocks (32 bits), in which any two within the budget agree as well, so nothing is lost.
+
+Nodes are fingerprints and not ids, so rows that share a doc_id link no texts but their own. The blocks are complete up
+to a budget of four bits; a larger one is refused.
 
 Defined results: null, empty and all-blank texts have fingerprint zero and are linked like any other; a text of fewer
-than four words is one shingle; repeated doc_ids are one document per row with the same component; ties need no rule,
-since a component's id is its least doc_id. Rows whose doc_id is null keep a null component id.
+than four words is one shingle; a component's id is the least doc_id in it (null if all of its rows lack one); rows that
+repeat a doc_id each have the component of their own text; a null doc_id has a null component id. `keep_one` keeps exactly
+one row of every component: that of the least doc_id (rows without one last), then of the least text hash; of equal rows one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.llm.common import arrow_map, cut, table
+from storyloom.llm.common import arrow_map, cut, spill_table, table
 from storyloom.llm.graph import components
 
 WORDS = 4
@@ -32,6 +40,9 @@ SEED = 42
 BUDGET = 4
 BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))  # (shift, bits)
 PAIRS = [(i, j) for i in range(len(BLOCKS)) for j in range(i + 1, len(BLOCKS))]
+FINE = tuple((8 * k, 8) for k in range(8))
+FOURS = list(combinations(range(8), 4))
+LARGE = 1 << 20  # fingerprints; a larger bucket is split into finer ones
 WIDE = 1 << 19  # node pairs expanded at a time
 
 
@@ -64,10 +75,30 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
+def _keys(fp: str, blocks: tuple, groups: list) -> F.Column:
+    part = [F.shiftrightunsigned(F.col(fp), s).bitwiseAND(F.lit((1 << b) - 1).cast("long")) for s, b in blocks]
+
+    def key(k: int, group: tuple):
+        bits = part[group[0]]
+        for i in group[1:]:
+            bits = F.shiftleft(bits, blocks[i][1]).bitwiseOR(part[i])
+        return F.lit(k << 40).cast("long").bitwiseOR(bits)
+
+    return F.array(*[key(k, g) for k, g in enumerate(groups)])
+
+
 def bucket_keys(fp: str = "fp"):
     """An array of the 15 keys of a fingerprint: which pair of blocks, and their bits."""
-    part = [F.shiftrightunsigned(F.col(fp), s).bitwiseAND(F.lit((1 << b) - 1).cast("long")) for s, b in BLOCKS]
-    return F.array(*[F.shiftleft(F.lit(k).cast("long"), 24).bitwiseOR(F.shiftleft(part[i], BLOCKS[j][1])).bitwiseOR(part[j]) for k, (i, j) in enumerate(PAIRS)])
+    return _keys(fp, BLOCKS, PAIRS)
+
+
+def buckets(nodes: DataFrame, large: int = LARGE) -> DataFrame:
+    """(key, fp): every fingerprint in each of its buckets; those of too large buckets in finer ones."""
+    keyed = nodes.select(F.explode(bucket_keys()).alias("key"), "fp")
+    crowded = keyed.groupBy("key").count().where(F.col("count") > large).select("key")  # few: each stands for `large` rows
+    fine = keyed.join(crowded, "key", "left_semi").select("fp").distinct()
+    fine = fine.select(F.explode(_keys("fp", FINE, FOURS)).alias("key"), "fp").select((F.col("key") + F.lit(1 << 50)).alias("key"), "fp")
+    return keyed.join(crowded, "key", "left_anti").unionByName(fine)
 
 
 def _labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
@@ -159,12 +190,12 @@ def trie_self_join(run: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.
 
 
 def bucket_links(keyed: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """(u, v): links from each node to the least of its component within a bucket; `keyed` is (key, fp, rep)."""
+    """(u, v): links from each fingerprint to the least of its component within a bucket; `keyed` is (key, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # the rows of the key that may go on in the next batch
 
-        def links(key, fp, rep):
+        def links(key, fp):
             if len(key) < 2:
                 return None
             start = np.r_[True, key[1:] != key[:-1]]
@@ -173,54 +204,72 @@ def bucket_links(keyed: DataFrame, budget: int = BUDGET) -> DataFrame:
             some = size > 1
             if not some.any():
                 return None
-            runs, fp, rep = runs[some], fp[some], rep[some]
-            label = trie_self_join(runs, fp, budget)
-            least = rep.copy()
-            np.minimum.at(least, label, rep)
-            v = least[label]
-            off = rep != v
-            return pa.RecordBatch.from_arrays([pa.array(rep[off]), pa.array(v[off])], ["u", "v"])
+            runs, fp = runs[some], fp[some]
+            v = fp[trie_self_join(runs, fp, budget)]
+            off = fp != v
+            return pa.RecordBatch.from_arrays([pa.array(fp[off].view(np.int64)), pa.array(v[off].view(np.int64))], ["u", "v"])
 
         def ready(parts):
-            key, fp, rep = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((fp.view(np.uint64), key))
-            return key[order], fp.view(np.uint64)[order], rep[order]
+            key, fp = (np.concatenate(x) for x in zip(*parts))
+            fp = fp.view(np.uint64)
+            order = np.lexsort((fp, key))
+            return key[order], fp[order]
 
         for b in batches:
-            key, fp, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            key, fp = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(key):
                 continue
             same = np.searchsorted(key, key[-1])  # keys ascend within the partition
             if same == 0 and held and held[-1][0][-1] == key[-1]:
-                held.append((key, fp, rep))
+                held.append((key, fp))
                 continue
-            if out := links(*ready([*held, (key[:same], fp[:same], rep[:same])])) if held or same else None:
+            if out := links(*ready([*held, (key[:same], fp[:same])])) if held or same else None:
                 yield out
-            held = [(key[same:], fp[same:], rep[same:])]
+            held = [(key[same:], fp[same:])]
         if held and (out := links(*ready(held))):
             yield out
 
     return keyed.mapInArrow(run, "u long, v long")
 
 
+def roots(nodes: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(node, root) of every fingerprint that is not its component's root; `nodes` holds each `fp` once."""
+    if budget > BUDGET:
+        raise ValueError(f"the blocks find all links of at most {BUDGET} bits, not of {budget}")
+    keyed = buckets(nodes)
+    keyed = keyed.repartition(max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "key").sortWithinPartitions("key")
+    return components(bucket_links(keyed, budget))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) of every row of `docs`."""
-    spark = docs.sparkSession
     own = cut(fingerprints(docs, words))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keyed = nodes.where("rep is not null").select(F.explode(bucket_keys()).alias("key"), "fp", "rep")
-    keyed = keyed.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key").sortWithinPartitions("key")
-    roots = components(bucket_links(keyed, budget))
-    named = nodes.join(roots, nodes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"))
-    out = own.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+    named = nodes.join(roots(nodes.select("fp"), budget), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    named = named.join(least, "root").select("fp", "least")
+    out = own.join(named, "fp")
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """`docs` without the near copies: the row of each component's least doc_id stays; rows without a doc_id stay."""
-    found = near_duplicates(docs, words, budget)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """`docs` without the near copies: one row of each component stays (see above which), with its columns as they were.
+
+    Rows get a number when they are written beside their fingerprints, so a decision is about a row and not about an id."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("n"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], "<u8").view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["row", "n", "fp"])
+
+    held = spill_table(rows.mapInArrow(run, rows.select("row", "n", F.lit(0).cast("long").alias("fp")).schema))
+    doc, text = F.col("row.doc_id"), F.col("row.text")
+    order = F.struct(doc.isNull().alias("a"), doc.alias("b"), F.xxhash64(text).alias("c"), F.col("n").alias("d"))
+    nodes = held.groupBy("fp").agg(F.min(order).alias("first"))
+    named = nodes.join(roots(nodes.select("fp"), budget), F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias("n"))
+    return held.join(kept, "n", "left_semi").select("row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

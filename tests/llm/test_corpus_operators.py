@@ -1,6 +1,7 @@
 """Operators over the whole corpus, held against brute force on small tables."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -93,8 +94,38 @@ def test_simhash_on_a_table(spark):
             assert r.component_id is None
     kept = simhash.keep_one(fixtures.frame(spark, rows))
     assert kept.columns == fixtures.frame(spark, rows).columns
-    assert {r.doc_id for r in kept.collect()} == {*want.values(), None}
-    assert simhash.near_duplicates(fixtures.frame(spark, [])).count() == 0
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert simhash.near_duplicates(fixtures.frame(spark, [])).count() == 0 and simhash.keep_one(fixtures.frame(spark, [])).count() == 0
+
+
+def test_one_row_of_every_component_stays(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (fixtures.text(rng, 12) for _ in range(5))
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (None, a), (None, d), (None, d), (3, e), (3, None), (4, None)]
+    df = spark.createDataFrame([(i, t, "fp", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, fp string, n int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and all(r.fp == "fp" for r in kept.collect())
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (9, c), (None, d), (3, e), (3, None)], key=str)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(df.select("doc_id", "text")).collect()}
+    signed = lambda t: plain_fingerprint(t) - ((1 << 64) if plain_fingerprint(t) >> 63 else 0)
+    assert [got[i, signed(t)] for i, t in ((1, a), (5, a), (5, b), (7, b), (9, c), (3, None), (None, d))] == [1, 1, 5, 5, 9, 3, None]
+
+
+def test_large_buckets_split_without_loss(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    fps = {x ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for x in base for _ in range(10)}
+    fps |= {(0xABC << 52) | rng.getrandbits(40) for _ in range(300)}
+    fps |= {x ^ sum(1 << i for i in rng.sample(range(40), 4)) for x in sorted(fps)[-40:]}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = plain_components(signed, lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= 4)
+    for large in (simhash.LARGE, 3):
+        found = graph.components(simhash.bucket_links(simhash.buckets(nodes, large).repartition(4, "key").sortWithinPartitions("key")))
+        got = {r.node: r.root for r in found.collect()}
+        assert {x: got.get(x, x) for x in signed} == want
+    with pytest.raises(ValueError):
+        simhash.roots(nodes, 5)
 
 
 def plain_best_fit(lengths, capacity):
@@ -109,25 +140,33 @@ def plain_best_fit(lengths, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize("seed", range(30))
-def test_plan_is_best_fit_decreasing(seed):
-    rng = random.Random(seed)
-    capacity = rng.choice([7, 20, 64, 100])
-    lengths = [rng.randint(1, capacity) if rng.random() < 0.7 else max(1, capacity // 3) for _ in range(rng.randint(0, 200))]
+def check_plan(lengths, capacity):
     counts = Counter(lengths)
     plan, bins = packing.best_fit_decreasing(counts, capacity)
-    assert bins == plain_best_fit(lengths, capacity)
+    assert bins == plain_best_fit(lengths, capacity), (capacity, sorted(lengths, reverse=True))
     held, ranks = defaultdict(list), defaultdict(list)
-    for n, a, b, first, offset in plan:
+    for n, a, b, first, offset, per in plan:
         ranks[n] += range(a, b)
         for k in range(b - a):
-            held[first + k].append((offset, n))
-    assert {n: sorted(r) == list(range(counts[n])) for n, r in ranks.items()} == {n: True for n in counts}
+            held[first + k // per].append((offset + k % per * n, n))
+    assert {n: sorted(r) == list(range(counts[n])) for n, r in ranks.items()} == {n: True for n in counts} and set(held) == set(range(bins))
     for parts in held.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= capacity
 
 
+def test_plan_is_best_fit_decreasing():
+    check_plan([60, 60, 20, 20, 13, 13, 13], 100)
+    for seed in range(5000):
+        rng = random.Random(seed)
+        capacity = rng.choice([7, 20, 64, 100])
+        few = [rng.randint(1, capacity) for _ in range(4)]
+        check_plan([rng.randint(1, capacity) if rng.random() < 0.5 else rng.choice(few) for _ in range(rng.randint(0, 40))], capacity)
+    for seed in range(30):
+        rng = random.Random(seed)
+        check_plan([rng.randint(1, 64) if rng.random() < 0.7 else 21 for _ in range(300)], 64)
+
+
 def test_packing_on_a_table(spark, monkeypatch):
     rows = fixtures.documents() + fixtures.documents()[:3]
     for plan_rows in (packing.PLAN_ROWS, 5):
@@ -142,6 +181,16 @@ def test_packing_on_a_table(spark, monkeypatch):
         assert len(seqs) == plain_best_fit([r.length for r in got], 512)
         assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r[0] for r in rows)
         assert next(r for r in got if r.doc_id == 3).length == 1
+    from tokenizers import Tokenizer
+
+    library, at = Tokenizer.from_file(vocabulary_path()), defaultdict(list)
+    for r in got:
+        at[r.doc_id].append(r)
+    for i, t, *_ in fixtures.documents()[3:]:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        parts = sorted(at[i], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in parts] == [(k, k * 512, len(ids[k * 512 : (k + 1) * 512])) for k in range(-(-len(ids) // 512))]
+        assert [r.ids_crc32 for r in parts] == [zlib.crc32(np.array(ids[k * 512 : (k + 1) * 512], "<u4").tobytes()) for k in range(len(parts))]
     assert packing.pack_documents(fixtures.frame(spark, []), vocabulary_path()).count() == 0
 
 
@@ -349,6 +398,6 @@ def test_plan_does_not_grow_with_the_table():
         counts = {n: c * scale for n, c in shape.items()}
         plan, bins = packing.best_fit_decreasing(counts)
         least = -(-sum(n * c for n, c in counts.items()) // 4096)
-        assert least <= bins <= 1.005 * least and sum(b - a for _, a, b, _, _ in plan) == sum(counts.values())
+        assert least <= bins <= 1.005 * least and sum(b - a for _, a, b, *_ in plan) == sum(counts.values())
         sizes.append(len(plan))
     assert max(sizes) < 100_000 and max(sizes) < 1.2 * min(sizes)

@@ -84,10 +84,17 @@ def odd_texts():
 def test_trie_bpe_matches_the_library(library):
     texts = odd_texts()
     own = bpe.TrieBpe(vocabulary_path())
-    for t, (ids, decoded, n) in zip(texts, own.block(texts)):
+    for t, (groups, n) in zip(texts, own.block(texts)):
         want = library.encode(t or "", add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)) and n == len(want) and decoded == library.decode(want, skip_special_tokens=False), t
-        assert own.decode(want) == decoded
+        assert " ".join(groups) == " ".join(map(str, want)) and n == len(want), t
+        assert own.decode_groups(groups) == own.decode(want) == library.decode(want, skip_special_tokens=False), t
+
+
+def test_decoding_reads_the_ids(library):
+    own = bpe.TrieBpe(vocabulary_path())
+    (groups, n), *_ = own.block(["the thing"])
+    wrong = [str(int(groups[0].split()[0]) + 1), *groups[1:]]
+    assert own.decode_groups(wrong) == library.decode([int(x) for g in wrong for x in g.split()], skip_special_tokens=False) != own.decode_groups(groups)
 
 
 def test_trie_memory_is_the_longest_path():
@@ -167,6 +174,30 @@ def test_chat(spark):
     assert chat.read_back(chat.examples(conversations(spark).limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("part_chars", [40, chat.PART_CHARS])
+def test_examples_against_brute_force(spark, part_chars):
+    rng = random.Random(6)
+    turns = [(c, k, rng.choice(["user", "assistant", "system", None]), rng.choice([None, "", "a<|b", "\\x[/INST]", "word " * rng.randint(1, 30)])) for c in range(25) for k in range(rng.randint(0, 14))]
+    turns += [(99, k, "user", f"long wait {k}") for k in range(2000)] + [(100, 0, "user", "y" * 500), (100, 1, "assistant", "z" * 500)]
+    made = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), part_chars=part_chars)
+    want = {}
+    for c in {t[0] for t in turns}:
+        said, n = "", 0
+        for _, _, role, text in sorted((t for t in turns if t[0] == c), key=lambda t: t[1]):
+            now = chat.format_turn(role or "", text or "")
+            if role == "assistant":
+                want[c, n] = (said + now, text or "")
+                n += 1
+            said += now
+    got = {(r.conv_id, r.example): (r.text, chat.unescape(r.text[r.loss_start : r.loss_end])) for r in chat.expand(made).collect()}
+    assert got == want
+    longest = max(len(chat.format_turn(r or "", t or "")) for *_, r, t in turns)
+    assert all(len(r.context_delta) <= max(part_chars, longest) for r in made.collect())
+    back = {r.conv_id: r for r in chat.read_back(made).collect()}
+    assert {c: r.n_turns for c, r in back.items()} == {c: sum(t[0] == c for t in turns) for c in back} and back[99].loss_chars == 0
+    assert all(back[c].expanded_chars == sum(len(t) for (i, _), (t, _) in want.items() if i == c) for c in back)
+
+
 def test_restoring_disguised_words():
     counts = np.zeros(toxicity.SIDE**3, np.int64)
     for w in ("idiot", "stupid", "moron", "clown", "loser", "trash", "worthless", "the and of that"):
