@@ -1,10 +1,13 @@
-"""From an article to its events.
+"""From an article to its events, in three layers that can each be asked for by version.
 
-An article is segmented (lead, paragraphs, groups of sentences); each segment gives at most one event: its family, the
-people and clubs it names, its stage and relations. Neighbouring segments on the same matter are one event. Then the
-article's dossier is found (what its title is about, and who), background and page furniture are dropped, and events
-that go on with the dossier are joined to the lead. One article is one call of pure Python, so articles spread over
-tasks freely; rows are independent, and a replay gives the same identities.
+0.2 segments an article (lead, paragraphs, groups of sentences); each segment gives at most one event: its family, the
+people and clubs it names, its stage and relations; neighbouring segments on the same matter are one event.
+0.4 cleans the people, finds the article's dossier (what its title is about, and who), drops background and page furniture
+from the body, gives events about the dossier's people its family, and joins events on one matter.
+0.5 takes titles that name their subject outright: events that go on with the lead's dossier are joined to the lead.
+
+One article is one call of pure Python, so articles spread over tasks freely; rows are independent, and a replay gives the
+same identities.
 """
 
 from __future__ import annotations
@@ -24,18 +27,31 @@ from storyloom.operators import vocabulary as V
 MOST_SEGMENTS, MOST_PEOPLE, MOST_CLUBS, MOST_TOKENS, MOST_TEXT, MOST_FRAGMENTS = 60, 3, 4, 24, 1800, 8
 
 
+VERSIONS = ("0.2", "0.4", "0.5")
+
+
 @lru_cache(maxsize=None)
 def rx(pattern: str) -> re.Pattern:
-    return re.compile(pattern, re.I)
+    """Boundaries, word characters and digits are those of ASCII; letters are compared without case, accented ones too."""
+    return re.compile(pattern.replace(r"\b", r"(?a:\b)").replace(r"\w", "[A-Za-z0-9_]").replace(r"\d", "[0-9]"), re.I)
 
 
 def has(pattern: str, text: str) -> bool:
     return bool(rx(pattern).search(text))
 
 
+# The few entities that comparisons decode.
+_ENTITIES = [
+    (r"&nbsp;|&#160;", " "), (r"&amp;", "&"), (r"&quot;", '"'), (r"&#39;|&apos;", "'"), (r"&lt;", "<"), (r"&gt;", ">"), (r"&#8211;|&#x2013;", "-"), (r"&#8212;|&#x2014;", "-"),
+]
+
+
 @lru_cache(maxsize=50_000)
 def norm(text: str) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFD", text or "") if not "̀" <= c <= "ͯ").lower()
+    text = text or ""
+    for entity, plain in _ENTITIES if "&" in text else ():
+        text = rx(entity).sub(plain, text)
+    bare = "".join(c for c in unicodedata.normalize("NFD", text) if not "\u0300" <= c <= "\u036f").lower()
     return " ".join(re.sub(r"[^a-z0-9]+", " ", re.sub(r"https?://\S+", " ", bare)).split())
 
 
@@ -50,12 +66,14 @@ def unique(values) -> list[str]:
 
 @dataclass
 class Context:
-    """The topics' clubs (name -> aliases) and the people known beforehand."""
+    """The topics' clubs (name -> aliases) and the people known beforehand (names, or name -> aliases)."""
 
     clubs: dict[str, list[str]] = field(default_factory=dict)
-    people: list[str] = field(default_factory=list)
+    people: list[str] | dict[str, list[str]] = field(default_factory=list)
 
     def __post_init__(self):
+        known = self.people if isinstance(self.people, dict) else {n: [] for n in self.people}
+        self.known = [(n, [a for a in map(norm, unique([n, *aliases])) if len(a) >= 3]) for n, aliases in known.items()]
         named = {n: [n, *a] for n, a in self.clubs.items()}
         self.dictionary = [(n, [norm(a) for a in unique(a)]) for n, a in [*named.items(), *V.OTHER_CLUBS.items()]]
         self.terms = {t for n, a in self.dictionary for t in [norm(n), *a] if t}
@@ -76,19 +94,22 @@ class Event:
     segment: int
     fragments: list[str]
     tokens: list[str]
+    discriminator: bool = False  # whether the family gave it a competition, an anchor or opponents of its own
 
     @property
     def text(self) -> str:
         return "\n".join(self.fragments)[:MOST_TEXT]
 
 
-_ANY_FAMILY = "|".join(V.FAMILIES.values())
+_FAMILY = {name: "|".join(patterns) for name, patterns in V.FAMILIES.items()}
+_ANY_FAMILY = "|".join(_FAMILY.values())
+_STOP, _NOT_PEOPLE = frozenset(V.STOP), frozenset(V.NOT_PEOPLE)
 
 
 def family_of(text: str) -> str:
     if not has(_ANY_FAMILY, text):
         return "unknown"
-    hit = {f: has(p, text) for f, p in V.FAMILIES.items()}
+    hit = {f: has(p, text) for f, p in _FAMILY.items()}
     for first in ("injury", "contract", "discipline", "institutional"):
         if hit[first]:
             return first
@@ -116,16 +137,16 @@ _NAME = re.compile(r"\b([A-ZÀ-ÖØ-Ý][a-zà-öø-ÿ'’-]{2,}(?:\s+[A-ZÀ-ÖØ
 def _is_person(value: str, at: int, text: str, context: Context) -> bool:
     plain = norm(value)
     parts = plain.split()
-    if not parts or any(p in V.STOP or p in V.NOT_PEOPLE for p in parts):
+    if not parts or any(p in _STOP or p in _NOT_PEOPLE for p in parts):
         return False
-    if any(plain in t or t in plain for t in context.terms) or has(r"\b(?:stadium|stade|centre|center|training|parc)\b", value):
+    if any(plain in t or t in plain for t in context.terms) or has(V.PLACE_IN_NAME, value):
         return False
     if len(parts) > 1:
         return True
     if len(value) < 5:
         return False
     before, after = text[max(0, at - 35) : at], text[at + len(value) : at + len(value) + 55]
-    if has(r"(?:\b(?:à|a|vers|contre|face à|face a|chez)\s*)$", before):
+    if has(V.DESTINATION_BEFORE, before):
         return False
     opens = at == 0 or bool(re.search(r"[.!?…]\s*$", before))
     return f" {norm(text)} ".count(f" {plain} ") >= 2 or has(V.ROLE_BEFORE, before) or opens and has(V.ACTION_AFTER, after)
@@ -133,15 +154,16 @@ def _is_person(value: str, at: int, text: str, context: Context) -> bool:
 
 def people_of(text: str, context: Context) -> list[str]:
     """Known people by how often they are named, then proper names by score."""
-    padded = f" {norm(text)} "
-    known = sorted((-padded.replace(" ", "  ").count(f" {norm(p).replace(' ', '  ')} "), i, p) for i, p in enumerate(context.people) if f" {norm(p)} " in padded)
+    padded = f" {norm(text)} ".replace(" ", "  ")
+    counted = [(sum(padded.count(f" {a.replace(' ', '  ')} ") for a in aliases), name) for name, aliases in context.known]
+    known = [name for n, name in sorted(counted, key=lambda c: -c[0]) if n]
     scores: dict[str, int] = {}
     for m in _NAME.finditer(text):
         value = m[1].strip()
         if _is_person(value, m.start(), text, context):
             scores[value] = scores.get(value, 0) + (4 if " " in norm(value) else 1)
     proper = sorted(scores, key=lambda v: -scores[v])[:MOST_PEOPLE]
-    return list(dict.fromkeys([*(p for _, _, p in known), *proper]))[:MOST_PEOPLE]
+    return list(dict.fromkeys([*known, *proper]))[:MOST_PEOPLE]
 
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[A-ZÀ-ÖØ-Ý0-9«“\"])")
@@ -190,7 +212,7 @@ def segments_of(title: str, excerpt: str, content: str, context: Context) -> lis
 
 
 def _tokens(text: str) -> list[str]:
-    return list(dict.fromkeys(t for t in norm(text).split() if len(t) >= 4 and t not in V.STOP and not t.isdigit()))[:MOST_TOKENS]
+    return list(dict.fromkeys(t for t in norm(text).split() if len(t) >= 4 and t not in _STOP and not t.isdigit()))[:MOST_TOKENS]
 
 
 def _relations(text: str, clubs: list[str]) -> tuple[str | None, str | None]:
@@ -216,36 +238,38 @@ def event_of(kind: str, index: int, text: str, context: Context) -> Event | None
     stage = next((s for s, p in V.STAGES[family] if has(p, text)), "unknown") if family in V.STAGES else None
     left, to = _relations(text, clubs) if family == "transfer" else (None, None)
     playing = family in ("match", "competition")
-    competition = next((n for n, p in V.COMPETITIONS if has(p, text)), None) if playing else None
+    competition = next((c for c, p in V.COMPETITIONS if has(p, text)), None) if playing else None
     m = (rx(V.MATCH_ROUND).search(text) or rx(V.MATCH_DAY).search(text)) if playing else None
     anchor = m[1] if m else " ".join(norm(text).split()[:18]) or None if family in ("discipline", "finance") else None
-    return Event(family, people, clubs, stage, left, to, competition, anchor, clubs[:2] if family == "match" else [], kind, index, [text[:MOST_TEXT]], _tokens(text))
+    return Event(family, people, clubs, stage, left, to, competition, anchor, clubs[:2] if family == "match" else [], kind, index, [text[:MOST_TEXT]], _tokens(text), playing or family in ("discipline", "finance"))
 
 
 def _matter(e: Event) -> str:
     return "|".join(x for x in map(norm, [e.family, e.people[0] if e.people else "", *sorted(e.clubs), e.club_to or ""]) if x)
 
 
-def _absorb(into: Event, other: Event, latest_stage: bool) -> None:
-    into.people = unique([*into.people, *other.people])[:MOST_PEOPLE]
-    into.clubs = unique([*into.clubs, *other.clubs])[:MOST_CLUBS]
-    into.fragments = unique([*into.fragments, *other.fragments])[:MOST_FRAGMENTS]
-    known = [s for s in (into.stage, other.stage) if s and s != "unknown"]
-    if known:
-        into.stage = known[-1] if latest_stage else known[0]
-    into.club_from, into.club_to = other.club_from or into.club_from, other.club_to or into.club_to
-    into.competition, into.anchor = into.competition or other.competition, into.anchor or other.anchor
-    into.tokens = list(dict.fromkeys([*into.tokens, *other.tokens]))[:MOST_TOKENS]
+# -- 0.2 -----------------------------------------------------------------------------------------------------------------
+def segment_events(title: str, excerpt: str, content: str, context: Context) -> list[Event]:
+    found: list[Event] = []
+    for i, (kind, text) in enumerate(segments_of(title, excerpt, content, context)):
+        e = event_of(kind, i, text, context)
+        if e and found and _matter(found[-1]) == _matter(e):
+            found[-1].fragments += e.fragments
+            found[-1].tokens = _tokens(found[-1].text)
+        elif e:
+            found.append(e)
+    return found
 
 
-def _clean_people(e: Event) -> None:
+# -- 0.4 -----------------------------------------------------------------------------------------------------------------
+def _clean_people(e: Event) -> list[str]:
     clubs, out = set(map(norm, e.clubs)), []
     for p in e.people:
         p = re.sub(r"^[«“”\"'`]+|[»“”\"'`,:;.!?]+$", "", " ".join(p.split())).strip()
-        p = rx(r"^(?:avec|recruter|avantage|pour)\s+").sub("", p).strip()
-        if p and norm(p) not in clubs and not has(V.PSEUDO_PERSON, p) and not has(V.ORGANISATION, p):
+        p = rx(V.NAME_PREFIX_04).sub("", p).strip()
+        if p and norm(p) not in clubs and not any(has(x, p) for x in (V.NO_PERSON_04, V.ORGANISATION_04, V.PRONOUN_04)):
             out.append(p)
-    e.people = unique(out)
+    return unique(out)
 
 
 def _in_title(person: str, title: str) -> bool:
@@ -254,99 +278,182 @@ def _in_title(person: str, title: str) -> bool:
     return bool(plain) and (f" {plain} " in padded or len(last) >= 5 and f" {last} " in padded)
 
 
-def _kin(dossier: str, family: str) -> bool:
-    if dossier in (None, "unknown"):
-        return family in ("unknown", "statement")
-    return family in (dossier, "unknown", "statement") or family in V.KIN.get(dossier, ())
+def _kin(table: dict[str, list[str]], dossier: str, family: str) -> bool:
+    return family in (dossier, "unknown", "statement") or family in table.get(dossier, ())
 
 
-def _title_family(title: str, lead: str, events: list[Event]) -> str:
-    for family, pattern in V.TITLE_FAMILIES:
-        if has(pattern, title):
+#: What a title is about, first hit; the fourth asks whether the lead is about staff.
+_TITLE_LADDER = (
+    (V.TITLE_INJURY_04, "injury"),
+    (V.TITLE_DISCIPLINE_04, "discipline"),
+    (V.TITLE_STRONG_TRANSFER_04, "transfer"),
+    (V.TITLE_TRANSFER_04, "staff"),
+    (V.TITLE_STAFF_04, "staff"),
+    (V.TITLE_TRANSFER_04, "transfer"),
+    (V.TITLE_CONTRACT_04, "contract"),
+    (V.TITLE_FINANCE_04, "finance"),
+    (V.TITLE_COMPETITION_04, "competition"),
+    (V.TITLE_MATCH_04, "match"),
+)
+
+
+def dossier_of(title: str, lead_family: str) -> str:
+    for i, (pattern, family) in enumerate(_TITLE_LADDER):
+        if (i != 3 or lead_family == "staff") and has(pattern, title):
             return family
-    if has(r"\b(?:gros\s+)?coup dur\b", title) and any(e.family == "injury" for e in events):
-        return "injury"
-    return lead
+    return lead_family
+
+
+_TITLE_STOP = frozenset(V.TITLE_STOP_04)
+
+
+def _telling(text: str) -> set[str]:
+    return {t for t in norm(text).split() if len(t) >= 4 and t not in _TITLE_STOP and not t.isdigit()}
+
+
+def _about(e: Event, heroes: list[str]) -> bool:
+    return bool({norm(p) for p in e.people} & {norm(h) for h in heroes})
+
+
+def _furniture(flat: str) -> bool:
+    asks = len(flat) <= 121 and flat.endswith("?") and not has(V.ACTION_04, flat)
+    return not flat or has(V.BODY_NOISE, flat) or asks or has(V.BODY_OPENING, flat)
 
 
 def _central(e: Event, title: str, lead: Event | None, heroes: list[str], dossier: str) -> bool:
     """Whether an event of the body is news of this article and not its background."""
-    flat = " ".join(e.text.split())
-    furniture = has(V.BODY_NOISE, flat) or has(r"^(?:un feu vert|premier signal faible)\b", flat) or len(flat) <= 121 and flat.endswith("?") and not has(V.ACTION, flat)
-    if not flat or furniture or has(V.PREVIEW_TITLE, title):
+    if _furniture(" ".join(e.text.split())) or has(V.PREVIEW_TITLE, title):
         return False
-    acts, past = has(V.ACTION, flat), has(V.BACKGROUND, flat)
+    news = has(V.ACTION_04, e.text) and not has(V.BACKGROUND, e.text)
     if has(V.ROUNDUP_TITLE, title):
-        return e.family != "unknown" and acts and not past
-    words = len(set(_tokens(title)) & set(norm(flat).split()))
-    if heroes and {norm(p) for p in e.people} & set(map(norm, heroes)):
-        rupture = acts and not past and e.family not in (dossier, "unknown", "statement") and (e.family in V.RUPTURES or words >= 2)
-        return _kin(dossier, e.family) or rupture
+        return e.family != "unknown" and news
+    words = len(_telling(title) & _telling(e.text))
+    if _about(e, heroes):
+        near = _kin(V.KIN_04, dossier, e.family) if dossier != "unknown" else e.family in ("unknown", "statement")
+        return near or news and e.family not in (dossier, "unknown", "statement") and (e.family in V.RUPTURES_04 or words >= 2)
     same = lead is not None and e.family == lead.family
     clubs = len(set(map(norm, e.clubs)) & set(map(norm, lead.clubs if lead else [])))
     if same and clubs >= 2:
         return True
-    if not acts or past:
-        return False
-    return same and words >= 2 or not heroes and same and clubs >= 1 and words >= 1 or e.family != "unknown" and words >= 3
+    return news and (same and words >= 2 or not heroes and same and clubs >= 1 and words >= 1 or e.family != "unknown" and words >= 3)
 
 
-def _belongs(e: Event, lead: Event, hero: str | None, dossier: str) -> bool:
-    """Whether an event of the body goes on with the lead's dossier."""
-    if not _kin(dossier, e.family):
-        return False
-    names = {norm(p) for p in e.people}
-    if hero and norm(hero) in names or names & {norm(p) for p in lead.people}:
-        return True
-    if not set(map(norm, e.clubs)) & set(map(norm, lead.clubs)):
-        return False
-    return e.family == dossier or has(V.ACTION_OR_STAY, e.text) if not e.people else not lead.people and e.family == dossier
+def _join_by_matter(events: list[Event], heroes: list[str]) -> list[Event]:
+    """Events of one family about one person (or else one set of clubs) are one; what comes later says how far it is."""
+    out: dict[str, Event] = {}
+    for e in events:
+        names = set(map(norm, e.people))
+        who = next((norm(h) for h in heroes if norm(h) in names), norm(e.people[0]) if e.people else "")
+        first = out.setdefault((e.family, who or sorted(filter(None, map(norm, e.clubs)))[:2]).__repr__(), e)
+        if first is e:
+            continue
+        first.people = unique([*first.people, *e.people])[:MOST_PEOPLE]
+        first.clubs = unique([*first.clubs, *e.clubs])[:MOST_CLUBS]
+        first.fragments = list(dict.fromkeys([*first.fragments, *e.fragments]))[:MOST_FRAGMENTS]
+        first.stage = next((s for s in (e.stage, first.stage) if s and s != "unknown"), first.stage)
+        first.club_from, first.club_to = e.club_from or first.club_from, e.club_to or first.club_to
+        if not first.discriminator:
+            first.competition, first.anchor, first.opponents, first.discriminator = e.competition, e.anchor, e.opponents, e.discriminator
+        first.tokens = list(dict.fromkeys([*first.tokens, *e.tokens]))[:MOST_TOKENS]
+    return list(out.values())
 
 
-def extract_article(title: str, excerpt: str, content: str, context: Context) -> list[Event]:
-    title = (title or "").strip()
-    found: list[Event] = []
-    for i, (kind, text) in enumerate(segments_of(title, excerpt, content, context)):
-        e = event_of(kind, i, text, context)
-        if e and found and _matter(found[-1]) == _matter(e):
-            found[-1].fragments += e.fragments
-            found[-1].tokens = _tokens(found[-1].text)
-        elif e:
-            found.append(e)
+def central_events(found: list[Event], title: str) -> list[Event]:
     for e in found:
-        _clean_people(e)
+        e.people = _clean_people(e)
     lead = next((e for e in found if e.kind == "lead"), None)
-    roundup = has(V.ROUNDUP_TITLE, title)
-    named = [p for p in lead.people if _in_title(p, title)] if lead else []
-    heroes = (named or lead.people[:1])[:MOST_PEOPLE] if lead else []
-    dossier = _title_family(title, lead.family if lead else "unknown", found)
-    kept = [e for e in found if e is lead or _central(e, title, lead, heroes, dossier)]
-    if lead is None or roundup:
-        return _join_by_matter(kept, heroes)
-    if dossier != "unknown":
-        if dossier != lead.family:
-            lead.family, lead.stage = dossier, next((s for s, p in V.STAGES.get(dossier, ()) if has(p, lead.text)), lead.stage and "unknown")
-        rest = []
+    people = lead.people if lead else []
+    heroes = ([p for p in people if _in_title(p, title)] or people[:1])[:MOST_PEOPLE]
+    dossier = dossier_of(title, lead.family if lead else "unknown")
+    kept = [e for e in found if e.kind == "lead" or _central(e, title, lead, heroes, dossier)]
+    if heroes and dossier != "unknown" and not has(V.ROUNDUP_TITLE, title):
         for e in kept:
-            if e is not lead and _belongs(e, lead, heroes[0] if heroes else None, dossier):
-                _absorb(lead, e, latest_stage=False)
-            elif e is not lead:
-                rest.append(e)
-        kept = [lead, *rest]
+            if e.kind == "lead" or _about(e, heroes) and _kin(V.KIN_04, dossier, e.family):
+                e.family = dossier
     return _join_by_matter(kept, heroes)
 
 
-def _join_by_matter(events: list[Event], heroes: list[str]) -> list[Event]:
-    out: dict[str, Event] = {}
+# -- 0.5 -----------------------------------------------------------------------------------------------------------------
+_OUTRIGHT = (
+    (V.TITLE_INJURY_05, "injury"),
+    (V.TITLE_GENERIC_INJURY_05, "injury"),
+    (V.TITLE_DISCIPLINE_05, "discipline"),
+    (V.TITLE_FINANCE_05, "finance"),
+    (V.TITLE_STAFF_05, "staff"),
+    (V.TITLE_CONTRACT_05, "contract"),
+    (V.TITLE_TRANSFER_05, "transfer"),
+    (V.TITLE_STATEMENT_05, "statement"),
+)
+
+
+def subject_of(title: str, events: list[Event]) -> str | None:
+    """The family that a title names outright; a "hard blow" is an injury if the article tells of one."""
+    if not title or has(V.ROUNDUP_TITLE, title):
+        return None
+    for pattern, family in _OUTRIGHT:
+        if has(pattern, title) and (pattern != V.TITLE_GENERIC_INJURY_05 or any(e.family == "injury" for e in events)):
+            return family
+    return None
+
+
+def _goes_on(e: Event, lead: Event, hero: str | None, subject: str) -> bool:
+    """Whether an event goes on with the lead's dossier."""
+    if e is lead or e.kind == "lead":
+        return True
+    if not _kin(V.KIN_05, subject, e.family):
+        return False
+    names = set(map(norm, e.people))
+    if hero and norm(hero) in names or names & set(map(norm, lead.people)):
+        return True
+    if not set(map(norm, e.clubs)) & set(map(norm, lead.clubs)):
+        return False
+    if not e.people:  # "he", "the player": the paragraph says what happened, not to whom
+        return e.family == subject or has(V.ACTION_05, e.text)
+    return not lead.people and e.family == subject
+
+
+def targeted_events(events: list[Event], title: str) -> list[Event]:
     for e in events:
-        names = set(map(norm, e.people))
-        who = next((norm(h) for h in heroes if norm(h) in names), norm(e.people[0]) if e.people else "")
-        key = f"{e.family}|{who or '+'.join(sorted(map(norm, e.clubs))[:2])}"
-        if key in out:
-            _absorb(out[key], e, latest_stage=True)
-        else:
-            out[key] = e
-    return list(out.values())
+        e.people = [p for p in unique(e.people) if not has(V.NO_PERSON_05, p.strip())]
+        e.clubs = unique(e.clubs)
+    subject = subject_of(title, events)
+    if not events or not subject:
+        return events
+    lead = next((e for e in events if e.kind == "lead"), events[0])
+    hero = next((p for p in lead.people if _in_title(p, title)), lead.people[0] if lead.people else None)
+    going = {id(e) for e in events if _goes_on(e, lead, hero, subject)}
+    for e in events:
+        if id(e) in going and _kin(V.KIN_05, subject, e.family):
+            if e.family != subject:
+                e.family, e.stage, e.club_from, e.club_to = subject, "unknown", None, None
+                e.competition, e.anchor, e.opponents, e.discriminator = None, None, [], False
+            if e.kind != "lead" and hero and not e.people:
+                e.people = [hero]
+    if lead.kind != "lead":
+        return events
+    out = []
+    for e in events:
+        if e is lead or id(e) not in going or e.family != lead.family:
+            out.append(e)
+            continue
+        lead.people = unique([*lead.people, *e.people])[:MOST_PEOPLE]
+        lead.clubs = unique([*lead.clubs, *e.clubs])[:MOST_CLUBS]
+        lead.fragments = unique([*lead.fragments, *e.fragments])[:MOST_FRAGMENTS]
+        if lead.stage in (None, "unknown") and e.stage not in (None, "unknown"):
+            lead.stage = e.stage
+        lead.tokens = unique([*lead.tokens, *e.tokens])[:MOST_TOKENS]
+    return out
+
+
+def extract_article(title: str, excerpt: str, content: str, context: Context, version: str = VERSIONS[-1]) -> list[Event]:
+    """The events of an article, by one version's layers."""
+    if version not in VERSIONS:
+        raise ValueError(f"no version {version}")
+    title = (title or "").strip()
+    found = segment_events(title, excerpt, content, context)
+    if version >= "0.4":
+        found = central_events(found, title)
+    return targeted_events(found, title) if version == "0.5" else found
 
 
 def identity(article_id, title: str | None, e: Event) -> str:
@@ -367,7 +474,7 @@ SCHEMA = (
 )
 
 
-def extract(articles: DataFrame, context: Context | None = None) -> DataFrame:
+def extract(articles: DataFrame, context: Context | None = None, version: str = VERSIONS[-1]) -> DataFrame:
     """One row per event of (id, title, excerpt, content); an article that gives none gives no row."""
     context = context or Context()
 
@@ -375,7 +482,7 @@ def extract(articles: DataFrame, context: Context | None = None) -> DataFrame:
         for pdf in batches:
             rows = []
             for i, t, x, c in zip(pdf.id, pdf.title, pdf.excerpt, pdf.content):
-                for e in extract_article(t, x, c, context):
+                for e in extract_article(t, x, c, context, version):
                     rows.append((i, identity(i, t, e), e.family, e.stage, e.people, e.clubs, e.club_from, e.club_to, e.competition, e.anchor, e.opponents, e.kind, e.segment, e.text, len(e.fragments), e.tokens))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
