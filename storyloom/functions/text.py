@@ -90,6 +90,11 @@ def tokens(x: Column, ignored: list[str] | None = None) -> Column:
     return F.array_except(F.array_distinct(kept), F.split(F.lit(" ".join(ignore)), " "))
 
 
+def terms(x: Column) -> Column:
+    """Tokens of three letters or more that are not plain numbers, in order, repeats included."""
+    return F.filter(words(topic_normal(x)), lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
+
+
 def fingerprint_tokens(x: Column, most: int = 24, stop: list[str] | None = None) -> Column:
     """The first `most` distinct tokens of four letters or more that are not plain numbers."""
     kept = F.filter(words(topic_normal(x)), lambda w: (F.length(w) >= 4) & ~w.rlike(r"^\d+$"))

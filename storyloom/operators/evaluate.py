@@ -88,6 +88,28 @@ def with_rank(pairs: DataFrame) -> DataFrame:
     return p.withColumn("within", within).join(F.broadcast(before), "cell").withColumn("place", F.col("before") + F.col("within") - 1).drop("cell", "within", "before")
 
 
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] = (), per: float = 5000, nearest: bool = False) -> DataFrame:
+    """(keys, n, a column per share): quantiles of `value` by rank, interpolated between two ranks or, with `nearest`, at
+    the nearest one (halves up). Equal values are counted first; ranks come from running sums within cells of 1 / `per`
+    and over the cells, so no task sees all values of a key, however many rows it has."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.floor(F.col(value) * per).alias("cell"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    cells = counts.groupBy(*keys, "cell").agg(F.sum("c").alias("c"))
+    along = Window.partitionBy(*keys).orderBy("cell")
+    cells = cells.select(*keys, "cell", (F.sum("c").over(along) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "cell").orderBy("v"))
+    placed = counts.withColumn("upto", upto).join(cells, [*keys, "cell"])
+    start, end = F.col("before") + F.col("upto") - F.col("c"), F.col("before") + F.col("upto")
+    at = {name: F.lit(q) * (F.col("n") - 1) for name, q in shares.items()}
+    inside = lambda p: F.max(F.when((p >= start) & (p < end), F.col("v")))
+    parts = {}
+    for name, place in at.items():
+        whole = F.floor(place + 0.5) if nearest else F.floor(place)
+        parts |= {f"lo_{name}": inside(whole), f"hi_{name}": inside(whole if nearest else F.ceil(place)), f"at_{name}": F.max(place - F.floor(place))}
+    got = placed.groupBy(*keys, "n").agg(*[c.alias(k) for k, c in parts.items()])
+    between = lambda k: F.col(f"lo_{k}") + (F.col(f"hi_{k}") - F.col(f"lo_{k}")) * F.col(f"at_{k}")
+    return got.select(*keys, "n", *[(F.col(f"lo_{k}") if nearest else between(k)).alias(k) for k in shares])
+
+
 def spectrum_sample(pairs: DataFrame, size: int = 150) -> DataFrame:
     """(review_id, pair_id, hybrid, bucket, decile): two thirds evenly spaced over the ranks, one third nearest to the
     centre. Wanted ranks do not collide as there are at least `size` pairs."""

@@ -49,6 +49,41 @@ def shortlist(a: str, b: str) -> Column:
     return F.when(apart, F.filter(reasons, lambda r: r.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
+def rule_posts(people: Column, clubs: Column, relations: Column, salient: Column) -> tuple[Column, Column]:
+    """Under which keys an event is posted, and under which it looks others up, so that any two that `shortlist` keeps
+    meet under some key: a person, two clubs, two salient tokens (each rule that counts tokens asks for two or more), or a
+    club that is the one's relation and the other's relation or club. Two clubs or tokens make one key, so a common club
+    or token alone brings nobody together."""
+    sides = [F.array_sort(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != ""))) for c in (people, clubs, relations, salient)]
+    people, clubs, relations, salient = sides
+    one = lambda kind, values: F.transform(values, lambda x: F.concat(F.lit(f"{kind}|"), x))
+
+    def two(kind: str, values: Column) -> Column:
+        after = lambda i: F.slice(values, i + 2, F.greatest(F.size(values) - i - 1, F.lit(0)))
+        return F.flatten(F.transform(values, lambda x, i: F.transform(after(i), lambda y: F.concat(F.lit(f"{kind}|"), x, F.lit("|"), y))))
+
+    both = [one("person", people), two("clubs", clubs), two("salient", salient)]
+    return F.concat(*both, one("relation", F.array_union(relations, clubs))), F.concat(*both, one("relation", relations))
+
+
+def shortlisted(records: DataFrame, id_: str) -> DataFrame:
+    """(a, b, reasons): every pair of events that `shortlist` keeps, once, a's id below b's; a and b are structs of the
+    columns of `records`: the id, article, family, people, clubs, relations, salient, and others.
+
+    A pair that meets under several keys is taken under the least of them, so nothing is shuffled to be made distinct.
+    A crowded key is one side's many rows against the other's, which adaptive execution splits."""
+    posted, looked = rule_posts(*[F.col(c) for c in ("people", "clubs", "relations", "salient")])
+    rows = records.select(F.struct(*records.columns).alias("r"), posted.alias("posted"), looked.alias("looked"))
+    x = rows.select(F.col("r").alias("x"), F.col("looked").alias("xl"), F.col("posted").alias("xp"), F.explode("looked").alias("key"))
+    y = rows.select(F.col("r").alias("y"), F.col("looked").alias("yl"), F.col("posted").alias("yp"), F.explode("posted").alias("key"))
+    met = x.join(y, "key").where((F.col(f"x.{id_}") != F.col(f"y.{id_}")) & (F.col("x.article") != F.col("y.article")))
+    met = met.where(F.col("key") == F.array_min(F.array_intersect("xl", "yp")))
+    up = F.col(f"x.{id_}") < F.col(f"y.{id_}")
+    met = met.where(up | (F.size(F.array_intersect("yl", "xp")) == 0))  # else the pair is taken the other way round
+    pairs = met.select(F.when(up, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(up, F.col("y")).otherwise(F.col("x")).alias("b"))
+    return pairs.withColumn("reasons", shortlist("a.", "b.")).where(F.size("reasons") > 0)
+
+
 def index_keys(people: Column, clubs: Column, relation_from: Column, relation_to: Column, competition: Column, opponents: Column, salient: Column) -> Column:
     """Distinct, sorted (key_type, key_value) structs of an event, for posting lists."""
     none = F.array().cast("array<string>")
@@ -96,13 +131,24 @@ def probe(queries: DataFrame, postings: DataFrame, id_: str, most: int = 16) ->
     return hits.withColumn("place", place).where(F.col("place") <= most)
 
 
-def token_pairs(tokens: DataFrame, doc: str, weight: str, least: float) -> DataFrame:
-    """(a, b, score) of documents whose weighted common tokens add up to at least `least`; `tokens` is (doc, token, weight)
-    with vectors of length one. Tokens are expected to be rare ones: a token in n documents makes n squared rows."""
-    a = tokens.select(F.col(doc).alias("a"), "token", F.col(weight).alias("wa"))
-    b = tokens.select(F.col(doc).alias("b"), "token", F.col(weight).alias("wb"))
-    pairs = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    return pairs.where(F.col("score") >= least)
+def token_pairs(tokens: DataFrame, doc: str, weight: str, least: float, keys: list[str] = ()) -> DataFrame:
+    """(a, b, score) of documents of equal `keys` whose weighted common tokens add up to at least `least`; `tokens` is
+    (keys, doc, token, weight, df) with vectors of length one, `df` how many documents a token is in.
+
+    Tokens are ordered by rarity. The commonest of a document, as long as their own length stays below `least`, cannot
+    reach it alone whatever the other document holds, so both documents of a pair hold its rarest common token among the
+    others: candidates meet under rare tokens only, and under the rarest of them once. Scores are summed over all tokens."""
+    rarity = F.struct("df", "token")
+    suffix = F.sum(F.col(weight) * F.col(weight)).over(Window.partitionBy(*keys, doc).orderBy(F.desc("df"), F.desc("token")))
+    rows = tokens.withColumn("__rare", F.sqrt(suffix) >= least)
+    packed = rows.groupBy(*keys, doc).agg(
+        F.array_sort(F.collect_list(F.when(F.col("__rare"), rarity))).alias("rare"), F.map_from_entries(F.collect_list(F.struct("token", weight))).alias("vector")
+    )
+    side = lambda s: packed.select(*keys, F.col(doc).alias(s), F.explode("rare").alias("key"), F.col("rare").alias(f"r{s}"), F.col("vector").alias(f"v{s}"))
+    met = side("a").join(side("b"), [*keys, "key"]).where("a < b").where(F.col("key") == F.array_min(F.array_intersect("ra", "rb")))
+    shared = F.map_filter("va", lambda t, _: F.map_contains_key("vb", t))
+    score = F.aggregate(F.map_entries(shared), F.lit(0.0), lambda s, e: s + e["value"] * F.element_at("vb", e["key"]))
+    return met.select(*keys, "a", "b", score.alias("score")).where(F.col("score") >= least)
 
 
 def pair_class(score: Column, title: Column, context: Column, salient: Column, hours: Column, window: float = 48) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as T
@@ -11,12 +13,13 @@ from storyloom.operators import evaluate as E
 from storyloom.operators import pairs as P
 from storyloom.operators import review
 from storyloom.plans.registry import query
-from storyloom.plans.stories import PAIRS_SQL, scored_pairs
+from storyloom.plans.stories import _FAMILY_OK, PAIRS_SQL, scored_pairs
 from storyloom.plans.texts import _MAIN, _TITLE
 from storyloom.sources.tables import EVENTS_SQL, events, load
 
 _THRESHOLDS = [i / 200 for i in range(60, 157, 8)]
-_COMPAT = "fa = fb OR concat_ws('|', least(fa, fb), greatest(fa, fb)) IN ('contract|transfer','discipline|transfer','competition|match','discipline|match','contract|staff','finance|institutional')"
+_COMPAT = _FAMILY_OK
+_RAW_OK = re.sub(r"\bf([ab])\b", lambda m: {"a": "x", "b": "y"}[m[1]] + ".family", _COMPAT)
 _ID = "sp2 AS (SELECT a || ':' || b AS pair_id, la = lb AS same, hybrid FROM sp)"
 
 
@@ -26,9 +29,10 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT round(quantile_cont(hybrid, 0.5), 6) AS p50, round(quantile_cont(hybrid, 0.9), 6) AS p90, round(quantile_cont(hybrid, 0.95), 6) AS p95, round(quantile_cont(hybrid, 0.99), 6) AS p99, round(median(emb), 6) AS median_cosine FROM sp")
 def quantiles_of_scores(spark, sf_dir):
-    p = scored_pairs(spark, sf_dir)
-    q = [F.round(F.percentile("hybrid", x), 6).alias(n) for n, x in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))]
-    return p.agg(*q, F.round(F.median("emb"), 6).alias("median_cosine"))
+    p = scored_pairs(spark, sf_dir).select("hybrid", "emb")
+    q = E.quantiles(p, "hybrid", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("n")
+    m = E.quantiles(p, "emb", {"median_cosine": 0.5}).drop("n")  # one row each
+    return q.join(m).select(*[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99", "median_cosine")])
 
 
 @query(f"WITH {PAIRS_SQL}, t AS (SELECT unnest([{', '.join(map(str, _THRESHOLDS))}])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (hybrid >= threshold) AS kept FROM sp, t GROUP BY 1")
@@ -110,11 +114,7 @@ def bridge_triads(spark, sf_dir):
  SELECT source, n, max(CASE WHEN mid THEN n_chars END) AS p50, max(CASE WHEN high THEN n_chars END) AS p90 FROM w GROUP BY 1, 2""")
 def length_percentiles(spark, sf_dir):
     """Nearest-rank percentiles of text length per source, by rank and not by gathering a source's lengths."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    by = Window.partitionBy("source")
-    r = d.withColumn("i", F.row_number().over(by.orderBy("n_chars", "doc_id")) - 1).withColumn("n", F.count("*").over(by))
-    at = lambda q: F.max(F.when(F.col("i") == F.round(F.lit(q) * (F.col("n") - 1)), F.col("n_chars")))
-    return r.groupBy("source", "n").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return E.quantiles(load(spark, sf_dir, "documents"), "n_chars", {"p50": 0.5, "p90": 0.9}, ["source"], per=1 / 64, nearest=True)
 
 
 @query(f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, length({_MAIN}) AS n, length({_TITLE}) AS t FROM pages)
@@ -123,7 +123,8 @@ def extractor_compare(spark, sf_dir):
     """Usable bodies (200 characters or more) and their median length per host."""
     p = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.char_length(T.main_text(F.col("html"))).alias("n"), F.char_length(T.first_tag_text(F.col("html"), "title")).alias("t"))
     usable = F.count_if(F.col("n") >= 200)
-    return p.groupBy("host").agg(F.count("*").alias("pages"), usable.alias("usable"), F.round(usable / F.count("*"), 6).alias("rate"), F.median("n").alias("median_chars"), F.coalesce(F.max("t"), F.lit(0)).alias("longest_title"))
+    g = p.groupBy("host").agg(F.count("*").alias("pages"), usable.alias("usable"), F.round(usable / F.count("*"), 6).alias("rate"), F.coalesce(F.max("t"), F.lit(0)).alias("longest_title"))
+    return g.join(E.quantiles(p, "n", {"median_chars": 0.5}, ["host"], per=1 / 64).drop("n"), "host", "left")
 
 
 @query("""WITH s AS (SELECT conv_id AS story_id, count(*) AS member_count, max(turn) AS revision, CASE WHEN bool_or(role = 'system') AND max(turn) > 3 THEN 'merged' ELSE 'active' END AS status FROM conversations GROUP BY 1),
@@ -169,7 +170,7 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("a", "b", "hybrid", (F.col("la") == F.col("lb")).alias("same"), *[c.alias(n) for n, c in g.items()])
 
 
-@query(f"""WITH {PAIRS_SQL}, g AS (SELECT sp.*, x.person = y.person AS person, x.club = y.club AS club, x.salient = y.salient AS anchor, ({_COMPAT}) AS ok FROM sp JOIN ev x ON x.event_id = a JOIN ev y ON y.event_id = b),
+@query(f"""WITH {PAIRS_SQL}, g AS (SELECT sp.*, x.person = y.person AS person, x.club = y.club AS club, x.salient = y.salient AS anchor, ({_RAW_OK}) AS ok FROM sp JOIN ev x ON x.event_id = a JOIN ev y ON y.event_id = b),
  h AS (SELECT la = lb AS same, hybrid, ok AS family_compat, ok AND anchor AS football_conflicts, ok AND anchor AND person AND club AS football_anchor_v1 FROM g)
  SELECT same, hybrid >= 0.4::DOUBLE AS merged, count(*) AS baseline, count(*) FILTER (family_compat) AS family_compat, count(*) FILTER (football_conflicts) AS football_conflicts, count(*) FILTER (football_anchor_v1) AS football_anchor_v1 FROM h GROUP BY 1, 2""")
 def gate_audit(spark, sf_dir):

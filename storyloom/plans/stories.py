@@ -10,10 +10,8 @@ from storyloom.functions import vector as V
 from storyloom.operators import pairs as P
 from storyloom.operators import queues
 from storyloom.plans.registry import ORACLES, query
-from storyloom.plans.texts import _DF, _TOKENS
-from storyloom.sources.tables import ARTICLES_SQL, EVENTS_SQL, articles, events, load
-
-BAND = 24  # vectors within this distance of one another in id are compared
+from storyloom.plans.texts import _TOKENS, _TOPIC
+from storyloom.sources.tables import ARTICLES_SQL, EVENTS_SQL, MATCH_SQL, articles, events, load, match_events
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT a.event_id AS a, b.event_id AS b, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3600000000, 4) AS hours
@@ -24,18 +22,6 @@ def band_pairs_48h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), F.round(F.abs(F.col("a_us") - F.col("b_us")) / P.HOUR, 4).alias("hours"))
 
 
-@query(f"""WITH {EVENTS_SQL}, p AS (SELECT a.event_id AS a, b.event_id AS b, (a.family = b.family)::INT AS kin, (a.salient = b.salient)::INT AS sal
- FROM ev a JOIN ev b ON a.person = b.person AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 172800000000)
- SELECT a, b, 'person:1' AS reasons FROM p""")
-def shortlist_pairs(spark, sf_dir):
-    e = events(spark, sf_dir).select(
-        "event_id", "person", "family", F.col("event_id").alias("article"), F.unix_micros("ts").alias("us"),
-        F.array(F.col("person").cast("string")).alias("people"), F.array("club").alias("clubs"), F.array("salient").alias("salient"), F.array().cast("array<string>").alias("relations"),
-    )
-    p = P.band_pairs(e, "event_id", "us", 48 * P.HOUR, ["person"]).withColumn("r", P.shortlist("a_", "b_"))
-    return p.where(F.size("r") > 0).select(F.col("a_event_id").alias("a"), F.col("b_event_id").alias("b"), F.array_join("r", ",").alias("reasons"))
-
-
 _POST = f"""{EVENTS_SQL}, post AS (SELECT DISTINCT 'salient' AS kt, salient AS kv, person || '/' || strftime(ts, '%Y-%m-%d') AS story FROM ev WHERE family <> 'error'
   UNION ALL SELECT DISTINCT 'person', person::VARCHAR, person || '/' || strftime(ts, '%Y-%m-%d') FROM ev WHERE family <> 'error'),
  q AS (SELECT event_id, 'salient' AS kt, salient AS kv FROM ev WHERE family = 'error' UNION ALL SELECT event_id, 'person', person::VARCHAR FROM ev WHERE family = 'error')"""
@@ -77,28 +63,59 @@ def qualified_members_topk(spark, sf_dir):
 
 
 # -- scored pairs of vectors ----------------------------------------------------------------------------------------------
-PAIRS_SQL = f"""{EVENTS_SQL}, v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, family, ts, [family, salient, club] AS toks FROM embeddings JOIN ev ON event_id = vec_id),
- pr AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, a.family AS fa, b.family AS fb, list_cosine_similarity(a.e, b.e) AS emb,
-   len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))) AS lex, exp(-pow(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000, 2) / 98.0) AS tmp
-   FROM v a JOIN v b ON a.vec_id < b.vec_id AND b.vec_id - a.vec_id <= {BAND}),
- sp AS (SELECT *, round(0.60::DOUBLE * emb + 0.25::DOUBLE * lex + 0.15::DOUBLE * tmp, 9) AS hybrid FROM pr)"""
+#: Events that have a vector, with the tokens that tell stories apart: in at most three percent of these events.
+RECORDS_SQL = f"""{EVENTS_SQL}, {MATCH_SQL}, mv AS (SELECT me.*, label, embedding::DOUBLE[] AS e FROM me JOIN embeddings ON vec_id = event_id),
+ sal AS (SELECT event_id, list(token) AS salient FROM (SELECT event_id, unnest(tokens) AS token FROM mv)
+   JOIN (SELECT token, count(*) AS df FROM (SELECT unnest(tokens) AS token FROM mv) GROUP BY 1) USING (token) WHERE df <= (SELECT greatest(3, ceil(count(*) * 0.03)) FROM mv) GROUP BY 1),
+ v AS (SELECT mv.*, coalesce(salient, []) AS salient FROM mv LEFT JOIN sal USING (event_id))"""
+_FAMILY_OK = "fa = fb OR fa = 'unknown' OR fb = 'unknown' OR concat_ws('|', least(fa, fb), greatest(fa, fb)) IN ('contract|transfer','discipline|transfer','competition|match','discipline|match','contract|staff','finance|institutional')"
+PAIRS_SQL = f"""{RECORDS_SQL}, cp AS (SELECT a.event_id AS a, b.event_id AS b, a.label AS la, b.label AS lb, a.family AS fa, b.family AS fb, a.e AS ea, b.e AS eb, a.tokens AS ta, b.tokens AS tb, a.ts AS sa, b.ts AS sb, a.people[1] AS pa,
+   len(list_intersect(a.people, b.people)) AS np, len(list_intersect(a.relations, b.relations)) + len(list_intersect(a.relations, b.clubs)) + len(list_intersect(b.relations, a.clubs)) AS nr,
+   len(list_intersect(a.clubs, b.clubs)) AS nc, len(list_intersect(a.salient, b.salient)) AS ns, a.family = b.family AND a.family <> 'unknown' AS kin
+   FROM v a JOIN v b ON a.event_id < b.event_id AND a.article <> b.article),
+ pr AS (SELECT *, list_filter([CASE WHEN np > 0 THEN 'person:' || np END, CASE WHEN nr > 0 THEN 'from_to:' || nr END, CASE WHEN nc >= 2 THEN 'clubs:' || nc END, CASE WHEN kin AND nc > 0 AND ns >= 2 THEN 'family+club+salient2' END,
+   CASE WHEN kin AND ns >= 3 THEN 'family+salient3' END, CASE WHEN ns >= 4 THEN 'salient4' END], lambda x: x IS NOT NULL) AS reasons FROM cp),
+ sc AS (SELECT *, list_cosine_similarity(ea, eb) AS emb, len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb))) AS lex, exp(-pow(abs(epoch_us(sa) - epoch_us(sb)) / 86400000000, 2) / 98.0) AS tmp FROM pr WHERE len(reasons) > 0),
+ sp AS (SELECT a, b, la, lb, fa, fb, pa, reasons, emb, lex, tmp, round(0.60::DOUBLE * emb + 0.25::DOUBLE * lex + 0.15::DOUBLE * tmp, 9) AS hybrid FROM sc)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that have a vector, with their salient tokens."""
+    e = match_events(spark, sf_dir).join(load(spark, sf_dir, "embeddings").select("vec_id", "label"), F.col("event_id") == F.col("vec_id")).drop("vec_id")
+    most = e.agg(F.greatest(F.lit(3), F.ceil(F.count("*") * F.lit(0.03))).alias("n")).scalar()
+    long = e.select("event_id", F.explode("tokens").alias("token"))
+    rare = long.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most).select("token")
+    salient = long.join(rare, "token").groupBy("event_id").agg(F.collect_list("token").alias("salient"))
+    return e.join(salient, "event_id", "left").withColumn("salient", F.coalesce("salient", F.array().cast("array<string>")))
 
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors within the band with their scores; hybrid is rounded to nine places, so that every engine puts a
-    pair on the same side of a threshold."""
-    e = events(spark, sf_dir).select(F.col("event_id").alias("vec_id"), "family", "ts", F.array("family", "salient", "club").alias("toks"))
-    v = load(spark, sf_dir, "embeddings").join(e, "vec_id")
-    p = P.band_pairs(v, "vec_id", "vec_id", BAND)
-    emb = V.cosine(F.col("a_embedding"), F.col("b_embedding"))
-    lex, tmp = V.jaccard(F.col("a_toks"), F.col("b_toks")), V.temporal(F.col("a_ts"), F.col("b_ts"))
-    p = p.select(
-        F.col("a_vec_id").alias("a"), F.col("b_vec_id").alias("b"), F.col("a_label").alias("la"), F.col("b_label").alias("lb"), F.col("a_family").alias("fa"), F.col("b_family").alias("fb"),
-        emb.alias("emb"), lex.alias("lex"), tmp.alias("tmp"),
+    """Every shortlisted pair of events with its scores; hybrid is rounded to nine places, so that every engine puts a
+    pair on the same side of a threshold. Vectors join the pairs last, so that posting lists carry none."""
+    found = P.shortlisted(records(spark, sf_dir), "event_id")
+    p = found.select(
+        F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.col("a.family").alias("fa"), F.col("b.family").alias("fb"),
+        F.col("a.people")[0].alias("pa"), "reasons", V.jaccard(F.col("a.tokens"), F.col("b.tokens")).alias("lex"), V.temporal(F.col("a.ts"), F.col("b.ts")).alias("tmp"),
     )
+    side = lambda s: load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(s), F.col("embedding").alias(f"e{s}"))
+    p = p.join(side("a"), "a").join(side("b"), "b").withColumn("emb", V.cosine(F.col("ea"), F.col("eb"))).drop("ea", "eb")
     return p.withColumn("hybrid", F.round(V.hybrid(F.col("emb"), F.col("lex"), F.col("tmp")), 9))
 
 
+@query(f"WITH {PAIRS_SQL} SELECT a, b, array_to_string(reasons, ',') AS reasons FROM sp")
+def shortlist_pairs(spark, sf_dir):
+    """Pairs of events of different articles that any of the six rules keeps, and the rules that do."""
+    p = P.shortlisted(records(spark, sf_dir), "event_id")
+    return p.select(F.col("a.event_id").alias("a"), F.col("b.event_id").alias("b"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH {PAIRS_SQL}, r AS (SELECT unnest(reasons) AS reason FROM sp) SELECT regexp_replace(reason, ':.*', '') AS rule, count(*) AS pairs FROM r GROUP BY 1""")
+def shortlist_rules(spark, sf_dir):
+    """How many pairs each rule of the shortlist keeps."""
+    p = P.shortlisted(records(spark, sf_dir), "event_id").select(F.explode("reasons").alias("reason"))
+    return p.groupBy(F.regexp_replace("reason", ":.*", "").alias("rule")).agg(F.count("*").alias("pairs"))
+
+
 @query(f"WITH {PAIRS_SQL} SELECT a, b, round(emb, 6) AS cosine FROM sp")
 def cosine_pairs(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("a", "b", F.round("emb", 6).alias("cosine"))
@@ -109,15 +126,31 @@ def hybrid_scores(spark, sf_dir):
     return scored_pairs(spark, sf_dir).select("a", "b", F.round("lex", 6).alias("lexical"), F.round("tmp", 6).alias("temporal"), F.round("hybrid", 6).alias("hybrid"))
 
 
-@query(f"""WITH {PAIRS_SQL}, c AS (SELECT *, fa = fb OR concat_ws('|', least(fa, fb), greatest(fa, fb)) IN ('contract|transfer','discipline|transfer','competition|match','discipline|match','contract|staff','finance|institutional') AS ok FROM sp),
- r AS (SELECT b AS event_id, a AS story_id, hybrid, ok, row_number() OVER (PARTITION BY b ORDER BY ok DESC, hybrid DESC, a) AS rn FROM c)
- SELECT event_id, story_id, round(hybrid, 6) AS hybrid, CASE WHEN NOT ok AND hybrid >= 0.535::DOUBLE THEN 'AMBIGUOUS_AI' WHEN NOT ok THEN 'AUTO_NEW_STORY' WHEN hybrid >= 0.66::DOUBLE THEN 'AUTO_ATTACH' WHEN hybrid >= 0.535::DOUBLE THEN 'AMBIGUOUS_AI' ELSE 'AUTO_NEW_STORY' END AS decision,
- CASE WHEN NOT ok AND hybrid >= 0.535::DOUBLE THEN 'family_gate' WHEN NOT ok THEN 'family_gate_below_low' WHEN hybrid >= 0.66::DOUBLE THEN 'high_score' WHEN hybrid >= 0.535::DOUBLE THEN 'score_ambiguous' ELSE 'below_low' END AS reason FROM r WHERE rn = 1""")
+@query(f"""WITH {PAIRS_SQL}, sc2 AS (SELECT b, pa AS story, true AS pass, CASE WHEN a % 7 <> 0 THEN hybrid END AS hybrid, {_FAMILY_OK} AS ok FROM sp),
+ lk AS (SELECT b, pa AS story, false AS pass, NULL::DOUBLE AS hybrid, false AS ok FROM cp WHERE nc > 0 AND np = 0),
+ g AS (SELECT b AS event_id, story, bool_or(pass) AS pass, max(hybrid) AS hybrid, bool_or(ok AND hybrid IS NOT NULL) AS ok, count(*) FILTER (pass) > 4 AS cut FROM (SELECT * FROM sc2 UNION ALL SELECT * FROM lk) GROUP BY 1, 2),
+ e AS (SELECT event_id, bool_or(pass AND hybrid IS NULL) AS broken, bool_or(pass AND hybrid IS NOT NULL AND cut) AS cut FROM g GROUP BY 1),
+ r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ok DESC, hybrid DESC, story) AS rn FROM g WHERE pass AND hybrid IS NOT NULL),
+ d AS (SELECT e.event_id, broken, e.cut, story, hybrid, ok FROM e LEFT JOIN r ON r.event_id = e.event_id AND rn = 1)
+ SELECT event_id, story AS story_id, round(hybrid, 6) AS hybrid,
+  CASE WHEN hybrid IS NULL AND broken THEN 'AMBIGUOUS_AI' WHEN hybrid IS NULL THEN 'AUTO_NEW_STORY' WHEN NOT ok AND hybrid >= 0.2::DOUBLE THEN 'AMBIGUOUS_AI' WHEN NOT ok THEN 'AUTO_NEW_STORY' WHEN cut THEN 'AMBIGUOUS_AI'
+   WHEN hybrid >= 0.3::DOUBLE THEN 'AUTO_ATTACH' WHEN hybrid >= 0.2::DOUBLE THEN 'AMBIGUOUS_AI' ELSE 'AUTO_NEW_STORY' END AS decision,
+  CASE WHEN hybrid IS NULL AND broken THEN 'candidate_centroid_invalid' WHEN hybrid IS NULL THEN 'no_pairwise_candidate' WHEN NOT ok AND hybrid >= 0.2::DOUBLE THEN 'family_gate' WHEN NOT ok THEN 'family_gate_below_low'
+   WHEN cut THEN 'bounded_membership_lower_bound' WHEN hybrid >= 0.3::DOUBLE THEN 'high_score' WHEN hybrid >= 0.2::DOUBLE THEN 'score_ambiguous' ELSE 'below_low' END AS reason FROM d""")
 def story_decision(spark, sf_dir):
-    """Each event against the earlier ones in its band, each taken as a story of one."""
+    """Each event against the stories of earlier events (a story is a person's): those looked up by a club alone pass no
+    rule of the shortlist; every seventh event stands for one whose vector is not valid; beyond four members a story's
+    score is a lower bound. Thresholds fit the invented vectors' scores."""
     p = scored_pairs(spark, sf_dir)
-    scored = p.select(F.col("b").alias("event_id"), F.col("a").alias("story_id"), "hybrid", V.family_compatible(F.col("fa"), F.col("fb")).alias("family_compatible"), F.lit(True).alias("shortlist_pass"), F.lit(False).alias("members_truncated"))
-    out = P.decide_story(scored, "event_id")
+    passed = p.select(F.col("b").alias("event_id"), F.col("pa").alias("story_id"), F.lit(True).alias("pass"), F.when(F.col("a") % 7 != 0, F.col("hybrid")).alias("h"), V.family_compatible(F.col("fa"), F.col("fb")).alias("ok"))
+    r = records(spark, sf_dir).select("event_id", "article", F.col("people")[0].alias("person"), "clubs")
+    side = lambda s: r.select(*[F.col(c).alias(f"{s}_{c}") for c in r.columns], F.explode("clubs").alias("club"))
+    looked = side("a").join(side("b"), "club").where("a_event_id < b_event_id and a_article != b_article and a_person != b_person").where(F.col("club") == F.array_min(F.array_intersect("a_clubs", "b_clubs")))
+    looked = looked.select(F.col("b_event_id").alias("event_id"), F.col("a_person").alias("story_id"), F.lit(False).alias("pass"), F.lit(None).cast("double").alias("h"), F.lit(False).alias("ok"))
+    scored = passed.unionByName(looked).groupBy("event_id", "story_id").agg(
+        F.max("pass").alias("shortlist_pass"), F.max("h").alias("hybrid"), F.max(F.col("ok") & F.col("h").isNotNull()).alias("family_compatible"), (F.count_if("pass") > 4).alias("members_truncated")
+    )
+    out = P.decide_story(scored, "event_id", 0.2, 0.3)
     return out.select("event_id", "story_id", F.round("hybrid", 6).alias("hybrid"), "decision", "reason")
 
 
@@ -178,19 +211,24 @@ def weighted_jaccard_pairs(spark, sf_dir):
     return p.where("confidence != 'none'").select("a", "b", "confidence", F.round("score", 4).alias("score"), F.round("t", 4).alias("title_score"), F.round("c", 4).alias("context_score"), "shared_title", "shared_context", "shared_salient")
 
 
-@query(f"""WITH {_DF}, l AS (SELECT greatest(3, ceil(n * 0.03)) AS most, n FROM n), w AS (SELECT doc_id, token, ln((1 + n) / (1 + df)) + 1 AS w FROM t JOIN df USING (token), l WHERE df <= most),
- v AS (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w), p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.w * y.w) AS score FROM v x JOIN v y ON x.token = y.token AND x.doc_id < y.doc_id GROUP BY 1, 2)
+_TERMS = f"list_filter(string_split({_TOPIC("title || ' ' || excerpt")}, ' '), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^\\d+$'))"
+
+
+@query(f"""WITH {ARTICLES_SQL}, t AS (SELECT id, source_id, unnest({_TERMS}) AS token FROM art), n AS (SELECT count(*) AS n FROM art), c AS (SELECT id, source_id, token, count(*) AS c FROM t GROUP BY 1, 2, 3),
+ df AS (SELECT token, count(*) AS df FROM c GROUP BY 1), w AS (SELECT id, source_id, token, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN df USING (token), n),
+ v AS (SELECT id, source_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w), p AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS score FROM v x JOIN v y ON x.token = y.token AND x.source_id = y.source_id AND x.id < y.id GROUP BY 1, 2)
  SELECT a, b, round(score, 5) AS score FROM p WHERE round(score, 9) >= 0.18::DOUBLE""")
 def tfidf_pairs(spark, sf_dir):
-    """Documents that share enough rare vocabulary: tokens of at most three percent of the documents, vectors of length one."""
-    d = load(spark, sf_dir, "documents")
-    t = d.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    n = d.agg(F.count("*").alias("n")).scalar()
-    df = t.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= F.greatest(F.lit(3), F.ceil(n * F.lit(0.03))))
-    w = t.join(df, "token").withColumn("w", F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    v = w.select("doc_id", "token", (F.col("w") / norm).alias("w"))
-    return P.token_pairs(v, "doc_id", "w", 0.18 - 5e-10).select("a", "b", F.round("score", 5).alias("score"))
+    """Articles of one source that share enough vocabulary in title and excerpt: tf 1 + ln(count), smoothed idf, vectors of
+    length one, all tokens counted."""
+    a = articles(spark, sf_dir).select("id", "source_id", F.explode(T.terms(F.concat_ws(" ", "title", "excerpt"))).alias("token"))
+    n = load(spark, sf_dir, "documents").agg(F.count("*").alias("n")).scalar()
+    c = a.groupBy("id", "source_id", "token").agg(F.count("*").alias("c"))
+    df = c.groupBy("token").agg(F.count("*").alias("df"))
+    w = c.join(df, "token").withColumn("w", (F.lit(1.0) + F.log("c")) * (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    v = w.select("id", "source_id", "token", "df", (F.col("w") / norm).alias("w"))
+    return P.token_pairs(v, "id", "w", 0.18 - 5e-10, ["source_id"]).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query(f"SELECT * FROM ({ORACLES['weighted_jaccard_pairs']}) ORDER BY (confidence = 'strong') DESC, score DESC, a, b LIMIT 30")

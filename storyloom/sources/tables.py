@@ -32,7 +32,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         title.alias("title"),
         F.when(stop > 0, F.substring("text", stop + 1, F.lit(200))).otherwise(F.lit("")).alias("excerpt"),
         F.col("text").alias("content"),
-        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("published_at"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 3600).alias("published_at"),  # from 2024-01-01 on
     )
 
 
@@ -61,3 +61,29 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTS_SQL = """ev AS (
   SELECT event_id, event_type AS family, user_id AS person, 'club' || (user_id % 7) AS club,
          'tok' || json_extract_string(props, '$.k') AS salient, ts, value FROM events)"""
+
+
+#: Families that the event types stand for.
+FAMILY_OF = {"signup": "transfer", "view": "contract", "click": "match", "purchase": "discipline"}
+
+
+def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are matched: two to an article, a known or unknown family, people, one or two clubs, now and then a
+    relation to a club, and lexical tokens."""
+    e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    family = F.coalesce(F.create_map(*[F.lit(x) for p in FAMILY_OF.items() for x in p])[F.col("event_type")], F.lit("unknown"))
+    name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
+    none = F.array().cast("array<string>")
+    return e.select(
+        "event_id", F.floor(F.col("event_id") / 2).alias("article"), family.alias("family"), "ts", F.array(name("u", F.col("user_id"))).alias("people"),
+        F.array_distinct(F.array(name("club", F.col("user_id") % 23), name("club", F.col("k") % 29))).alias("clubs"),
+        F.when(F.col("value") > 60, F.array(name("club", F.col("k") % 31))).otherwise(none).alias("relations"),
+        F.array(name("tok", F.col("k")), name("tak", F.col("k") % 50), name("tek", F.col("event_id") % 37), name("tik", F.col("event_id") % 74)).alias("tokens"),
+    )
+
+
+MATCH_SQL = """me AS (
+  SELECT event_id, event_id // 2 AS article, CASE event_type WHEN 'signup' THEN 'transfer' WHEN 'view' THEN 'contract' WHEN 'click' THEN 'match' WHEN 'purchase' THEN 'discipline' ELSE 'unknown' END AS family, ts,
+    ['u' || user_id] AS people, list_distinct(['club' || (user_id % 23), 'club' || (k % 29)]) AS clubs, CASE WHEN value > 60 THEN ['club' || (k % 31)] ELSE [] END AS relations,
+    ['tok' || k, 'tak' || (k % 50), 'tek' || (event_id % 37), 'tik' || (event_id % 74)] AS tokens
+  FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events))"""
