@@ -11,7 +11,9 @@ target's documents are found by a broadcast of at most TARGET_DOCS labelled ids,
 
 Defined results: a null, empty or blank text has no words, zero counts and score 0, and fails the base rule; with no
 labelled documents the ratio is 0 for all and the base rules alone decide; repeated rows are scored alike; labels for
-ids that do not occur are ignored; extra columns are not carried by `assess` and are kept by `keep_good`.
+ids that do not occur are ignored; `assess` replaces columns called like its results (n_words, kept, ...) and keeps all
+others, `keep_good` keeps every column as it was. Buckets collide where a corpus has more words and pairs than BUCKETS: a
+bucket then holds the sum of its grams in target and corpus alike, so its ratio is their mean, and nothing is dropped.
 """
 
 from __future__ import annotations

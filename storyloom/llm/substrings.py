@@ -9,6 +9,10 @@ the forward run from the same piece covers but for less than a piece are left ou
 words); spans of equal hash are copies, the first is the one of the least (doc_id, position), and every sentence that
 some non-first copy covers is removed. What is shorter than a span (common words, headings, stock lines) stays.
 
+The shortest runs stand for all: a longer run that repeats is covered by the shortest runs from its sentences that end in
+it and those to its sentences that begin in it, each of which repeats with it, and whatever these cover repeats itself.
+Departures from sentences as such are the cuts before capitalised words and within sentences of more than LONG words.
+
 Spans are shuffled once. Of a hash's copies within a chunk of spans only the first goes to where the hash's first copy
 is decided, the others are known as repeats and spread by keys of their own; so a passage that a third of all documents
 share meets as one row per chunk. Only repeats go on to the rebuilding of their documents.
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,7 +37,7 @@ MIN_SENTENCES = 2
 MIN_WORDS = 25
 LONG = 24  # words; a longer sentence is cut further
 WINDOW = 6  # words, of which one is cut after; 51 words less 2 * WINDOW - 2 at either edge leave MIN_WORDS and a piece
-CHUNK = 200_000  # spans
+CHUNK = 1_000_000  # spans, 40 bytes each
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
@@ -129,12 +134,11 @@ def hashed_spans(docs: DataFrame) -> DataFrame:
         import numpy as np
         import xxhash
 
-        held: list[tuple] = []
-        digests: list[bytes] = []
+        held, digests = array("q"), bytearray()
 
         def chunk():
-            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            doc, place, size = (np.array(x, np.int64) for x in zip(*held))
+            h = np.frombuffer(bytes(digests), "<i8").reshape(-1, 2)
+            doc, place, size = np.array(held, np.int64).reshape(-1, 3).T.copy()
             key, h2 = h[:, 0].copy(), h[:, 1].copy()
             order = np.lexsort((place, doc, h2, key))
             like = lambda *cols: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in cols])
@@ -152,11 +156,11 @@ def hashed_spans(docs: DataFrame) -> DataFrame:
                 row = zlib.crc32(text.encode()) << 31
                 lines = [" ".join(w) for _, _, w in found]
                 for a, b in spans(found, inner):
-                    digests.append(xxhash.xxh3_128_digest(" ".join(lines[a : b + 1])))
-                    held.append((i, row + a, b - a + 1))
-            if len(held) >= CHUNK:
+                    digests += xxhash.xxh3_128_digest(" ".join(lines[a : b + 1]))
+                    held.extend((i, row + a, b - a + 1))
+            if len(held) >= 3 * CHUNK:
                 yield chunk()
-                held, digests = [], []
+                held, digests = array("q"), bytearray()
         if held:
             yield chunk()
 

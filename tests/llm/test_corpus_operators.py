@@ -390,6 +390,25 @@ def test_substrings_against_brute_force(spark, monkeypatch):
         assert r.n_removed == len(want[r.doc_id]), r.doc_id
 
 
+def test_shortest_runs_cover_what_all_runs_cover(spark):
+    """Every run of two or more sentences and 25 or more words, of known sentences; nothing of the operator is called."""
+    rng = random.Random(13)
+    pool = [fixtures.sentence(rng, rng.randint(3, 16)) for _ in range(22)]
+    texts = {i: [rng.randrange(22) for _ in range(rng.randint(0, 18))] for i in range(60)}
+    first, runs, want = {}, [], defaultdict(set)
+    for i, parts in texts.items():
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts)):
+                if sum(len(pool[p].split()) for p in parts[a : b + 1]) >= 25:
+                    runs.append((i, a, b, tuple(parts[a : b + 1])))
+    for i, a, b, run in sorted(runs):
+        if first.setdefault(run, (i, a)) != (i, a):
+            want[i].update(range(a, b + 1))
+    rows = [(i, " ".join(pool[p] for p in parts), "en", "s", 1, "", "", 0) for i, parts in texts.items()]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(fixtures.frame(spark, rows)).collect()}
+    assert got == {i: len(want[i]) for i in texts}
+
+
 def test_plan_does_not_grow_with_the_table():
     rng = random.Random(1)
     shape = {n: rng.randint(1, 50) for n in range(1, 4097)}
