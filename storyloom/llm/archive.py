@@ -1,13 +1,16 @@
 """Token-id archives: an adaptive context-mixing range coder over independent blocks.
 
 Coding. A block of at most BLOCK ids is coded by itself: its models start afresh, so any block can be read alone, and a
-damaged one spoils no other (each has a CRC-32 of its ids). At each place three orders make a prediction of the id:
-order 2 names the id that followed the last two ids before, order 1 the one that followed the last id, and order 0 the
-ids of the block so far, most recent first. Which of them is right is one of eight symbols (order 2, order 1, four
-depths of order 0, a new id); its probability mixes two adaptive frequency models, one seeing how far the predictions
-agree and what was right last, the other the last id, with a weight that moves towards the better one. The symbol, then
-the place within its depth or the new id's bits, drive a carry-less range coder with 64-bit state. All arithmetic is on
-integers, so every machine decodes alike. Blocks are coded side by side, one step for all of them at a time (numpy).
+damaged one spoils no other (each has a CRC-32 of its ids). At each place three orders predict the id. Order 2 names the
+id that followed the last two ids before, order 1 the one that followed the last id. Order 0 is a distribution over the
+ids of the block so far, whatever came before them: an id's share falls with the distance to where it last stood, in four
+depths whose shares are learnt, with ids that are new to the block as a fifth. Which prediction holds (order 2, order 1,
+a depth of order 0, new) is one of seven symbols. Its probability mixes two adaptive distributions, one seeing how far
+the orders agree and what was right last, the other the last id, with a weight that moves towards whichever gave the
+symbol more. The symbol's share, cut into equal parts for the place within the depth (or the new id's bits), drives a
+range coder with 48-bit state; carries are added up when a block ends. All arithmetic is on integers (divisions go
+through doubles that hold them exactly), so every machine decodes alike. Blocks are coded side by side, one step for all
+of them at a time (numpy).
 
 Files. An archive is a Parquet table with a row per shard (the documents of one range of ids, in ascending order): the
 shard's number, its documents' ids and lengths, and its blocks in one binary value. Spark writes and reads it, so it
@@ -29,192 +32,211 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import arrow_map, shared_dir, table
 from storyloom.llm.tokens import encoder, vocabulary_path
 
-MAGIC = b"SLA1"
+MAGIC = b"SLA2"
 BLOCK = 2048
-LANES = 2048
+LANES = 3072
 END_ID = 2
-SYMBOLS = 8
+NEW = 6  # symbols: order 2, order 1, depths 0 to 3 of order 0, new
 DEPTHS = np.array([1, 17, 81, 337])  # least distance of each depth of order 0
 DEPTH_BITS = np.array([4, 6, 8, 11])
-NEW = 6
-SLOTS = 1024
-CEILING, STEP = 250, 8
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_ONE, _48, _16, _FULL = np.uint64(1), np.uint64(48), np.uint64(16), np.uint64(0xFFFFFFFFFFFFFFFF)
+SLOT_BITS = 8
+SHARES = 12  # bits of a symbol's share
+PARTS = 16  # bits of what a share is cut into
+_TOTAL = SHARES + PARTS
+_LEAST, _LOW = 1 << 32, (1 << 32) - 1
+
+# By symbol: bits of its value, least distance (0: none), what the next step remembers of it.
+_BITS = np.array([0, 0, *DEPTH_BITS, 16])
+_BASE = np.array([0, 0, *DEPTHS, 0])
+_SYMBOL = np.searchsorted(DEPTHS, np.arange(BLOCK), side="right").astype(np.uint8) + 1  # by distance
+_SYMBOL[0] = NEW
+_LAST = np.array([0, 1, 2, 2, 2, 2, 3], np.uint8)
+# Distributions are held as where each symbol's share starts, and its end; every symbol has one part in 4096 for good.
+_FULL = (1 << SHARES) - 7
+_GOAL = np.where(np.arange(8) <= np.arange(7)[:, None], 0, _FULL).astype(np.int16).view(np.complex128).ravel()
+_FIRST = (np.cumsum([0, 2, 2, 3, 4, 7, 10, 28]) * _FULL // 56).astype(np.int16)
+_EIGHTHS = np.repeat(np.arange(9, dtype=np.int16), 8).view(np.complex128)  # a weight, eight times over
+_WEIGHT = np.clip(np.repeat(np.arange(9), 2) + np.tile([-1, 1], 9), 1, 7).astype(np.uint8)  # of weight * 2 + (first was better)
 
 
 class Models:
-    """The state of all lanes' models at one place of their blocks. Frequencies of a step are held symbol by symbol
-    (a row per symbol), so that sums over symbols are a few passes over whole rows."""
+    """The state of all lanes' models at one place of their blocks. A distribution is eight 16-bit numbers, moved about
+    as one 16-byte value."""
 
     def __init__(self, lanes: int, length: int):
         at = np.arange(lanes)
-        self.lanes, self.flat = lanes, np.full((length + 1) * lanes, -1, np.int32)  # ids by place, then a place of none
-        self.ids = self.flat[: length * lanes].reshape(length, lanes)
-        nowhere = np.repeat(length * lanes + at, SLOTS).astype(np.int32)
-        self.slots1, self.slots2 = nowhere, nowhere.copy()
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.agree, self.after = np.ones((lanes * 16, SYMBOLS), np.int16), np.ones((lanes * 32, SYMBOLS), np.int16)
-        self.sum_agree, self.sum_after = np.full(lanes * 16, SYMBOLS, np.int32), np.full(lanes * 32, SYMBOLS, np.int32)
-        self.at, self.at_slot, self.at_agree, self.at_after = at, at * SLOTS, at * 16, at * 32
-        self.weight, self.last = np.full(lanes, 8, np.int32), np.zeros(lanes, np.int64)
-
-    def predict(self, t: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Predictions of order 2 and 1 (-1: none) at place t of the first n lanes; leaves the symbols' frequencies in
-        `f`, and where each symbol's share ends in `ends`."""
-        one, two = self.one[:n], self.two[:n]
-        mixed = one * 2654435761
-        self.h1 = (mixed >> 11 & (SLOTS - 1)) + self.at_slot[:n]
-        self.h2 = ((mixed ^ two * 2246822519) >> 11 & (SLOTS - 1)) + self.at_slot[:n]
-        guess1, guess2 = self.flat.take(self.slots1.take(self.h1)), self.flat.take(self.slots2.take(self.h2))
-        kind = (guess1 >= 0) * 4 + (guess2 >= 0) * (4 + 4 * (guess1 != guess2))
-        self.row_a, self.row_b = kind + self.at_agree[:n] + self.last[:n], (one & 31) + self.at_after[:n]
-        self.a, self.b = self.agree.take(self.row_a, 0).T.astype(np.int32), self.after.take(self.row_b, 0).T.astype(np.int32)
-        w = self.weight[:n]
-        self.f = self.a * w
-        self.f += self.b * (16 - w)
-        self.ends = np.empty_like(self.f)
-        self.ends[0] = self.f[0]
-        for s in range(1, SYMBOLS):
-            np.add(self.ends[s - 1], self.f[s], out=self.ends[s])
+        self.lanes, self.flat = lanes, np.zeros(length * lanes, np.int32)  # ids by place, then lane
+        self.slots1, self.slots2 = np.full(lanes << SLOT_BITS, -1, np.int32), np.full(lanes << SLOT_BITS, -1, np.int32)
+        self.mixed1, self.mixed2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # of the last id and the one before
+        self.row_b = at * 32
+        self.agree, self.after = np.tile(_FIRST, lanes * 32).view(np.complex128), np.tile(_FIRST, lanes * 32).view(np.complex128)
+        self.at, self.at_slot, self.at_row, self.at_pick = at, at << SLOT_BITS, at * 32, at * 8
+        self.weight, self.last = np.full(lanes, 4, np.uint8), np.full(lanes, 3, np.uint8)
+        self.stairs = np.tile(np.arange(8, dtype=np.int16), lanes)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Predictions of order 2 and 1 (-1: none) for the first n lanes; leaves in `mix` where the symbols' shares start."""
+        mixed1, shift = self.mixed1[:n], np.uint32(32 - SLOT_BITS)
+        self.h1 = (mixed1 >> shift) + self.at_slot[:n]
+        self.h2 = ((mixed1 ^ self.mixed2[:n]) >> shift) + self.at_slot[:n]
+        guess1, guess2 = self.slots1[self.h1], self.slots2[self.h2]
+        kind = (guess1 >= 0).view(np.uint8) << 2
+        kind |= (guess2 >= 0).view(np.uint8) << 3
+        kind |= (guess1 == guess2).view(np.uint8) << 4
+        kind |= self.last[:n]
+        self.row_a = self.at_row[:n] + kind
+        self.a, self.b = self.agree[self.row_a].view(np.int16), self.after[self.row_b[:n]].view(np.int16)
+        self.mix = self.a - self.b
+        self.mix *= _EIGHTHS[self.weight[:n]].view(np.int16)  # at most 8 * 4096
+        self.mix >>= 3
+        self.mix += self.b
+        self.mix += self.stairs[: 8 * n]
         return guess2, guess1
 
     def share(self, symbol: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) of the symbols' shares."""
-        self.pick = symbol * n + self.at[:n]
-        size = self.f.ravel().take(self.pick).astype(np.int64)
-        return self.ends.ravel().take(self.pick) - size, size
+        self.pick = self.at_pick[:n] + symbol
+        self.next = self.pick + 1
+        start, end = self.mix[self.pick], self.mix[self.next]
+        return start.astype(np.int64), (end - start).astype(np.int64)
 
     def update(self, t: int, n: int, symbol: np.ndarray, ids: np.ndarray) -> None:
-        """After `share`: the ids and symbols that came."""
-        self.ids[t, :n] = ids
-        self.one, self.two = ids, self.one[:n]
-        here = self.at[:n] + t * self.lanes
-        self.slots1[self.h1] = here
-        self.slots2[self.h2] = here
-        here_a, here_b = self.a.ravel().take(self.pick), self.b.ravel().take(self.pick)
-        sum_a, sum_b = self.sum_agree.take(self.row_a), self.sum_after.take(self.row_b)
-        w = self.weight[:n]
-        w += np.where(here_a.astype(np.int64) * sum_b > here_b.astype(np.int64) * sum_a, 1, -1)
-        np.clip(w, 1, 15, out=w)
-        for table_, sums, row, here, total in ((self.agree, self.sum_agree, self.row_a, here_a, sum_a), (self.after, self.sum_after, self.row_b, here_b, sum_b)):
-            now = here + STEP
-            table_.ravel()[row * SYMBOLS + symbol] = now
-            sums[row] = total + STEP
-            full = row[now > CEILING]
-            if len(full):
-                table_[full] = (table_[full] + 1) >> 1
-                sums[full] = table_[full].sum(1)
-        self.last[:n] = np.minimum(symbol, 2) + (symbol == NEW)
-
-
-def _moving(low_: np.ndarray, range_: np.ndarray, n: int):
-    """Lanes whose top 16 bits are settled, or whose range has become too short and is cut to end at a settled place:
-    (lanes, low, range), again and again until none is left. Who iterates moves those lanes on."""
-    low, rng, lanes = low_[:n], range_[:n], None
-    while True:
-        settled = (low ^ (low + rng)) < _TOP
-        move = np.flatnonzero(settled | (rng < _BOTTOM))
-        if not len(move):
-            return
-        low, rng, settled = low[move], rng[move], settled[move]
-        if not settled.all():
-            rng = np.where(settled, rng, (~low + _ONE) & (_BOTTOM - _ONE))
-        lanes = move if lanes is None else lanes[move]
-        yield lanes, low, rng
-        low, rng = low_[lanes], range_[lanes]
+        """After `share`: the ids (int32) and symbols that came."""
+        self.flat[t * self.lanes : t * self.lanes + n] = ids
+        self.slots1[self.h1] = ids
+        self.slots2[self.h2] = ids
+        unsigned = ids.view(np.uint32)
+        mixed1 = unsigned * np.uint32(2654435761)
+        self.mixed2[:n] = self.mixed1[:n] * np.uint32(2246822519)
+        self.mixed1[:n] = mixed1
+        if t & 1:  # weights move at every other place
+            better = self.a[self.next] - self.a[self.pick] > self.b[self.next] - self.b[self.pick]
+            self.weight[:n] = _WEIGHT[self.weight[:n] * 2 + better]
+        goal, rate = _GOAL[symbol].view(np.int16), 3 if t < 64 else 4 if t < 512 else 5
+        for table_, rows, now in ((self.agree, self.row_a, self.a), (self.after, self.row_b[:n], self.b)):
+            step = goal - now
+            step >>= rate
+            now += step
+            table_[rows] = now.view(np.complex128)
+        self.row_b[:n] = self.at_row[:n] + (unsigned & 31)
+        self.last[:n] = _LAST[symbol]
 
 
 class Writer:
     def __init__(self, lanes: int, length: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-        self.out = np.zeros((lanes, 2 * length + 16), ">u2")
-        self.n = np.zeros(lanes, np.int64)
-
-    def put(self, n: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        r = self.range[:n] // total
-        self.low[:n] += start * r
-        self.range[:n] = r * size
-        for lanes, low, rng in _moving(self.low, self.range, n):
-            self.out[lanes, self.n[lanes]] = (low >> _48).astype(np.uint16)
-            self.n[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << _16, rng << _16
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1)
+        self.out = np.zeros((length + 8, lanes), np.uint32)  # words of 16 bits, and carries into the word before
+        self.n, self.lanes, self.most = np.zeros(lanes, np.int64), np.arange(lanes), 0
+
+    def put(self, lanes, start: np.ndarray, size: np.ndarray, bits: int = _TOTAL) -> None:
+        """Codes start .. start + size of 2**bits for some lanes (a slice or an index)."""
+        r = self.range[lanes] >> bits
+        self.low[lanes] += start * r
+        self.range[lanes] = size * r
+        self.most += 2
+        if self.most > len(self.out) - 8:
+            self.most = int(self.n.max()) + 2
+            if self.most > len(self.out) - 8:
+                self.out = np.concatenate([self.out, np.zeros_like(self.out)])
+        short = np.flatnonzero(self.range < _LEAST)
+        while len(short):
+            low, n = self.low[short], self.n[short]
+            self.out[n, short] = low >> 32
+            self.n[short] = n + 1
+            self.low[short] = (low & _LOW) << 16
+            longer = self.range[short] << 16
+            self.range[short] = longer
+            short = short[longer < _LEAST]
 
     def finish(self) -> list[bytes]:
-        for k in (48, 32, 16, 0):
-            self.out[np.arange(len(self.n)), self.n] = ((self.low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint16)
+        if int(self.n.max()) + 3 > len(self.out):
+            self.out = np.concatenate([self.out, np.zeros_like(self.out[:8])])
+        for k in (32, 16, 0):
+            self.out[self.n, self.lanes] = self.low >> k if k == 32 else self.low >> k & 0xFFFF
             self.n += 1
-        return [row[:k].tobytes() for row, k in zip(self.out, self.n)]
+        most = self.n.max()
+        carry = np.zeros(len(self.n), np.uint32)
+        for row in self.out[:most][::-1]:
+            row += carry
+            carry = row >> 16
+        words = np.ascontiguousarray(self.out[:most].T.astype(">u2"))
+        return [row[:k].tobytes() for row, k in zip(words, self.n)]
 
 
 class Reader:
     def __init__(self, coded: list[bytes]):
         lanes = len(coded)
-        longest = max(map(len, coded)) // 2 + 4
-        self.words = np.zeros((lanes, longest), np.uint64)
+        self.words = np.zeros((max(map(len, coded)) // 2 + 4, lanes), np.uint16)
         for i, c in enumerate(coded):
-            self.words[i, : len(c) // 2] = np.frombuffer(c, ">u2")
-        self.low, self.range, self.code = np.zeros(lanes, np.uint64), np.full(lanes, _FULL), np.zeros(lanes, np.uint64)
-        for k in range(4):
-            self.code = self.code << _16 | self.words[:, k]
-        self.n = np.full(lanes, 4, np.int64)
-
-    def at(self, n: int, total: np.ndarray) -> np.ndarray:
-        """Which of `total` equal shares the code lies in."""
-        self.share = self.range[:n] // total
-        return np.minimum((self.code[:n] - self.low[:n]) // self.share, total - _ONE)
-
-    def take(self, n: int, start: np.ndarray, size: np.ndarray) -> None:
-        self.low[:n] += start * self.share
-        self.range[:n] = self.share * size
-        for lanes, low, rng in _moving(self.low, self.range, n):
-            self.code[lanes] = self.code[lanes] << _16 | self.words[lanes, np.minimum(self.n[lanes], self.words.shape[1] - 1)]
-            self.n[lanes] += 1
-            self.low[lanes], self.range[lanes] = low << _16, rng << _16
-
-
-def _distances(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """How far back each lane's id occurred last; 0: not before."""
+            self.words[: len(c) // 2, i] = np.frombuffer(c, ">u2")
+        self.flat, self.lanes = self.words.ravel(), lanes
+        self.code, self.range = np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1)
+        for k in range(3):
+            self.code = self.code << 16 | self.words[k]
+        self.next = np.arange(lanes) + 3 * lanes  # where each lane's next word is
+
+    def at(self, lanes, bits: int = _TOTAL) -> np.ndarray:
+        """Which of 2**bits equal shares the code lies in. Both numbers are below 2**48 and the quotient below 2**28, so
+        the double is never rounded up to a whole number that it does not reach."""
+        self.r = self.range[lanes] >> bits
+        return np.minimum((self.code[lanes] / self.r).astype(np.int64), (1 << bits) - 1)
+
+    def take(self, lanes, start: np.ndarray, size: np.ndarray) -> None:
+        self.code[lanes] -= start * self.r
+        self.range[lanes] = size * self.r
+        short = np.flatnonzero(self.range < _LEAST)
+        while len(short):
+            at = self.next[short]
+            self.code[short] = self.code[short] << 16 | self.flat.take(at, mode="clip")
+            self.next[short] = at + self.lanes
+            longer = self.range[short] << 16
+            self.range[short] = longer
+            short = short[longer < _LEAST]
+
+
+def _distances(ids: np.ndarray) -> np.ndarray:
+    """How far back each lane's id occurred last, by place, then lane; 0: not before."""
     lanes, length = ids.shape
-    keyed = (np.arange(lanes)[:, None] << 44 | ids.astype(np.int64) << 12 | np.arange(length)).ravel()
-    keyed.sort()
-    same = keyed[1:] >> 12 == keyed[:-1] >> 12
-    out = np.zeros(lanes * length, np.int64)
-    place = (keyed >> 44) * length + (keyed & 0xFFF)
-    out[place[1:][same]] = place[1:][same] - place[:-1][same]
-    return out.reshape(lanes, length)
+    small = int(ids.max()) < 1 << 19  # id and place fit 31 bits
+    keyed = ids.astype(np.int32 if small else np.int64) << 12 | np.arange(length, dtype=np.int32)
+    keyed.sort(axis=1)
+    place = (keyed & 0xFFF).astype(np.int16)
+    keyed >>= 12
+    far = np.zeros((lanes, length), np.int16)
+    np.subtract(place[:, 1:], place[:, :-1], out=far[:, 1:], where=keyed[:, 1:] == keyed[:, :-1])
+    out = np.empty((length, lanes), np.int16)
+    out[place, np.arange(lanes)[:, None]] = far
+    return out
 
 
 def _encode_lanes(blocks: list[np.ndarray], wide: bool) -> list[bytes]:
     """Blocks ordered by falling length."""
     lengths = np.array([len(b) for b in blocks])
     lanes, length = len(blocks), int(lengths[0])
-    ids = np.zeros((lanes, length), np.int64)
+    ids = np.zeros((lanes, length), np.int32)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
     # What a place has to say if neither prediction holds: by place, then lane.
-    far, ids = np.ascontiguousarray(_distances(ids, lengths).T), np.ascontiguousarray(ids.T)
-    depth = np.searchsorted(DEPTHS, far, side="right") - 1
-    known = depth >= 0
-    other = np.where(known, depth + 2, NEW)
-    other_value, other_bits = np.where(known, far - DEPTHS[depth], ids & 0xFFFF), np.where(known, DEPTH_BITS[depth], 16)
-    models, out = Models(lanes, length), Writer(lanes, length * (2 if wide else 1))
+    far, ids = _distances(ids), np.ascontiguousarray(ids.T)
+    other = _SYMBOL[far]
+    value = np.where(far, far - _BASE.astype(np.int32)[other], ids & 0xFFFF)
+    models, out = Models(lanes, length), Writer(lanes, length)
     active = np.searchsorted(-lengths, -np.arange(length), side="left")
     for t in range(length):
         n = int(active[t])
-        now = ids[t, :n]
-        guess2, guess1 = models.predict(t, n)
-        hit2, hit1 = now == guess2, now == guess1
-        hit = hit1 | hit2
-        symbol = np.where(hit, ~hit2, other[t, :n])
+        now, symbol = ids[t, :n], other[t, :n]
+        guess2, guess1 = models.predict(n)
+        symbol[now == guess1] = 1
+        symbol[now == guess2] = 0
         start, size = models.share(symbol, n)
-        bits, value = np.where(hit, 0, other_bits[t, :n]), np.where(hit, 0, other_value[t, :n])
         # One coding step for both: the symbol's share of the range is cut into 2**bits equal parts.
-        part = size << (16 - bits)
-        out.put(n, ((start << 16) + value * part).astype(np.uint64), part.astype(np.uint64), models.ends[-1].astype(np.uint64) << _16)
+        size <<= PARTS - _BITS[symbol]
+        start <<= PARTS
+        start += value[t, :n] * size * (symbol > 1)
+        out.put(slice(n), start, size)
         if wide:
-            new = symbol == NEW
-            out.put(n, np.where(new, now >> 16, 0).astype(np.uint64), _ONE, np.where(new, 1 << 16, 1).astype(np.uint64))
+            new = np.flatnonzero(symbol == NEW)
+            out.put(new, now[new].astype(np.int64) >> 16, 1, 16)
         models.update(t, n, symbol, now)
     return out.finish()
 
@@ -225,27 +247,27 @@ def _decode_lanes(coded: list[bytes], lengths: np.ndarray, wide: bool) -> np.nda
     active = np.searchsorted(-lengths, -np.arange(length), side="left")
     for t in range(length):
         n = int(active[t])
-        guess2, guess1 = models.predict(t, n)
-        place = inp.at(n, models.ends[-1].astype(np.uint64) << _16).astype(np.int64)
-        coarse, symbol = place >> 16, np.zeros(n, np.int64)
-        for s in range(SYMBOLS - 1):
-            symbol += models.ends[s] <= coarse
+        guess2, guess1 = models.predict(n)
+        place = inp.at(slice(n))
+        eightfold = np.repeat((place >> PARTS) * 0x0001000100010001, 2).view(np.int16)
+        symbol = np.bitwise_count((models.mix <= eightfold).view(np.uint64)) - np.uint8(1)
         start, size = models.share(symbol, n)
-        known = (symbol >= 2) & (symbol < NEW)
-        d = np.where(known, symbol - 2, 0)
-        bits = np.where(symbol == NEW, 16, np.where(known, DEPTH_BITS[d], 0))
-        part, start = size << (16 - bits), start << 16
-        value = (place - start) // part
-        inp.take(n, (start + value * part).astype(np.uint64), part.astype(np.uint64))
-        back = np.clip(t - (value + DEPTHS[d]), 0, length - 1)
-        now = np.where(symbol == 0, guess2, np.where(symbol == 1, guess1, np.where(known, models.flat.take(back * models.lanes + models.at[:n]), value)))
+        size <<= PARTS - _BITS[symbol]
+        start <<= PARTS
+        value = ((place - start) / size).astype(np.int64)  # both below 2**28
+        start += value * size
+        inp.take(slice(n), start, size)
+        back = (t - value - _BASE[symbol]) * models.lanes + models.at[:n]
+        now = np.where(symbol == NEW, value, models.flat.take(back, mode="clip")).astype(np.int32)
+        np.copyto(now, guess1, where=symbol == 1)
+        np.copyto(now, guess2, where=symbol == 0)
         if wide:
-            new = symbol == NEW
-            high = inp.at(n, np.where(new, 1 << 16, 1).astype(np.uint64))
-            inp.take(n, high, _ONE)
-            now = now | np.where(new, high.astype(np.int64) << 16, 0)
+            new = np.flatnonzero(symbol == NEW)
+            high = inp.at(new, 16)
+            inp.take(new, high, 1)
+            now[new] |= (high << 16).astype(np.int32)
         models.update(t, n, symbol, now)
-    return np.ascontiguousarray(models.ids.T)
+    return np.ascontiguousarray(models.flat.reshape(length, lanes).T)
 
 
 _HEAD = struct.Struct("<4sBIQ")  # magic, wide, blocks, ids
@@ -284,7 +306,7 @@ def decode(data: bytes) -> np.ndarray:
         lengths = np.array([h[0] for h in group])
         ids = _decode_lanes(coded[k : k + LANES], lengths, bool(wide))
         for i, (size, _, crc) in enumerate(group):
-            part = ids[i, :size].astype("<u4")
+            part = ids[i, :size].view("<u4")
             if zlib.crc32(part.tobytes()) != crc:
                 raise ValueError(f"block {k + i} is damaged")
             out[done : done + size] = part

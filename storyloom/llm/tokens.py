@@ -20,6 +20,7 @@ import numpy as np
 
 DEFAULT = "word_bpe_49k.json"
 MEMO = 400_000  # chunks kept by a worker; when full it starts anew
+IDS_MEMO = 1_250_000  # the same where a chunk is kept with its ids alone: about 150 bytes each
 
 #: Not plain: separators that only some libraries call white space, dotted capital I, all from U+0250 on.
 _NOT_PLAIN = re.compile("[\x1c-\x1f\u0130\u0250-\U0010ffff]")
@@ -72,14 +73,22 @@ class ChunkCodes:
 
 
 class _Chunks(dict):
-    """Chunk -> ids, as bytes; a missing one is encoded word by word."""
+    """Chunk -> ids, as bytes; a missing one is encoded word by word. A word is a chunk, too."""
 
-    def __init__(self, words: re.Pattern, word: Callable[[str], bytes]):
-        self.words, self.word = words.findall, word
+    def __init__(self, words: re.Pattern, model):
+        self.find, self.tokenize, self.alphabet = words.findall, model.tokenize, byte_alphabet()
+        self.pack = [struct.Struct(f"<{n}I").pack for n in range(65)]
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = b"".join(map(self.word, self.words(chunk)))
-        return found
+        words = (chunk,) if chunk.isalpha() else self.find(chunk)
+        if len(words) == 1 and words[0] == chunk:
+            mapped = chunk if chunk.isascii() else "".join([self.alphabet[b] for b in chunk.encode()])
+            found = [t.id for t in self.tokenize(mapped)]
+            ids = self.pack[len(found)](*found) if len(found) < 65 else np.array(found, "<u4").tobytes()
+        else:
+            ids = b"".join([self[w] for w in words])
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -95,21 +104,11 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.model, self.words, self.alphabet = self.lib.model, word_pattern(), byte_alphabet()
-        self.memo: dict[str, bytes] = {}
-        self.chunks = _Chunks(self.words, self._word)
+        self.chunks = _Chunks(word_pattern(), self.lib.model)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        found = self.memo.get(word)
-        if found is None:
-            mapped = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
-            ids = [t.id for t in self.model.tokenize(mapped)]
-            found = self.memo[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
     def text(self, text: str | None) -> bytes:
         """The ids of a text, as bytes; a null text has none."""
         if not text:
@@ -117,9 +116,8 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.lower().split())) if plain(text) else self._whole(text)
 
     def block(self, texts: list[str | None]) -> list[bytes]:
-        for memo in (self.memo, self.chunks):
-            if len(memo) > MEMO:
-                memo.clear()
+        if len(self.chunks) > IDS_MEMO:
+            self.chunks.clear()
         return [self.text(t) for t in texts]
 
 
