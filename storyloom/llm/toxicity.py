@@ -8,7 +8,7 @@ every document; its table is bounded by the alphabet's cube, whatever the corpus
 
 The scorer is learnt from labelled documents whose crc32(doc_id as text) mod 3 is not 1: at most TRAIN_DOCS of them,
 chosen by the hash of the id (the documented bound), near copies dropped so that one document copied a thousand times
-teaches as much as once. Two thirds of those pick the evidence: words and word beginnings whose presence speaks for
+teaches as much as once. Nothing else is bounded: the evidence is all that those documents give. Two thirds of those pick the evidence: words and word beginnings whose presence speaks for
 toxicity, with their log-likelihood ratio. The last third, whose words picked nothing, calibrates a logistic curve on a
 document's strongest evidence and its total. Labels, language, source and ids are no inputs of a score.
 
@@ -29,8 +29,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import arrow_map, spill_table, table
 
 TRAIN_DOCS = 24_000
-EVIDENCE = 20_000  # words and beginnings kept, those of most weight
-LEAST_DOCS = 4
+MOST_DOCS = 4  # toxic documents that a piece of evidence is asked to be in, where there are many; two where there are few
 BEGINNINGS = (4, 5, 6, 7, 8)
 PREDICT = 0.7
 MEMO = 400_000
@@ -55,7 +54,10 @@ SUBSTITUTE, DROP, DROP_DIGIT, SHORTEN, UNDOUBLE, BREAK = 1.0, 1.5, 8.0, 0.5, 1.0
 _PIECES = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(c for c in HIDES if not c.isdigit()))
 _EDGES = re.compile(r"^[^\w@$(<|+!€£]+|[^\w@+€£]+$")
-_FAR_EDGES = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")
+# Signs that hide no letter add the same cost to every reading at an edge, so they are cut off there.
+_HIDING = re.escape("".join(c for c, hidden in HIDES.items() if hidden and not c.isdigit()))
+_FAR_EDGES = re.compile(rf"^[^\w{_HIDING}]+|[^\w{_HIDING}]+$")
+_DOUBLED = re.compile(r"(.)\1", re.S)
 _LETTER = re.compile(r"[^\W\d_]")
 _MARK = re.compile(rf"[0-9{_SIGNS}]|([^\W\d_])\1|[^\W\d_][\W\d_]+[^\W\d_]")  # a look-alike, a doubled letter, a letter set apart
 # Lone characters with up to eight others between them; a sign counts as one if it stands apart from words and signs.
@@ -67,16 +69,39 @@ _DRAWN = re.compile(r"([^\W\d_])\1+|(.)\2\2+", re.S)
 
 def count_trigrams(text: str, into: np.ndarray) -> None:
     """Adds the text's letter trigrams (between-word gaps as one symbol) to `into`, an array of SIDE**3 counts."""
-    points = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-    code = np.where(points < 0x250, _CODE[np.minimum(points, 0x24F)], SIDE - 1).astype(np.int64)
-    code = np.concatenate(([0], code, [0]))
-    code = code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]]
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    code = np.where(points < 0x250, _CODE[np.minimum(points, 0x24F)], np.uint8(SIDE - 1))
+    code = np.concatenate(([np.uint8(0)], code, [np.uint8(0)]))
+    code = code[np.r_[True, (code[1:] != 0) | (code[:-1] != 0)]].astype(np.int32)
     if len(code) < 2:
         return
     two = np.concatenate(([0], code[:-2])) * (code[:-1] != 0)
     into += np.bincount((two * SIDE + code[:-1]) * SIDE + code[1:], minlength=SIDE**3)
 
 
+# Classes of characters for `may_be_spaced`: 1 letter or digit, 2 sign, 4 may stand beside a lone sign.
+_CLASS = np.array([(1 if re.match(r"[^\W_]", chr(i)) else 0) | (2 if chr(i) in HIDES and not chr(i).isdigit() else 0) | (4 if re.match(r"[\s.,/\\\-_:;*~]", chr(i)) else 0) for i in range(0x250)], np.uint8)
+
+
+def may_be_spaced(text: str) -> bool:
+    """False only if no three lone characters stand near enough to one another for `_SPACED`; looked up for all at once."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if len(points) < 5:
+        return False
+    if points.max() >= 0x250:
+        return True
+    kind = np.zeros(len(points) + 2, np.uint8)
+    kind[0] = kind[-1] = 4
+    kind[1:-1] = _CLASS[points]
+    before, here, after = kind[:-2], kind[1:-1], kind[2:]
+    lone = (here & 1 & ~(before | after)) | ((here >> 1) & ((before & after) >> 2) & 1)
+    at = np.flatnonzero(lone)
+    if len(at) < 3:
+        return False
+    near = np.diff(at) <= 9
+    return bool((near[1:] & near[:-1]).any())
+
+
 def trigram_costs(counts: np.ndarray) -> np.ndarray:
     """-log p(third | first two), interpolated with the shorter contexts; shape (SIDE, SIDE, SIDE)."""
     tri = counts.reshape(SIDE, SIDE, SIDE).astype(np.float64)
@@ -159,6 +184,10 @@ class Restorer:
         if found is None:
             if len(self.memo) > MEMO:
                 self.memo.clear()
+            bare = token.rstrip(".,;:?")
+            if bare.isalpha() and not _DOUBLED.search(bare):  # a word as it should be
+                self.memo[token] = found = (bare,)
+                return found
             plain = _PIECES.findall(token)
             # Signs at the edges are punctuation or hide letters: both readings count.
             for core in {_EDGES.sub("", token): 1, _FAR_EDGES.sub("", token): 1}:
@@ -168,7 +197,9 @@ class Restorer:
         return found
 
     def spaced(self, text: str) -> list[str]:
-        out = []
+        out: list[str] = []
+        if not may_be_spaced(text):
+            return out
         for m in _SPACED.finditer(text):
             units = "".join(_UNIT.findall(m.group()))
             bare = "".join(c for c in units if c.isalnum())
@@ -183,17 +214,19 @@ class Restorer:
         return [w for t in text.split() for w in self.token(t)] + self.spaced(text)
 
 
-def evidence_keys(word: str) -> list[int]:
-    """Keys of a word and of its proper beginnings."""
-    raw = word.encode()
-    return [zlib.crc32(raw), *(zlib.crc32(word[:n].encode(), 1) for n in BEGINNINGS if len(word) > n)]
+def evidence_keys(word: str) -> list[str]:
+    """A word, and its proper beginnings (marked by a hyphen, which no word holds)."""
+    return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) > n)]
 
 
 class Scorer:
-    def __init__(self, costs: np.ndarray, weights: dict[int, float], curve: tuple[float, float, float]):
+    def __init__(self, costs: np.ndarray, weights: dict[str, float], curve: tuple[float, float, float]):
         self.restore, self.weights, self.curve, self.memo = Restorer(Channel(costs)), weights, curve, {}
+        self.heads = {k.rstrip("-")[: BEGINNINGS[0]] for k in weights}
 
     def word(self, word: str) -> float:
+        if word[: BEGINNINGS[0]] not in self.heads:
+            return 0.0
         return max((self.weights.get(k, 0.0) for k in evidence_keys(word)), default=0.0)
 
     def token(self, token: str) -> float:
@@ -222,13 +255,11 @@ def character_model(docs: DataFrame) -> np.ndarray:
     def run(blocks):
         counts = np.zeros(SIDE**3, np.int64)
         for (texts,) in blocks:
-            for t in texts:
-                if t:
-                    count_trigrams(t, counts)
+            count_trigrams("\n".join([t for t in texts if t]), counts)  # a gap between texts is one between words
         code = np.flatnonzero(counts)
         yield {"code": code, "n": counts[code]}
 
-    summed = arrow_map(docs.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    summed = arrow_map(docs.select("text"), run, "code long, n long", 64).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIDE**3, np.int64)
     counts[summed["code"].to_numpy()] = summed["n"].to_numpy()
     return trigram_costs(counts)
@@ -261,7 +292,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return spill_table(signed.select(part.alias("part"), "toxic", "text"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, float], tuple[float, float, float]]:
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], tuple[float, float, float]]:
     spark = docs.sparkSession
     costs = character_model(docs)
     sample = labelled_sample(docs, labels)
@@ -270,7 +301,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, flo
     def present(blocks):
         restore, of = Restorer(Channel(sent.value)), {}
         for toxic, texts in blocks:
-            counts: dict[int, list[int]] = {}
+            counts: dict[str, list[int]] = {}
             for y, t in zip(toxic, texts):
                 seen = set()
                 for w in set(restore.words(t)):
@@ -288,11 +319,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[int, flo
     n = {r.toxic: r.n for r in sample.where("part < 2").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return costs, {}, (-30.0, 0.0, 0.0)
-    found = arrow_map(sample.where("part < 2").select("toxic", "text"), present, "key long, clean long, toxic long")
+    found = arrow_map(sample.where("part < 2").select("toxic", "text"), present, "key string, clean long, toxic long")
     ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    found = found.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(f"toxic >= {LEAST_DOCS}")
-    kept = found.withColumn("ratio", ratio).where("ratio > 1.5").orderBy(F.desc(F.col("ratio") * F.col("toxic")), "key").limit(EVIDENCE)
-    weights = {r.key: r.ratio for r in kept.select("key", "ratio").collect()}
+    # A document in a hundred of the toxic ones, two at least: with few labels, rarer words have to do.
+    least = min(MOST_DOCS, max(2, n[1] // 100))
+    found = found.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
+    kept = found.withColumn("ratio", ratio).where("ratio > 1.5")
+    weights = {r.key: r.ratio for r in kept.select("key", "ratio").collect()}  # of at most TRAIN_DOCS documents
     given = spark.sparkContext.broadcast((costs, weights))
 
     def weigh(blocks):
