@@ -48,6 +48,8 @@ def key_normal(x: Column) -> Column:
 
 
 def decode_basic_entities(x: Column) -> Column:
+    """A text without an ampersand, as most are, is left alone."""
+    out = x
     for pattern, to in (
         ("(?i)&nbsp;|&#160;", " "),
         ("(?i)&amp;", "&"),
@@ -57,14 +59,15 @@ def decode_basic_entities(x: Column) -> Column:
         ("(?i)&gt;", ">"),
         ("(?i)&#821[12];|&#x201[34];", "-"),
     ):
-        x = F.regexp_replace(x, pattern, to)
-    return x
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(x.contains("&"), out).otherwise(x)
 
 
 def topic_normal(x: Column) -> Column:
     """`key_normal` after basic entities are decoded and web addresses dropped."""
     decoded = F.lower(strip_accents(decode_basic_entities(F.coalesce(x, F.lit("")))))
-    return F.trim(F.regexp_replace(F.regexp_replace(decoded, r"https?://\S+", " "), "[^a-z0-9]+", " "))
+    bare = F.when(decoded.contains("://"), F.regexp_replace(decoded, r"https?://\S+", " ")).otherwise(decoded)
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
 
 
 def words(normal: Column) -> Column:

@@ -96,3 +96,9 @@ def hashed_embedding(tokens: Column, dimension: int = 64) -> Column:
     raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(tokens, lambda t: slot(t) == i), F.lit(0.0), lambda s, t: s + sign(t)))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+
+
+def clamp_int(x: Column, default: int, low: int, high: int) -> Column:
+    """A whole number from text, the default where it is none, within bounds."""
+    n = F.regexp_extract(F.coalesce(x, F.lit("")), r"^\s*([+-]?\d+)", 1).try_cast("long")
+    return F.least(F.greatest(F.coalesce(n, F.lit(default)), F.lit(low)), F.lit(high))

@@ -166,15 +166,15 @@ def bridge_candidates(triads: DataFrame) -> DataFrame:
     return out.withColumn("risk", risk)
 
 
-def cluster_evaluation(assigned: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: recall of same pairs, separation of different ones, precision of joint clusters, accuracy. `assigned` is
+def cluster_evaluation(assigned: DataFrame, labels: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """One row (per `keys` of `assigned`): recall of same pairs, separation of different ones, precision of joint clusters, accuracy. `assigned` is
     (event_id, story_id), `labels` is (a, b, same)."""
-    one = lambda side: assigned.select(F.col("event_id").alias(side), F.col("story_id").alias(f"story_{side}"))
-    j = labels.join(one("a"), "a").join(one("b"), "b").withColumn("together", F.col("story_a") == F.col("story_b"))
-    c = j.agg(*[F.count_if(cond).alias(n) for n, cond in {
+    one = lambda side: assigned.select(*keys, F.col("event_id").alias(side), F.col("story_id").alias(f"story_{side}"))
+    j = labels.join(one("a"), "a").join(one("b"), ["b", *keys]).withColumn("together", F.col("story_a") == F.col("story_b"))
+    c = j.groupBy(*keys).agg(*[F.count_if(cond).alias(n) for n, cond in {
         "same": F.col("same"), "same_kept": F.col("same") & F.col("together"), "different": ~F.col("same"),
         "different_kept": ~F.col("same") & ~F.col("together"), "together": F.col("together")}.items()], F.count("*").alias("n"))
     return c.select(
-        "n", ratio(F.col("same_kept"), F.col("same"), 1.0).alias("same_recall"), ratio(F.col("different_kept"), F.col("different"), 1.0).alias("different_separation"),
+        *keys, "n", ratio(F.col("same_kept"), F.col("same"), 1.0).alias("same_recall"), ratio(F.col("different_kept"), F.col("different"), 1.0).alias("different_separation"),
         ratio(F.col("same_kept"), F.col("together"), 1.0).alias("co_cluster_precision"), ratio(F.col("same_kept") + F.col("different_kept"), F.col("n"), 0.0).alias("pair_accuracy"),
     )

@@ -1,7 +1,7 @@
 """Work queues and change-detecting writes as DataFrame steps.
 
-Status lives in tables; a step reads a snapshot and gives back the rows to write. There is one writer per micro-batch,
-so what needs leases elsewhere is a filter here.
+Status lives in tables; a step reads a snapshot and gives back the rows to write. A micro-batch has one writer; where jobs
+outlive their batch, `claim` leases them to a holder and `settle` takes results from that holder only.
 """
 
 from __future__ import annotations
@@ -81,3 +81,31 @@ def status_from_counts(relevant: Column, review: Column, rejected: Column) -> Co
 
 def coarse_status(retry: Column, failed: Column, ready: Column, review: Column, rejected: Column) -> Column:
     return F.when((retry > 0) | (failed > 0), "phase_a_retry").otherwise(status_from_counts(ready, review, rejected))
+
+
+def claim(jobs: DataFrame, now: Column, holder: str, seconds: int, most: int, order: list[str]) -> DataFrame:
+    """The first `most` jobs that are due, or whose lease ran out, as they are after `holder` took them: (…, status,
+    attempts, holder, lease_until), one attempt more each."""
+    free = due(F.col("status"), F.col("next_retry_at"), now) | ((F.col("status") == "processing") & (F.col("lease_until") <= now))
+    taken = jobs.where(free).orderBy(*order).limit(most)
+    return taken.withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "holder": F.lit(holder), "lease_until": now + F.make_dt_interval(secs=F.lit(seconds))})
+
+
+def settle(jobs: DataFrame, results: DataFrame, key: str, now: Column, most: int, wait: int) -> DataFrame:
+    """`jobs` after `results` (key, by, failed) of those who held them: done, to be tried again after `wait` seconds, or
+    failed for good after `most` attempts. A result of anyone but the job's holder, or past its lease, changes nothing."""
+    r = results.select(F.col(key).alias("__key"), F.col("by").alias("__by"), F.col("failed").alias("__failed"))
+    j = jobs.join(r, F.col(key) == F.col("__key"), "left")
+    held = F.coalesce((F.col("status") == "processing") & (F.col("holder") == F.col("__by")) & (F.col("lease_until") > now), F.lit(False))
+    j, holds = j.withColumn("__holds", held), F.col("__holds")
+    state = next_state(F.col("attempts") - 1, F.col("__failed"), most)
+    again = F.when(holds & (state == "retry"), now + F.make_dt_interval(secs=F.lit(wait))).when(~holds, F.col("next_retry_at"))
+    out = j.withColumn("next_retry_at", again).withColumn("status", F.when(holds, state).otherwise(F.col("status")))
+    freed = {c: F.when(~holds, F.col(c)) for c in ("holder", "lease_until")}
+    return out.withColumns(freed).drop("__key", "__by", "__failed", "__holds")
+
+
+def paced(claimed: DataFrame, order: list[str], now: Column, seconds: int) -> DataFrame:
+    """Claimed jobs (a batch of bounded size) with `start_at`: one every `seconds`, in order."""
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    return claimed.withColumn("start_at", now + F.make_dt_interval(secs=(place * seconds).cast("decimal(18,6)")))

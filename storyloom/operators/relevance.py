@@ -22,16 +22,22 @@ def evidence(articles: DataFrame, aliases: DataFrame) -> DataFrame:
     # One pass over a text for each alias: the dictionary rides along as an array, so texts are not multiplied by a join.
     packed = aliases.groupBy().agg(F.array_sort(F.collect_list(F.struct("topic", "strength", "alias"))).alias("dictionary"))
     joined = clean.join(F.broadcast(packed))
-    count = lambda field, a: F.regexp_count(field, T.alias_pattern_column(a["alias"]))
+    # Most aliases are in few texts: a plain search in the lowered text comes before any pattern. The two letters whose
+    # lower case the pattern folds further are folded here, too. The lambda names the lowered texts, so each is made once.
+    lowered = lambda c: F.translate(F.lower(c), "\u017f\u212a", "sk")
     lead, after = F.substring("body", 1, LEAD), F.substring("body", LEAD + 1, 1 << 30)
-    found = F.transform(
-        "dictionary",
-        lambda a: F.struct(
+    low = F.struct(lowered(F.col("title")).alias("title"), lowered(F.col("excerpt")).alias("excerpt"), lowered(F.col("body")).alias("body"))
+
+    def counts(low, a):
+        pattern, plain = T.alias_pattern_column(a["alias"]), F.lower(a["alias"])
+        count = lambda field, within: F.when(low[within].contains(plain), F.regexp_count(field, pattern)).otherwise(0)
+        return F.struct(
             a["topic"].alias("topic"), a["strength"].alias("strength"), a["alias"].alias("alias"),
-            count(F.col("title"), a).alias("title"), count(F.col("excerpt"), a).alias("excerpt"), count(lead, a).alias("lead"),
-            count(F.col("body"), a).alias("body"), count(after, a).alias("after"),
-        ),
-    )
+            count(F.col("title"), "title").alias("title"), count(F.col("excerpt"), "excerpt").alias("excerpt"), count(lead, "body").alias("lead"),
+            count(F.col("body"), "body").alias("body"), count(after, "body").alias("after"),
+        )
+
+    found = F.element_at(F.transform(F.array(low), lambda x: F.transform("dictionary", lambda a: counts(x, a))), 1)
     return joined.select("id", F.inline(found))
 
 

@@ -107,6 +107,24 @@ def parse_roles(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x or "") for x in raw], columns=["role", "confidence", "rationale", "error"])
 
 
+_ARBITRATED = S.StructType([S.StructField(n, S.DoubleType() if n == "confidence" else S.StringType()) for n in ("decision", "story_id", "confidence", "evidence", "error")])
+
+
+@F.pandas_udf(_ARBITRATED)
+def parse_arbitrations(raw: pd.Series, event: pd.Series, members: pd.Series, clubs: pd.Series) -> pd.DataFrame:
+    """`parse_arbitration` over columns; `members` and `clubs` are JSON objects."""
+
+    def one(x, e, m, c):
+        try:
+            v = parse_arbitration(x or "", e, json.loads(m), json.loads(c))
+        except ValueError as err:
+            code = str(err)
+            return None, None, None, None, code if code.startswith(("invalid_ai_", "ai_")) else "invalid_json"
+        return v["decision"], v["story_id"], v["confidence"], ",".join(v["evidence_event_ids"]), None
+
+    return pd.DataFrame([one(*r) for r in zip(raw, event, members, clubs)], columns=["decision", "story_id", "confidence", "evidence", "error"])
+
+
 def snapshot_state(candidates: DataFrame, stories: DataFrame) -> DataFrame:
     """`candidates` (story_id, member_count, revision) with `state`: valid, candidate_story_inactive or
     candidate_snapshot_changed against `stories` (story_id, status, merged_into, member_count, revision)."""
@@ -169,12 +187,23 @@ def sentinels(expected: DataFrame, gated: DataFrame, gate: str) -> DataFrame:
     return j.withColumn("found", F.col("allowed").isNotNull()).withColumn("pass", kept)
 
 
+def _safe() -> Column:
+    return (F.col("co_cluster_precision") >= 0.97) & (F.col("different_separation") >= 0.97)
+
+
+def _rank_score() -> Column:
+    return F.when(_safe(), 100).otherwise(0) + 20 * F.col("same_recall") + 10 * F.col("pair_accuracy") - 0.25 * F.col("largest") - 0.01 * F.col("longest_days")
+
+
+def rank_order(runs: DataFrame) -> list[Column]:
+    """Runs in order of preference: safe ones first, then by weighted score; ties to the lower anchor threshold."""
+    return [F.desc(_safe()), F.desc(_rank_score()), F.coalesce("anchor", F.lit(-1.0))]
+
+
 def recommendation(runs: DataFrame) -> DataFrame:
-    """The conservative run to take: safe ones first, then by weighted score; ties to the lower anchor threshold."""
-    safe = (F.col("co_cluster_precision") >= 0.97) & (F.col("different_separation") >= 0.97)
-    score = F.when(safe, 100).otherwise(0) + 20 * F.col("same_recall") + 10 * F.col("pair_accuracy") - 0.25 * F.col("largest") - 0.01 * F.col("longest_days")
-    ranked = runs.where("mode = 'conservative'").withColumn("safe", safe).withColumn("rank_score", score)
-    return ranked.orderBy(F.desc("safe"), F.desc("rank_score"), F.coalesce("anchor", F.lit(-1.0))).limit(1)
+    """The conservative run to take, by `rank_order`."""
+    ranked = runs.where("mode = 'conservative'").withColumn("safe", _safe()).withColumn("rank_score", _rank_score())
+    return ranked.orderBy(*rank_order(ranked)).limit(1)
 
 
 def mixedness(title: Column, people: Column, clubs: Column, club_from: Column, club_to: Column) -> dict[str, Column]:

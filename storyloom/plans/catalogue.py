@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from storyloom.plans import evaluation, relational, stories, streams, texts  # noqa: F401  each registers its queries
+from storyloom.plans import evaluation, golden, operations, relational, stories, streams, texts  # noqa: F401  each registers its queries
 from storyloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,6 +15,7 @@ from storyloom.operators import review
 from storyloom.plans.registry import query
 from storyloom.plans.stories import _FAMILY_OK, PAIRS_SQL, scored_pairs
 from storyloom.plans.texts import _MAIN, _TITLE
+from storyloom.sources.sinks import kept
 from storyloom.sources.tables import EVENTS_SQL, events, load
 
 _THRESHOLDS = [i / 200 for i in range(60, 157, 8)]
@@ -29,7 +30,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS_SQL} SELECT round(quantile_cont(hybrid, 0.5), 6) AS p50, round(quantile_cont(hybrid, 0.9), 6) AS p90, round(quantile_cont(hybrid, 0.95), 6) AS p95, round(quantile_cont(hybrid, 0.99), 6) AS p99, round(median(emb), 6) AS median_cosine FROM sp")
 def quantiles_of_scores(spark, sf_dir):
-    p = scored_pairs(spark, sf_dir).select("hybrid", "emb")
+    p = kept(scored_pairs(spark, sf_dir).select("hybrid", "emb"))
     q = E.quantiles(p, "hybrid", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}).drop("n")
     m = E.quantiles(p, "emb", {"median_cosine": 0.5}).drop("n")  # one row each
     return q.join(m).select(*[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99", "median_cosine")])
@@ -67,7 +68,7 @@ _BIN = "CASE " + " ".join(f"WHEN hybrid < {b}::DOUBLE THEN {i}" for i, b in enum
  f AS (SELECT * FROM n WHERE n <= 17), r AS (SELECT * FROM n WHERE n > 17 ORDER BY abs(hybrid - 0.65::DOUBLE), rk, pair_id LIMIT (SELECT 120 - count(*) FROM f)), u AS (SELECT * FROM f UNION ALL SELECT * FROM r)
  SELECT 'M' || lpad((row_number() OVER (ORDER BY hybrid DESC, pair_id))::VARCHAR, 3, '0') AS review_id, pair_id, round(hybrid, 6) AS hybrid, bin FROM u""")
 def calibration_sample_v1(spark, sf_dir):
-    return E.stratified_sample(_labelled(spark, sf_dir)).select("review_id", "pair_id", F.round("hybrid", 6).alias("hybrid"), "bin")
+    return E.stratified_sample(kept(_labelled(spark, sf_dir))).select("review_id", "pair_id", F.round("hybrid", 6).alias("hybrid"), "bin")
 
 
 @query(f"""WITH {PAIRS_SQL}, {_ID}, p AS (SELECT *, row_number() OVER (ORDER BY hybrid, pair_id) - 1 AS place, count(*) OVER () AS n, substr(sha256(pair_id), 1, 12) AS rk FROM sp2),
@@ -76,7 +77,7 @@ def calibration_sample_v1(spark, sf_dir):
  u AS (SELECT * FROM s UNION ALL SELECT * FROM f)
  SELECT 'M' || lpad((row_number() OVER (ORDER BY hybrid DESC, pair_id))::VARCHAR, 3, '0') AS review_id, pair_id, round(hybrid, 6) AS hybrid, bucket, least(9, floor(place * 10 / n))::INT AS decile FROM u""")
 def calibration_sample_v2(spark, sf_dir):
-    return E.spectrum_sample(_labelled(spark, sf_dir)).select("review_id", "pair_id", F.round("hybrid", 6).alias("hybrid"), "bucket", "decile")
+    return E.spectrum_sample(kept(_labelled(spark, sf_dir))).select("review_id", "pair_id", F.round("hybrid", 6).alias("hybrid"), "bucket", "decile")
 
 
 @query(f"""WITH {EVENTS_SQL}, p AS (SELECT a.family AS fa, b.family AS fb, a.club = b.club AS club, a.salient = b.salient AS anchor FROM ev a JOIN ev b ON a.person = b.person AND a.event_id < b.event_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 172800000000)
@@ -105,7 +106,7 @@ _TRIADS = f"""{PAIRS_SQL}, c AS (SELECT a, b, hybrid, {_COMPAT} AS ok FROM sp),
 def bridge_triads(spark, sf_dir):
     """Events that hold together others which do not; thresholds fit the invented vectors' scores."""
     p = scored_pairs(spark, sf_dir).select("a", "b", "hybrid", V.family_compatible(F.col("fa"), F.col("fb")).alias("compatible"), F.lit(None).cast("string").alias("label"))
-    c = E.bridge_candidates(E.bridge_triads(p, 0.3, 0.4))
+    c = E.bridge_candidates(E.bridge_triads(kept(p), 0.3, 0.4))
     return c.select("center", "triads", "family_block", "below_low", "ambiguous_gap", "not_shortlisted", F.round("max_severity", 4).alias("max_severity"), "risk")
 
 

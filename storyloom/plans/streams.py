@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.operators import evaluate as E
@@ -12,6 +12,7 @@ from storyloom.operators import extraction as X
 from storyloom.operators import review
 from storyloom.plans.registry import query
 from storyloom.plans.stories import scored_pairs
+from storyloom.sources.sinks import kept, shared_folder
 from storyloom.sources.tables import articles, events, load
 from storyloom.streaming import clusterer, jobs
 
@@ -52,27 +53,30 @@ def cluster_eval(spark, sf_dir):
 
 @query()
 def simulation_runs(spark, sf_dir):
-    """The clusterer under a grid of founder thresholds and modes, evaluated, with the run to take marked. Each run and
-    key is a group of its own."""
+    """The clusterer under a grid of founder thresholds and modes, evaluated, with the run to take marked. All runs are one
+    pass over the events, a run and key being a key of its own."""
     v = _vectors(spark, sf_dir)
     labels = scored_pairs(spark, sf_dir).where("fa = fb").select("a", "b", (F.col("la") == F.col("lb")).alias("same"))
-    out = None
-    for mode in ("conservative", "stress"):
-        for anchor in (None, 0.2, 0.4):
-            assigned = clusterer.cluster(v, low=0.3, high=0.45, anchor=anchor, stress=mode == "stress")
-            sizes = clusterer.summary(assigned, v).agg(F.sum("stories").alias("stories"), F.max("largest").alias("largest"), F.max("longest_days").alias("longest_days"))
-            run = E.cluster_evaluation(assigned, labels).join(sizes)  # one row each
-            run = run.select(F.lit(mode).alias("mode"), F.lit(anchor).cast("double").alias("anchor"), "*")
-            out = run if out is None else out.unionByName(run)
-    best = review.recommendation(out).select("mode", "anchor", F.lit(True).alias("recommended"))
-    joined = out.join(best, (out.mode == best.mode) & out.anchor.eqNullSafe(best.anchor), "left").select(out["*"], F.coalesce(best.recommended, F.lit(False)).alias("recommended"))
-    return joined
+    grid = [(mode, anchor) for mode in ("conservative", "stress") for anchor in (None, 0.2, 0.4)]
+    runs = spark.createDataFrame([(i, m, a) for i, (m, a) in enumerate(grid)], "run int, mode string, anchor double")
+    options = {str(i): {"low": 0.3, "high": 0.45, "anchor": a, "stress": m == "stress"} for i, (m, a) in enumerate(grid)}
+    every = v.crossJoin(F.broadcast(runs.select("run")))  # six runs
+    assigned = clusterer.cluster_runs(every.withColumn("key", F.concat_ws("/", F.col("run").cast("string"), "key")), options)
+    assigned = assigned.withColumn("run", F.substring_index("key", "/", 1).cast("int"))
+    assigned = kept(assigned)
+    j = assigned.join(v.select("event_id", "us"), "event_id")
+    s = j.groupBy("run", "story_id").agg(F.count("*").alias("n"), ((F.max("us") - F.min("us")) / clusterer.DAY_US).alias("span"))
+    sizes = s.groupBy("run").agg(F.count("*").alias("stories"), F.max("n").alias("largest"), F.round(F.max("span"), 6).alias("longest_days"))
+    out = E.cluster_evaluation(assigned, labels, ["run"]).join(sizes, "run").join(runs, "run")
+    out = out.select("mode", "anchor", "n", "same_recall", "different_separation", "co_cluster_precision", "pair_accuracy", "stories", "largest", "longest_days")
+    score = review.rank_order(out)
+    return out.withColumn("recommended", (F.col("mode") == "conservative") & (F.row_number().over(Window.partitionBy(F.col("mode") == "conservative").orderBy(*score)) == 1))
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS people FROM events GROUP BY 1")
 def stream_ingest(spark, sf_dir):
     """The events table as a file stream, drained in micro-batches into a table of its own, then counted."""
-    base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams/{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/streams-{uuid.uuid4().hex}"
     jobs.drain(jobs.read_stream(spark, sf_dir, "events.parquet"), lambda b: b.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("people"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,17 @@ def json_lines(df: DataFrame) -> DataFrame:
 
 def write_artifact(df: DataFrame, path: str) -> None:
     json_lines(df).write.mode("overwrite").text(path)
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir`, else the session's checkpoint folder, else (in
+    tests) one below the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, written once to the shared folder and read from there: for what several steps of a plan read."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -1,8 +1,9 @@
 """The incremental clusterer: events in order of date join the best story that holds, or found a new one.
 
-The fold depends on order, so it runs once per partition key (language, topic: whatever keeps stories apart), in one
-sorted group each; its state is a story's centroid, members and dates. In a stream the same fold goes on from the state
-the batch before left.
+The fold depends on order, so a partition key (language, topic: whatever keeps stories apart) is taken in order by one
+task. Its events pass through one at a time in sorted partitions and are not gathered; what is held is the stories
+(centroid, distinct token sets, dates) and the posting lists that find them. In a stream each story and each posting
+list is a state entry of its own, and a batch reads and writes only those that its events touch.
 """
 
 from __future__ import annotations
@@ -42,12 +43,12 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 class Story:
     def __init__(self, id_: int, vector: np.ndarray, family: str, tokens: frozenset, us: int):
         self.id, self.family, self.anchor = id_, family, vector
-        self.centroid, self.members, self.last = vector.astype(np.float32), [tokens], us
+        self.centroid, self.members, self.last, self.n = vector.astype(np.float32), {tokens}, us, 1
 
     def add(self, vector: np.ndarray, tokens: frozenset, us: int) -> None:
-        n = len(self.members)
-        self.centroid = ((self.centroid.astype(np.float64) * n + vector) / (n + 1)).astype(np.float32)
-        self.members.append(tokens)
+        self.centroid = ((self.centroid.astype(np.float64) * self.n + vector) / (self.n + 1)).astype(np.float32)
+        self.members.add(tokens)  # equal sets score alike
+        self.n += 1
         self.last = max(self.last, us)
 
     def score(self, vector: np.ndarray, tokens: frozenset, us: int) -> float:
@@ -59,10 +60,10 @@ class Story:
 class Fold:
     """Stories so far, and the posting lists that find them; `step` takes the next events in order."""
 
-    def __init__(self, low: float = LOW, high: float = HIGH, anchor: float | None = None, stress: bool = False):
+    def __init__(self, low: float = LOW, high: float = HIGH, anchor: float | None = None, stress: bool = False, stories=None, postings=None):
         self.low, self.high, self.anchor, self.stress = low, high, anchor, stress
-        self.stories: dict[int, Story] = {}
-        self.postings: dict[str, set[int]] = {}
+        self.stories = {} if stories is None else stories  # id -> Story
+        self.postings = {} if postings is None else postings  # token -> ids
 
     def place(self, id_: int, us: int, family: str, tokens: Iterable[str], vector) -> tuple:
         tokens, vector = frozenset(tokens), np.asarray(vector, np.float64)
@@ -73,13 +74,18 @@ class Fold:
         score = -(best or min(scored))[0] if scored else None
         if best and (score >= self.high or self.stress and score >= self.low):
             home, decision = best[1], "attach" if score >= self.high else "stress_attach"
-            self.stories[home].add(vector, tokens, us)
+            story = self.stories[home]
+            story.add(vector, tokens, us)
+            self.stories[home] = story
         else:
             home = id_
             decision = "new_no_candidate" if not scored else "new_below_low" if score < self.low else "new_ambiguous"
             self.stories[home] = Story(home, vector, family, tokens, us)
         for t in tokens:
-            self.postings.setdefault(t, set()).add(home)
+            found = self.postings.get(t) or set()
+            if home not in found:
+                found.add(home)
+                self.postings[t] = found
         return id_, home, decision, score
 
     def step(self, events: Iterable[tuple]) -> list[tuple]:
@@ -96,14 +102,26 @@ def fold(events: Iterable[tuple], **options) -> list[tuple]:
 SCHEMA = "key string, event_id long, story_id long, decision string, score double"
 
 
-def cluster(events: DataFrame, **options) -> DataFrame:
-    """Batch form over (key, event_id, us, family, tokens, vector)."""
+def cluster_runs(events: DataFrame, options: dict[str, dict]) -> DataFrame:
+    """Batch form over (key, event_id, us, family, tokens, vector), with options by what stands before the first slash of
+    the key. A key's events come sorted and pass through; only its stories are held, until the next key begins."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        key, now = None, None
+        for pdf in batches:
+            rows = []
+            for k, *event in zip(pdf.key, pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector):
+                if now is None or k != key:
+                    key, now = k, Fold(**options.get(str(k).split("/", 1)[0], options.get("", {})))
+                rows.append((k, *now.place(*event)))
+            yield pd.DataFrame(rows, columns=["key", "event_id", "story_id", "decision", "score"])
+
+    ordered = events.select("key", "event_id", "us", "family", "tokens", "vector").repartition("key").sortWithinPartitions("key", "us", "event_id")
+    return ordered.mapInPandas(run, SCHEMA)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = fold(zip(pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector), **options)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["key", "event_id", "story_id", "decision", "score"])
 
-    return events.groupBy("key").applyInPandas(run, SCHEMA)
+def cluster(events: DataFrame, **options) -> DataFrame:
+    return cluster_runs(events, {"": options})
 
 
 def summary(assigned: DataFrame, events: DataFrame) -> DataFrame:
@@ -115,21 +133,47 @@ def summary(assigned: DataFrame, events: DataFrame) -> DataFrame:
 _OUT = S.StructType([S.StructField("key", S.StringType()), S.StructField("event_id", S.LongType()), S.StructField("story_id", S.LongType()), S.StructField("decision", S.StringType()), S.StructField("score", S.DoubleType())])
 
 
+class _Kept:
+    """A map state behind a dictionary's face: entries are read when asked for and written back once, at the end."""
+
+    def __init__(self, state):
+        self.state, self.held, self.changed = state, {}, set()
+
+    def get(self, k, default=None):
+        if k not in self.held:
+            self.held[k] = pickle.loads(self.state.getValue((k,))[0]) if self.state.containsKey((k,)) else None
+        found = self.held[k]
+        return default if found is None else found
+
+    __getitem__ = get
+
+    def __setitem__(self, k, v):
+        self.held[k] = v
+        self.changed.add(k)
+
+    def flush(self) -> None:
+        for k in self.changed:
+            self.state.updateValue((k,), (pickle.dumps(self.held[k]),))
+
+
 class StoryProcessor(StatefulProcessor):
-    """The fold as a stateful streaming operator: a key's stories are its state, from micro-batch to micro-batch."""
+    """The fold as a stateful streaming operator: each story and each posting list of a key is an entry of its state."""
 
     def __init__(self, **options):
         self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stories", S.StructType([S.StructField("fold", S.BinaryType())]))
+        one = lambda n, t: S.StructType([S.StructField(n, t)])
+        self.stories = handle.getMapState("stories", one("id", S.LongType()), one("story", S.BinaryType()))
+        self.postings = handle.getMapState("postings", one("token", S.StringType()), one("ids", S.BinaryType()))
 
     def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
-        now = pickle.loads(held[0]) if held else Fold(**self.options)
-        events = [e for pdf in rows for e in zip(pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector)]
+        stories, postings = _Kept(self.stories), _Kept(self.postings)
+        now = Fold(**self.options, stories=stories, postings=postings)
+        events = [(int(i), int(us), f, t, v) for pdf in rows for i, us, f, t, v in zip(pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector)]
         placed = now.step(events)
-        self.state.update((pickle.dumps(now),))
+        stories.flush()
+        postings.flush()
         yield pd.DataFrame([(key[0], *r) for r in placed], columns=["key", "event_id", "story_id", "decision", "score"])
 
     def close(self) -> None:
