@@ -2,15 +2,18 @@
 
 A disguised word (look-alike characters, letters spread over white space or punctuation, letters doubled or drawn out) is
 a lattice: each character stands for itself or for the letters it may hide, punctuation may be dropped, a doubled or
-drawn-out letter may be one or two, and between single letters a word may end. Viterbi decoding finds the likeliest reading under a character
-trigram model (what people write) and the channel's costs (how they disguise it). The trigram model is counted over
-every document; its table is bounded by the alphabet's cube, whatever the corpus.
+drawn-out letter may be one or two, and between single letters a word may end. Viterbi decoding finds the likeliest
+reading under a character trigram model (what people write) and the channel's costs (how they disguise it). The trigram
+model is counted over every document; its table is bounded by the alphabet's cube, whatever the corpus. Words without any
+mark of a disguise, and texts without lone characters near one another, have but one reading and need no lattice.
 
 The scorer is learnt from labelled documents whose crc32(doc_id as text) mod 3 is not 1: at most TRAIN_DOCS of them,
 chosen by the hash of the id (the documented bound), near copies dropped so that one document copied a thousand times
-teaches as much as once. Nothing else is bounded: the evidence is all that those documents give. Two thirds of those pick the evidence: words and word beginnings whose presence speaks for
-toxicity, with their log-likelihood ratio. The last third, whose words picked nothing, calibrates a logistic curve on a
-document's strongest evidence and its total. Labels, language, source and ids are no inputs of a score.
+teaches as much as once. Nothing else is bounded: the evidence is all that those documents give. Two thirds of them pick
+it: words and word beginnings whose presence speaks for toxicity, with their log-likelihood ratio, as far as they stand
+out from what chance gives among so many words; so few labels give little evidence, but no chance one. The last third,
+whose words picked nothing, calibrates a logistic curve on a document's strongest evidence and its total. Labels,
+language, source and ids are no inputs of a score.
 
 Defined results: null and empty texts have no evidence and get the curve's value there; with no labels of either class
 every score is 0; documents that share an id are scored each on its own text; whole texts are read, however long.
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from storyloom.llm.common import arrow_map, spill_table, table
 
 TRAIN_DOCS = 24_000
-MOST_DOCS = 4  # toxic documents that a piece of evidence is asked to be in, where there are many; two where there are few
+LEAST_RATIO = 1.5  # log-likelihood ratio of a piece of evidence
 BEGINNINGS = (4, 5, 6, 7, 8)
 PREDICT = 0.7
 MEMO = 400_000
@@ -292,6 +295,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return spill_table(signed.select(part.alias("part"), "toxic", "text"))
 
 
+def association(clean: int, toxic: int):
+    """The likelihood-ratio statistic of a key's presence (columns clean, toxic) against the class, for so many documents."""
+    c, t, n = F.col("clean").cast("double"), F.col("toxic").cast("double"), clean + toxic
+    cells = [(t, (c + t) * toxic / n), (c, (c + t) * clean / n), (F.lit(toxic) - t, (F.lit(n) - c - t) * toxic / n), (F.lit(clean) - c, (F.lit(n) - c - t) * clean / n)]
+    return 2 * sum((F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0) for seen, expected in cells), F.lit(0.0))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], tuple[float, float, float]]:
     spark = docs.sparkSession
     costs = character_model(docs)
@@ -321,10 +331,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
         return costs, {}, (-30.0, 0.0, 0.0)
     found = arrow_map(sample.where("part < 2").select("toxic", "text"), present, "key string, clean long, toxic long")
     ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("clean") + 0.5) / (n[0] + 1))
-    # A document in a hundred of the toxic ones, two at least: with few labels, rarer words have to do.
-    least = min(MOST_DOCS, max(2, n[1] // 100))
-    found = found.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least)
-    kept = found.withColumn("ratio", ratio).where("ratio > 1.5")
+    found = spill_table(found.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    # Among K keys of no meaning the largest likelihood-ratio statistic comes to about 2 ln K: what is below is chance,
+    # however few labels there are.
+    chance = 2 * math.log(max(2, found.count()))
+    kept = found.withColumn("ratio", ratio).where((F.col("ratio") > LEAST_RATIO) & (association(n[0], n[1]) > chance))
     weights = {r.key: r.ratio for r in kept.select("key", "ratio").collect()}  # of at most TRAIN_DOCS documents
     given = spark.sparkContext.broadcast((costs, weights))
 
