@@ -167,17 +167,19 @@ def structured_repr(spark, sf_dir):
     return e.select("event_id", line.alias("representation")).withColumn("representation_hash", F.sha2("representation", 256))
 
 
-@query(f"""WITH a AS (SELECT item_id, {_TOPIC('substr(text, 1, 12)')} AS alias FROM benchmark), m AS (SELECT alias, count(DISTINCT item_id) AS items, min(item_id) AS item FROM a WHERE alias <> '' GROUP BY 1),
- d AS (SELECT doc_id, {_TOPIC('substr(text, 1, 12)')} AS anchor FROM documents)
- SELECT doc_id, anchor, CASE WHEN items = 1 THEN 'linked' WHEN items > 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome, CASE WHEN items = 1 THEN item END AS item_id FROM d LEFT JOIN m ON anchor = alias""")
+@query(f"""WITH a AS (SELECT DISTINCT item_id, {_TOPIC('s')} AS alias FROM (SELECT item_id, unnest(string_split(text, '.')) AS s FROM benchmark)), m AS (SELECT alias, count(*) AS items, min(item_id) AS item FROM a WHERE alias <> '' GROUP BY 1),
+ d AS (SELECT DISTINCT doc_id, {_TOPIC('s')} AS anchor FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents))
+ SELECT doc_id, count(*) AS anchors, count(*) FILTER (items = 1) AS linked, count(*) FILTER (items > 1) AS ambiguous, count(*) FILTER (items IS NULL) AS unmatched, min(CASE WHEN items = 1 THEN item END) AS item_id FROM d LEFT JOIN m ON anchor = alias WHERE anchor <> '' GROUP BY 1""")
 def dictionary_resolve(spark, sf_dir):
-    """One hit links, several are ambiguous, none is unmatched."""
-    head = lambda c: T.topic_normal(F.substring(c, 1, 12))
-    a = load(spark, sf_dir, "benchmark").select("item_id", head("text").alias("anchor")).where("anchor != ''")
-    m = a.groupBy("anchor").agg(F.count_distinct("item_id").alias("items"), F.min("item_id").alias("item"))
-    d = load(spark, sf_dir, "documents").select("doc_id", head("text").alias("anchor")).join(m, "anchor", "left")
-    outcome = F.when(F.col("items") == 1, "linked").when(F.col("items") > 1, "ambiguous").otherwise("unmatched")
-    return d.select("doc_id", "anchor", outcome.alias("outcome"), F.when(F.col("items") == 1, F.col("item")).alias("item_id"))
+    """The sentences of every whole document looked up among those of the items: one hit links, several are ambiguous, none
+    is unmatched. Equal normal forms only, so a lookup is an equi-join; a document's repeated sentence counts once."""
+    named = lambda name, key: load(spark, sf_dir, name).select(key, F.explode(F.split("text", r"\.")).alias("s")).select(key, T.topic_normal(F.col("s")).alias("anchor")).where("anchor != ''").distinct()
+    m = named("benchmark", "item_id").groupBy("anchor").agg(F.count("*").alias("items"), F.min("item_id").alias("item"))
+    d = named("documents", "doc_id").join(m, "anchor", "left")
+    one = F.col("items") == 1
+    return d.groupBy("doc_id").agg(
+        F.count("*").alias("anchors"), F.count_if(one).alias("linked"), F.count_if(F.col("items") > 1).alias("ambiguous"), F.count_if(F.col("items").isNull()).alias("unmatched"), F.min(F.when(one, F.col("item"))).alias("item_id")
+    )
 
 
 # -- pages --------------------------------------------------------------------------------------------------------------
