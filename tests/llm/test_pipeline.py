@@ -28,3 +28,16 @@ def test_registered():
 
     names = entry.queries()
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+
+
+def test_every_query_runs(spark, tmp_path):
+    from storyloom.llm.registry import QUERIES
+
+    docs = fixtures.frame(spark, fixtures.documents() + fixtures.documents()[:2] + [(None, "no id", "en", "s", 0, "", "", 0)])
+    fixtures.save(docs, tmp_path, "documents")
+    fixtures.save(spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(60)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "int(toxic) toxic"), tmp_path, "labels")
+    fixtures.save(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, None, None)], "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
+    n = docs.count()
+    for name, query in QUERIES.items():
+        found = query(spark, str(tmp_path))
+        assert found.count() == (3 if name == "op5_chat" else n) or name == "op9_packing" and found.where("piece = 0").count() == n, name

@@ -1,6 +1,7 @@
 """Operators that work a document at a time: personal data, BPE, archives, chat, toxicity."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -224,6 +225,40 @@ def test_restoring_combined_disguises():
     r.words("! " * 20_000 + "* " * 20_000 + "a " * 300 + "$*" * 20_000)
 
 
+@pytest.mark.parametrize("breaks", [False, True])
+def test_decoding_is_the_cheapest_of_all_readings(breaks):
+    rng = random.Random(5)
+    counts = np.zeros(toxicity.SIDE**3, np.int64)
+    for w in ("idiot", "sass", "toss", "stst", "oo"):
+        toxicity.count_trigrams(f"a {w} " * rng.randint(3, 30), counts)
+    costs = toxicity.trigram_costs(counts)
+    channel, index = toxicity.Channel(costs), {c: i + 1 for i, c in enumerate(toxicity.LETTERS)}
+
+    def cost(letters):
+        x, y, total = 0, 0, 0.0
+        for c in letters:
+            i = index.get(c, 0)
+            total += float(costs[x, y, i])
+            x, y = (0, 0) if c == " " else (y, i)
+        return total + (float(costs[x, y, 0]) if y else 0.0)
+
+    for _ in range(150):
+        text = "".join(rng.choice("iost10$!*@d") for _ in range(rng.randint(1, 5)))
+        readings = channel.lattice(text, breaks)
+        every = [("".join(r for r, _ in way), sum(k for _, k in way)) for way in itertools.product(*readings)]
+        least = min(cost(r) + k for r, k in every)
+        best = {r for r, k in every if cost(r) + k < least + 1e-4}
+        assert channel.decode(text, breaks) in best, text
+
+
+def test_looking_for_lone_characters_misses_none():
+    rng = random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1 .*$!-_é\n") for _ in range(rng.randint(0, 14)))
+        if toxicity._SPACED.search(text):
+            assert toxicity.may_be_spaced(text), text
+
+
 def test_toxicity_on_a_table(spark):
     rng = random.Random(4)
     rows, labels = [], []
