@@ -38,6 +38,7 @@ MIN_WORDS = 25
 LONG = 24  # words; a longer sentence is cut further
 WINDOW = 6  # words, of which one is cut after; 51 words less 2 * WINDOW - 2 at either edge leave MIN_WORDS and a piece
 CHUNK = 1_000_000  # spans, 40 bytes each
+_REPEAT = 128  # marks a span that is a repeat for sure
 
 _WORD = re.compile(r"\S+")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
@@ -124,11 +125,12 @@ def spans(found: list[tuple[int, int, list[str]]], inner: set[int] = frozenset()
 
 
 def hashed_spans(docs: DataFrame) -> DataFrame:
-    """(key, h2, doc_id, place, size) of every span: the hash's halves, the document, the place (which row of that doc_id,
-    which sentence; ascending in reading order) and the number of sentences.
+    """(key, rest, doc_id, place) of every span: 64 bits of the hash; 56 more, a bit for known repeats and the number of
+    sentences (at most MIN_WORDS); the document; the place (which row of that doc_id, which sentence; ascending in reading
+    order). Four numbers and no more, as these rows are most of what is shuffled.
 
     Spans are gathered CHUNK at a time, and of a hash's copies within a chunk only the first competes for being the first
-    of all; the others are repeats already. They get a negative size and a key of their own, so that they spread."""
+    of all; the others are repeats already. They are marked and get a key of their own, so that they spread."""
 
     def run(blocks):
         import numpy as np
@@ -139,14 +141,15 @@ def hashed_spans(docs: DataFrame) -> DataFrame:
         def chunk():
             h = np.frombuffer(bytes(digests), "<i8").reshape(-1, 2)
             doc, place, size = np.array(held, np.int64).reshape(-1, 3).T.copy()
-            key, h2 = h[:, 0].copy(), h[:, 1].copy()
-            order = np.lexsort((place, doc, h2, key))
+            key, rest = h[:, 0].copy(), (h[:, 1] & ~0xFF)
+            order = np.lexsort((place, doc, rest, key))
             like = lambda *cols: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in cols])
-            order = order[np.r_[True, ~like(key, h2, doc, place)]]  # a repeated row is the same document
-            repeat = order[np.r_[False, like(key, h2)]]
-            size[repeat] *= -1
+            order = order[np.r_[True, ~like(key, rest, doc, place)]]  # a repeated row is the same document
+            repeat = order[np.r_[False, like(key, rest)]]
+            rest |= size
+            rest[repeat] |= _REPEAT
             key[repeat] ^= (doc[repeat] * 0x9E3779B1) ^ (place[repeat] * 0x85EBCA6B)
-            return {"key": key[order], "h2": h2[order], "doc_id": doc[order], "place": place[order], "size": size[order]}
+            return {"key": key[order], "rest": rest[order], "doc_id": doc[order], "place": place[order]}
 
         for ids, texts in blocks:
             for i, text in zip(ids, texts):
@@ -164,17 +167,18 @@ def hashed_spans(docs: DataFrame) -> DataFrame:
         if held:
             yield chunk()
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "key long, h2 long, doc_id long, place long, size int", 256)
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "key long, rest long, doc_id long, place long", 256)
 
 
 def repeated_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, row, covered): the sentence ranges of each document that non-first copies cover, as an array of structs."""
     # A hash has one competing row per chunk, so its group is small; repeats known as such stand alone.
+    known, size = F.col("rest").bitwiseAND(F.lit(_REPEAT)) != 0, F.col("rest").bitwiseAND(F.lit(_REPEAT - 1))
     every = hashed_spans(docs).repartition("key")
-    rank = F.rank().over(Window.partitionBy("key", "h2", F.col("size") > 0).orderBy("doc_id", "place"))
-    later = every.withColumn("rank", rank).where("rank > 1 or size < 0")
+    rank = F.rank().over(Window.partitionBy("key", F.shiftright("rest", 8), known).orderBy("doc_id", "place"))
+    later = every.withColumn("rank", rank).where((F.col("rank") > 1) | known)
     first = F.col("place").bitwiseAND(F.lit((1 << 31) - 1))
-    later = later.select("doc_id", F.shiftright("place", 31).alias("row"), F.struct(first.cast("int").alias("first"), (first + F.abs("size") - 1).cast("int").alias("last")).alias("span"))
+    later = later.select("doc_id", F.shiftright("place", 31).alias("row"), F.struct(first.cast("int").alias("first"), (first + size - 1).cast("int").alias("last")).alias("span"))
     return later.groupBy("doc_id", "row").agg(F.collect_set("span").alias("covered"))
 
 
