@@ -133,7 +133,7 @@ def merged_topics(spark, sf_dir):
 
 
 @query("SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
-def optional_filters(spark, sf_dir):
+def parameter_filters(spark, sf_dir):
     """Only the parameters that are set filter."""
     return S.given(load(spark, sf_dir, "orders"), o_orderstatus="F", o_orderpriority=None).groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"))
 
