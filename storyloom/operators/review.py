@@ -182,7 +182,11 @@ def gates(compatible: Column, family_a: Column, family_b: Column, f: dict[str, C
 
 def sentinels(expected: DataFrame, gated: DataFrame, gate: str) -> DataFrame:
     """`expected` (pair_id, expected_gate: allow or block) with whether `gate` of `gated` (pair_id, gates) does that."""
-    j = expected.join(gated.select("pair_id", F.col(gate).alias("allowed")), "pair_id", "left")
+    return sentinel_state(expected.join(gated.select("pair_id", F.col(gate).alias("allowed")), "pair_id", "left"))
+
+
+def sentinel_state(j: DataFrame) -> DataFrame:
+    """`found` and `pass` of rows that hold both what is expected and what the gate says (`allowed`, null if not gated)."""
     kept = F.coalesce(F.when(F.col("expected_gate") == "allow", F.col("allowed")).otherwise(~F.col("allowed")), F.lit(False))
     return j.withColumn("found", F.col("allowed").isNotNull()).withColumn("pass", kept)
 
