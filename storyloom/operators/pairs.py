@@ -125,10 +125,25 @@ def rule_keys(people: Column, clubs: Column, relations: Column, salient: Column)
 
 def probe(queries: DataFrame, postings: DataFrame, id_: str, most: int = 16) -> DataFrame:
     """For each query the stories with most matching keys: (id, story_id, matched_key_count, place). `queries` is
-    (id, key_type, key_value), `postings` is (key_type, key_value, story_id); postings are counted before they widen."""
-    hits = queries.join(postings, ["key_type", "key_value"]).groupBy(id_, "story_id").agg(F.count("*").alias("matched_key_count"))
-    place = F.row_number().over(Window.partitionBy(id_).orderBy(F.desc("matched_key_count"), "story_id"))
-    return hits.withColumn("place", place).where(F.col("place") <= most)
+    (id, key_type, key_value), `postings` is (key_type, key_value, story_id), distinct.
+
+    Queries with the same keys are one. The longest list of a query is not read in full: a story that is found there alone
+    matches one key, and so do the first `most` of that list, or more; any other story is found under a shorter list, and
+    only whether it stands in the longest one is looked up."""
+    key = ["key_type", "key_value"]
+    lists = postings.groupBy(*key).agg(F.count("*").alias("n"))
+    asked = queries.join(lists, key).groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("n", *key)), asc=False).alias("keys"))
+    asked = asked.withColumn("q", F.min(id_).over(Window.partitionBy("keys")))  # one of those that ask the same
+    known = asked.where(F.col("q") == F.col(id_)).select("q", "keys", F.col("keys")[0]["key_type"].alias("lt"), F.col("keys")[0]["key_value"].alias("lv"))
+    short = known.where(F.size("keys") > 1).select("q", "lt", "lv", F.explode(F.slice("keys", F.lit(2), F.size("keys") - 1)).alias("k")).select("q", "lt", "lv", "k.key_type", "k.key_value")
+    longest = postings.select(F.col("key_type").alias("lt"), F.col("key_value").alias("lv"), "story_id", F.lit(1).alias("also"))
+    found = short.join(postings, key).join(longest, ["lt", "lv", "story_id"], "left").select("q", "story_id", F.lit(1).alias("hit"), F.coalesce("also", F.lit(0)).alias("also"))
+    first = postings.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("story_id"))).where(F.col("at") <= most)
+    alone = known.select("q", F.col("lt").alias("key_type"), F.col("lv").alias("key_value")).join(first, key).select("q", "story_id", F.lit(0).alias("hit"), F.lit(1).alias("also"))
+    hits = found.unionByName(alone).repartition("q").groupBy("q", "story_id").agg((F.sum("hit") + F.max("also")).alias("matched_key_count"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("matched_key_count"), "story_id"))
+    best = hits.withColumn("place", place).where(F.col("place") <= most)
+    return asked.select(id_, "q").join(best, "q").select(id_, "story_id", "matched_key_count", "place")
 
 
 def token_pairs(tokens: DataFrame, doc: str, weight: str, least: float, keys: list[str] = ()) -> DataFrame:
