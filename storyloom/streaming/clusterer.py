@@ -92,6 +92,102 @@ class Fold:
         return [self.place(*e) for e in sorted(events, key=lambda e: (e[1], e[0]))]
 
 
+class ArrayFold:
+    """What `Fold` decides, for a batch: stories are rows of arrays, so an event meets all its candidates at once.
+
+    Token sets are kept once, each with the stories that have a member of that set; an event looks at the sets that share a
+    token with its own, which gives the candidates and their lexical score."""
+
+    def __init__(self, low: float = LOW, high: float = HIGH, anchor: float | None = None, stress: bool = False):
+        self.low, self.high, self.anchor, self.stress = low, high, anchor, stress
+        self.n = 0  # how many stories
+        self.ids, self.last, self.size, self.length, self.family = (np.zeros(64, np.int64) for _ in range(5))
+        self.norm, self.first_norm = np.zeros(64), np.zeros(64)
+        self.centroid, self.first = np.zeros((64, 0)), np.zeros((64, 0))  # centroids hold single-precision values
+        self.families, self.fits = {}, {}  # family -> number; family -> which of the numbers are compatible with it
+        self.sets, self.rows, self.used = {}, [], []  # token set -> number; its stories, in an array that is filled so far
+        self.members, self.by_token = [], {}  # per set the stories as a set; token -> sets
+
+    def _room(self, width: int) -> None:
+        if self.n == len(self.ids):
+            for name in ("ids", "last", "size", "length", "family", "norm", "first_norm", "centroid", "first"):
+                a = getattr(self, name)
+                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
+        if width > self.centroid.shape[1]:
+            for name in ("centroid", "first"):
+                a = getattr(self, name)
+                setattr(self, name, np.pad(a, ((0, 0), (0, width - a.shape[1]))))
+
+    def _join(self, tokens: frozenset, row: int) -> None:
+        at = self.sets.get(tokens)
+        if at is None:
+            at = self.sets[tokens] = len(self.rows)
+            self.rows.append(np.zeros(4, np.int64))
+            self.used.append(0)
+            self.members.append(set())
+            for t in tokens:
+                self.by_token.setdefault(t, []).append((at, tokens))
+        if row not in self.members[at]:
+            self.members[at].add(row)
+            if self.used[at] == len(self.rows[at]):
+                self.rows[at] = np.concatenate([self.rows[at], np.zeros_like(self.rows[at])])
+            self.rows[at][self.used[at]] = row
+            self.used[at] += 1
+
+    def _fits(self, family: str | None) -> np.ndarray:
+        known = self.fits.get(family)
+        if known is None or len(known) < len(self.families):
+            known = self.fits[family] = np.array([compatible(family, f) for f in self.families], bool)
+        return known
+
+    def _cosine(self, vector: np.ndarray, to: np.ndarray, norms: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        norm = norms[rows] * np.einsum("i,i->", vector, vector)
+        ok = (self.length[rows] == len(vector)) & (norm != 0)
+        dots = np.einsum("ij,j->i", to[rows, : len(vector)], vector)
+        return np.where(ok, dots / np.sqrt(np.where(norm != 0, norm, 1.0)), 0.0)
+
+    def place(self, id_: int, us: int, family: str, tokens: Iterable[str], vector) -> tuple:
+        tokens, vector = frozenset(tokens), np.asarray(vector, np.float64)
+        self._room(len(vector))
+        near = {at: len(tokens & m) / len(tokens | m) for t in tokens for at, m in self.by_token.get(t, ())}
+        lexical = np.zeros(self.n)
+        for at, share in sorted(near.items(), key=lambda x: x[1]):
+            lexical[self.rows[at][: self.used[at]]] = share
+        rows = np.flatnonzero(lexical)
+        best, score = None, None
+        if len(rows):
+            days = np.abs(us - self.last[rows]) / DAY_US
+            scores = 0.60 * self._cosine(vector, self.centroid, self.norm, rows) + 0.25 * lexical[rows] + 0.15 * np.exp(-days * days / (2 * SIGMA_DAYS**2))
+            may = self._fits(family)[self.family[rows]]
+            if self.anchor is not None:
+                may &= self._cosine(vector, self.first, self.first_norm, rows) >= self.anchor
+            if may.any():
+                score = scores[may].max()
+                ties = rows[may & (scores == score)]
+                best = ties[np.argmin(self.ids[ties])]
+            else:
+                score = scores.max()
+            score = float(score)
+        if best is not None and (score >= self.high or self.stress and score >= self.low):
+            row, decision = int(best), "attach" if score >= self.high else "stress_attach"
+            n = self.size[row]
+            moved = ((self.centroid[row, : len(vector)] * n + vector) / (n + 1)).astype(np.float32)
+            self.size[row] = n + 1
+            self.last[row] = max(self.last[row], us)
+        else:
+            decision = "new_no_candidate" if score is None else "new_below_low" if score < self.low else "new_ambiguous"
+            row, self.n = self.n, self.n + 1
+            self.ids[row], self.last[row], self.size[row], self.length[row] = id_, us, 1, len(vector)
+            self.family[row] = self.families.setdefault(family, len(self.families))
+            self.first[row, : len(vector)], self.first_norm[row] = vector, np.einsum("i,i->", vector, vector)
+            moved = vector.astype(np.float32)
+        self.centroid[row, : len(vector)] = moved
+        kept = self.centroid[row, : len(vector)]
+        self.norm[row] = np.einsum("i,i->", kept, kept)
+        self._join(tokens, row)
+        return id_, int(self.ids[row]), decision, score
+
+
 def fold(events: Iterable[tuple], **options) -> list[tuple]:
     """(event_id, story_id, decision, score) of events (event_id, us, family, tokens, vector) in order of (us, event_id).
     A candidate story shares a token with one of its members; posting lists find it. With `anchor`, an event also needs
@@ -112,7 +208,7 @@ def cluster_runs(events: DataFrame, options: dict[str, dict]) -> DataFrame:
             rows = []
             for k, *event in zip(pdf.key, pdf.event_id, pdf.us, pdf.family, pdf.tokens, pdf.vector):
                 if now is None or k != key:
-                    key, now = k, Fold(**options.get(str(k).split("/", 1)[0], options.get("", {})))
+                    key, now = k, ArrayFold(**options.get(str(k).split("/", 1)[0], options.get("", {})))
                 rows.append((k, *now.place(*event)))
             yield pd.DataFrame(rows, columns=["key", "event_id", "story_id", "decision", "score"])
 
