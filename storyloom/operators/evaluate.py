@@ -194,7 +194,11 @@ def cluster_evaluation(assigned: DataFrame, labels: DataFrame, keys: list[str] =
     """One row (per `keys` of `assigned`): recall of same pairs, separation of different ones, precision of joint clusters, accuracy. `assigned` is
     (event_id, story_id), `labels` is (a, b, same)."""
     one = lambda side: assigned.select(*keys, F.col("event_id").alias(side), F.col("story_id").alias(f"story_{side}"))
-    j = labels.join(one("a"), "a").join(one("b"), ["b", *keys]).withColumn("together", F.col("story_a") == F.col("story_b"))
+    return cluster_rates(labels.join(one("a"), "a").join(one("b"), ["b", *keys]).withColumn("together", F.col("story_a") == F.col("story_b")), keys)
+
+
+def cluster_rates(j: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """The same from pairs that hold both the truth and the outcome: (same, together)."""
     c = j.groupBy(*keys).agg(*[F.count_if(cond).alias(n) for n, cond in {
         "same": F.col("same"), "same_kept": F.col("same") & F.col("together"), "different": ~F.col("same"),
         "different_kept": ~F.col("same") & ~F.col("together"), "together": F.col("together")}.items()], F.count("*").alias("n"))

@@ -34,3 +34,13 @@ def test_an_event_costs_no_call_per_candidate():
     for e in events:
         now.place(*e)
     assert now.n > 300 and time.process_time() - start < one_by_one / 2
+
+
+def test_evaluation_joins_no_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from storyloom.plans import streams
+
+    homes = spark.range(9).select(F.col("id").alias("event_id"), F.col("id").alias("homes"))
+    plan = streams._placed(spark, "/root/testdata/sf0.001", homes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")] and "Join" in plan
