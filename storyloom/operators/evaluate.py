@@ -19,10 +19,14 @@ def ratio(n: Column, of: Column, empty: float) -> Column:
 def threshold_metrics(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """Confusion counts and rates at each threshold; `pairs` is (same: boolean, hybrid). Pairs are counted once, in the
     interval between thresholds they fall into, and the counts are summed up along the handful of thresholds."""
+    level = sum((F.col("hybrid") >= t).cast("int") for t in thresholds)
+    return threshold_rates(pairs.groupBy(level.alias("level")).agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d")), thresholds)
+
+
+def threshold_rates(counts: DataFrame, thresholds: list[float]) -> DataFrame:
+    """The same from (level, s, d): how many pairs of either truth reach `level` of the thresholds and no more."""
     ts = sorted(thresholds)
-    level = sum((F.col("hybrid") >= t).cast("int") for t in ts)
-    counts = pairs.groupBy(level.alias("level")).agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d"))
-    grid = pairs.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(ts)], "at int, threshold double")
+    grid = counts.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(ts)], "at int, threshold double")
     total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
     over = F.col("level") >= F.col("at")
     joined = grid.join(F.broadcast(counts))  # a row per threshold on either side
@@ -36,9 +40,13 @@ def threshold_metrics(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
 def zone_sweep(pairs: DataFrame, lows: tuple[int, int], highs: tuple[int, int], gap: int = 3, per: int = 200) -> DataFrame:
     """Two-threshold zones on a grid of integers over `per` (so no step drifts): merge at or above high, new below low."""
     level = F.least(F.greatest(F.floor(F.col("hybrid") * per + F.lit(1e-9)), F.lit(lows[0] - 1)), F.lit(highs[1]))
-    counts = pairs.groupBy(level.cast("int").alias("level")).agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d"))
+    return zone_rates(pairs.groupBy(level.cast("int").alias("level")).agg(F.count_if("same").alias("s"), F.count_if(~F.col("same")).alias("d")), lows, highs, gap)
+
+
+def zone_rates(counts: DataFrame, lows: tuple[int, int], highs: tuple[int, int], gap: int = 3) -> DataFrame:
+    """The same from (level, s, d): how many pairs of either truth are on each step of the grid."""
     zones = [(lo, hi) for lo in range(lows[0], lows[1] + 1) for hi in range(max(lo + gap, highs[0]), highs[1] + 1)]
-    grid = pairs.sparkSession.createDataFrame(zones, "low int, high int")
+    grid = counts.sparkSession.createDataFrame(zones, "low int, high int")
     total = lambda what, cond: F.coalesce(F.sum(F.when(cond, what)), F.lit(0))
     merge, new = F.col("level") >= F.col("high"), F.col("level") < F.col("low")
     n = F.col("s") + F.col("d")
@@ -169,20 +177,29 @@ def severity(gap: Column, endpoint: Column, left: Column, right: Column, high: f
     return base + F.coalesce(F.greatest(F.lit(0.0), F.lit(high) - endpoint) * 100, F.lit(0.0)) + F.least(left, right) * 10
 
 
-def bridge_triads(pairs: DataFrame, low: float, high: float) -> DataFrame:
-    """Suspicious triads: two strong edges that meet, whose outer ends do not hold together. `pairs` is (a, b, hybrid,
-    compatible, label)."""
-    strong = pairs.where((F.col("hybrid") >= high) & F.col("compatible"))
+def triads(strong: DataFrame) -> DataFrame:
+    """(center, x, y, hx, hy): two of the edges (a, b, hybrid) that meet in a center, their outer ends x below y."""
     edges = strong.select(F.col("a").alias("center"), F.col("b").alias("end"), "hybrid").unionByName(strong.select(F.col("b").alias("center"), F.col("a").alias("end"), "hybrid"))
     left = edges.select("center", F.col("end").alias("x"), F.col("hybrid").alias("hx"))
     right = edges.select("center", F.col("end").alias("y"), F.col("hybrid").alias("hy"))
-    triads = left.join(right, "center").where("x < y")
+    return left.join(right, "center").where("x < y")
+
+
+def suspicious(triads: DataFrame, pairs: DataFrame, low: float, high: float) -> DataFrame:
+    """Those of the triads whose outer ends do not hold together; `pairs` (a, b, hybrid, compatible, label) holds at least
+    every scored pair of such ends."""
     direct = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("hybrid").alias("direct"), "compatible", "label")
     t = triads.join(direct, ["x", "y"], "left")
     t = t.withColumn("gap", gap_class(F.col("direct"), F.coalesce("compatible", F.lit(True)), F.col("label"), low, high)).where(F.col("gap").isin(*SUSPICIOUS))
     return t.withColumn("severity", severity(F.col("gap"), F.col("direct"), F.col("hx"), F.col("hy"), high))
 
 
+def bridge_triads(pairs: DataFrame, low: float, high: float) -> DataFrame:
+    """Suspicious triads: two strong edges that meet, whose outer ends do not hold together. `pairs` is (a, b, hybrid,
+    compatible, label)."""
+    return suspicious(triads(pairs.where((F.col("hybrid") >= high) & F.col("compatible"))), pairs, low, high)
+
+
 def bridge_candidates(triads: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("gap") == g).alias(g) for g in WEIGHTS]
     out = triads.groupBy("center").agg(F.count("*").alias("triads"), *counts, F.max("severity").alias("max_severity"))

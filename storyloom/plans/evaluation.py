@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,32 @@ _RAW_OK = re.sub(r"\bf([ab])\b", lambda m: {"a": "x", "b": "y"}[m[1]] + ".family
 _ID = "sp2 AS (SELECT a || ':' || b AS pair_id, la = lb AS same, hybrid FROM sp)"
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_pairs(spark, sf_dir, "hybrid", "a_label", "b_label").select((F.col("a_label") == F.col("b_label")).alias("same"), "hybrid")
+def _counted(spark: SparkSession, sf_dir: str, level) -> DataFrame:
+    """(level, same, n, least, most): how many scored pairs of the same and of different labels have a level of their score,
+    the least score and the greatest. Pairs are counted where they are scored: a few rows leave a batch of them."""
+
+    def fold(out: dict) -> dict:
+        same = pc.fill_null(pc.equal(out["a_label"], out["b_label"]).cast(pa.int8()), -1).to_numpy(zero_copy_only=False)
+        kinds, at = np.unique(level(out["hybrid"]).astype(np.int64) * 4 + same, return_inverse=True)
+        scores, counts = out["hybrid"][np.argsort(at, kind="stable")], np.bincount(at)
+        start = np.cumsum(counts) - counts
+        levels = (kinds + 1) // 4
+        truth = pa.array(kinds - levels * 4 == 1, mask=kinds - levels * 4 < 0)
+        return {"level": levels.astype(np.int32), "same": truth, "n": counts.astype(np.int64), "least": np.minimum.reduceat(scores, start), "most": np.maximum.reduceat(scores, start)}
+
+    p = scored_pairs(spark, sf_dir, "hybrid", "a_label", "b_label", fold=(fold, "level int, same boolean, n long, least double, most double"))
+    return p.groupBy("level", "same").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def _truths(counted: DataFrame) -> DataFrame:
+    """(level, s, d): pairs of the same and of different labels."""
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    return counted.groupBy("level").agg(total(F.col("same")).alias("s"), total(~F.col("same")).alias("d"))
+
+
+def _by_threshold(spark, sf_dir):
+    ts = np.sort(_THRESHOLDS)
+    return _truths(_counted(spark, sf_dir, lambda h: np.searchsorted(ts, h, "right")))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +71,7 @@ def quantiles_of_scores(spark, sf_dir):
 
 @query(f"WITH {PAIRS_SQL}, t AS (SELECT unnest([{', '.join(map(str, _THRESHOLDS))}])::DOUBLE AS threshold) SELECT threshold, count(*) FILTER (hybrid >= threshold) AS kept FROM sp, t GROUP BY 1")
 def kept_by_threshold(spark, sf_dir):
-    m = E.threshold_metrics(_labelled(spark, sf_dir), _THRESHOLDS)
+    m = E.threshold_rates(_by_threshold(spark, sf_dir), _THRESHOLDS)
     return m.select("threshold", (F.col("tp") + F.col("fp")).alias("kept"))
 
 
@@ -53,7 +80,7 @@ def kept_by_threshold(spark, sf_dir):
  r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1 END AS r FROM c)
  SELECT threshold, tp, fp, tn, fn, round(p, 6) AS "precision", round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM r""")
 def threshold_metrics(spark, sf_dir):
-    m = E.threshold_metrics(_labelled(spark, sf_dir), _THRESHOLDS)
+    m = E.threshold_rates(_by_threshold(spark, sf_dir), _THRESHOLDS)
     return m.select("threshold", "tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy")])
 
 
@@ -63,7 +90,8 @@ def threshold_metrics(spark, sf_dir):
  r AS (SELECT *, CASE WHEN merged > 0 THEN mr / merged ELSE 1 END AS mp, CASE WHEN fresh > 0 THEN fr / fresh ELSE 1 END AS np FROM c)
  SELECT low, high, merged, fresh, round(mp, 6) AS merge_precision, round(np, 6) AS new_precision, round((merged + fresh) / n, 6) AS coverage, mp >= 0.97 AND np >= 0.97 AS safe, merged >= 5 AND fresh >= 5 AS support_ok FROM r""")
 def zone_sweep(spark, sf_dir):
-    z = E.zone_sweep(_labelled(spark, sf_dir), (120, 138), (128, 156))
+    counts = _counted(spark, sf_dir, lambda h: np.clip(np.nan_to_num(np.floor(h * 200 + 1e-9)), 119, 156))
+    z = E.zone_rates(_truths(counts), (120, 138), (128, 156))
     return z.select("low", "high", "merged", "fresh", *[F.round(c, 6).alias(c) for c in ("merge_precision", "new_precision", "coverage")], "safe", "support_ok")
 
 
@@ -111,8 +139,16 @@ _TRIADS = f"""{PAIRS_SQL}, c AS (SELECT a, b, hybrid, {_COMPAT} AS ok FROM sp),
  count(*) FILTER (gap = 'not_shortlisted') AS not_shortlisted, round(max(sev), 4) AS max_severity, CASE WHEN bool_or(gap IN ('family_block', 'below_low')) THEN 'high' WHEN bool_or(gap = 'ambiguous_gap') THEN 'medium' ELSE 'review' END AS risk FROM s GROUP BY 1""")
 def bridge_triads(spark, sf_dir):
     """Events that hold together others which do not; thresholds fit the invented vectors' scores."""
-    p = scored_pairs(spark, sf_dir, "hybrid", "a_family", "b_family").select("a", "b", "hybrid", V.family_compatible(F.col("a_family"), F.col("b_family")).alias("compatible"), F.lit(None).cast("string").alias("label"))
-    c = E.bridge_candidates(E.bridge_triads(kept(p), 0.3, 0.4))
+    def pairs(**options):
+        p = scored_pairs(spark, sf_dir, "hybrid", "a_family", "b_family", **options)
+        return p.select("a", "b", "hybrid", V.family_compatible(F.col("a_family"), F.col("b_family")).alias("compatible"), F.lit(None).cast("string").alias("label"))
+
+    # Strong pairs are few. How the outer ends of their triads stand to one another is scored anew, for those ends alone,
+    # so that the other pairs are neither written nor joined.
+    strong = kept(pairs(least=0.4).where("compatible").select("a", "b", "hybrid"))
+    triads = E.triads(strong)
+    ends = triads.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    c = E.bridge_candidates(E.suspicious(triads, pairs(only=ends), 0.3, 0.4))
     return c.select("center", "triads", "family_block", "below_low", "ambiguous_gap", "not_shortlisted", F.round("max_severity", 4).alias("max_severity"), "risk")
 
 
@@ -163,8 +199,8 @@ def representative_members(spark, sf_dir):
 
 @query(f"""WITH {PAIRS_SQL}, c AS (SELECT a, b, hybrid, floor(hybrid * 20)::INT AS bucket, la = lb AS same FROM sp) SELECT bucket, same, count(*) AS pairs, round(min(hybrid), 6) AS least, round(max(hybrid), 6) AS most FROM c GROUP BY 1, 2""")
 def score_histogram(spark, sf_dir):
-    p = _labelled(spark, sf_dir)
-    return p.groupBy(F.floor(F.col("hybrid") * 20).cast("int").alias("bucket"), "same").agg(F.count("*").alias("pairs"), F.round(F.min("hybrid"), 6).alias("least"), F.round(F.max("hybrid"), 6).alias("most"))
+    c = _counted(spark, sf_dir, lambda h: np.nan_to_num(np.floor(h * 20)))
+    return c.select(F.col("level").alias("bucket"), "same", F.col("n").alias("pairs"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,49 @@ def test_samples_take_what_a_full_sort_takes(spark):
     spread = {order[math.floor(i * 899 / 99 + 0.5)] for i in range(100)}
     near = sorted((r for r in rows if r not in spread), key=lambda r: (abs(r[1] - 0.65), __import__("hashlib").sha256(r[0].encode()).hexdigest()[:12], r[0]))[:50]
     assert got == {(r[0], "spectrum") for r in spread} | {(r[0], "decision_focus") for r in near}
+
+
+def test_cells_give_what_is_asked_for(spark, monkeypatch):
+    r = _records(spark).cache()
+    monkeypatch.setattr(B, "BLOCK", 11)
+    every = B.block_pairs(r, "id", ["hybrid", "reasons", "lex", "tmp", "emb", "n_people", "n_relations", "n_clubs", "n_salient", "kin"], vector="vec")
+    spelled = F.concat_ws(",", *[F.when(c, x) for c, x in B.reason_columns().values()])
+    rows = every.select("a", "b", "hybrid", "reasons", spelled.alias("spelled"), F.round(V.hybrid(F.col("emb"), F.col("lex"), F.col("tmp")), 9).alias("h")).collect()
+    assert len(rows) > 500 and all(x.reasons == x.spelled and math.isclose(x.hybrid, x.h, abs_tol=1e-9) for x in rows)
+    high = B.block_pairs(r, "id", ["hybrid"], vector="vec", least=0.5).collect()
+    assert sorted(map(tuple, high)) == sorted((x.a, x.b, x.hybrid) for x in rows if x.hybrid >= 0.5) and 0 < len(high) < len(rows)
+    some = sorted((x.a, x.b, x.hybrid) for x in rows)[::7]
+    asked = spark.createDataFrame([x[:2] for x in some] + [(0, 100_000), (3, 0)], "a long, b long")  # not there, and named the wrong way round
+    extra = [x for x in sorted((x.a, x.b, x.hybrid) for x in rows) if x[:2] == (0, 3)]
+    got = sorted(map(tuple, B.block_pairs(r, "id", ["hybrid"], vector="vec", only=asked).collect()))
+    assert got == sorted({*some, *extra})
+
+
+def test_pairs_are_counted_where_they_are_scored(spark, monkeypatch):
+    from storyloom.plans import evaluation
+
+    monkeypatch.setattr(B, "BLOCK", 11)
+    monkeypatch.setattr(stories, "records", lambda *_: _records(spark).withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label"))).withColumnRenamed("id", "event_id").withColumnRenamed("vec", "embedding"))
+    p = stories.scored_pairs(spark, "", "hybrid", "a_label", "b_label").select((F.col("a_label") == F.col("b_label")).alias("same"), "hybrid")
+    want = p.groupBy(F.floor(F.col("hybrid") * 20).cast("int").alias("bucket"), "same").agg(F.count("*").alias("pairs"), F.round(F.min("hybrid"), 6).alias("least"), F.round(F.max("hybrid"), 6).alias("most"))
+    got = evaluation.score_histogram(spark, "")
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in want.collect()} and any(x.same is None for x in got.collect())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "a_label" not in plan  # no pair leaves its cell
+    m = E.threshold_metrics(p, evaluation._THRESHOLDS)
+    cut = evaluation.threshold_metrics(spark, "")
+    assert {tuple(x)[:5] for x in m.collect()} == {tuple(x)[:5] for x in cut.collect()}
+
+
+def test_bridges_write_and_join_strong_pairs_only(spark, monkeypatch):
+    from storyloom.plans import evaluation
+
+    written = []
+    monkeypatch.setattr(B, "BLOCK", 11)
+    monkeypatch.setattr(stories, "records", lambda *_: _records(spark).withColumn("person", F.lit(1)).withColumnRenamed("id", "event_id").withColumnRenamed("vec", "embedding"))
+    monkeypatch.setattr(evaluation, "kept", lambda df: written.append(df.cache()) or written[-1])
+    got = {tuple(x) for x in evaluation.bridge_triads(spark, "").collect()}
+    assert written[0].where("hybrid < 0.4").count() == 0 < written[0].count()
+    p = stories.scored_pairs(spark, "", "hybrid", "a_family", "b_family").select("a", "b", "hybrid", V.family_compatible(F.col("a_family"), F.col("b_family")).alias("compatible"), F.lit(None).cast("string").alias("label"))
+    c = E.bridge_candidates(E.bridge_triads(p, 0.3, 0.4))
+    assert got == {tuple(x) for x in c.select("center", "triads", "family_block", "below_low", "ambiguous_gap", "not_shortlisted", F.round("max_severity", 4), "risk").collect()} and got
