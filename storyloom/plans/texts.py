@@ -9,7 +9,7 @@ from storyloom.functions import text as T
 from storyloom.operators import relevance as R
 from storyloom.plans.registry import query
 from storyloom.sources import pages as P
-from storyloom.sources.tables import ARTICLES_SQL, articles, load
+from storyloom.sources.tables import ARTICLES_SQL, articles, load, spread
 
 #: A small dictionary over the invented languages: topic, alias, strength.
 ALIASES = [
@@ -42,6 +42,14 @@ _EVIDENCE = f"""{ARTICLES_SQL},
    WHEN we THEN 'weak_alias_excerpt' WHEN wl THEN 'weak_alias_lead' ELSE 'club_not_relevant' END AS reason_code FROM g)"""
 
 
+def _texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id")
+
+
 def dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ALIASES, "topic string, alias string, strength string")
 
@@ -61,7 +69,7 @@ def alias_evidence(spark, sf_dir):
  SELECT doc_id, CASE WHEN p - 1 - 120 > 0 THEN '…' ELSE '' END || trim(substr(v, greatest(p - 121, 0) + 1, least(length(v), p + 127) - greatest(p - 121, 0)))
    || CASE WHEN p + 127 < length(v) THEN '…' ELSE '' END AS context FROM d WHERE p > 0""")
 def alias_context(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", T.alias_context(F.col("text"), F.lit("the anea")).alias("context"))
+    d = _texts(spark, sf_dir).select("doc_id", T.alias_context(F.col("text"), F.lit("the anea")).alias("context"))
     return d.where("context is not null")
 
 
@@ -74,13 +82,13 @@ _TOKENS = lambda x: f"list_filter(list_distinct(string_split({_TOPIC(x)}, ' ')),
 
 @query(f"SELECT doc_id, md5({_TOPIC('text')}) AS folded, length({_TOPIC('text')}) AS n FROM documents")
 def text_fold(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", T.topic_normal(F.col("text")).alias("t"))
+    d = _texts(spark, sf_dir).select("doc_id", T.topic_normal(F.col("text")).alias("t"))
     return d.select("doc_id", F.md5(F.encode("t", "UTF-8")).alias("folded"), F.length("t").alias("n"))
 
 
 @query(f"SELECT doc_id, len({_TOKENS('text')}) AS n_tokens, md5(array_to_string(list_sort({_TOKENS('text')}), ' ')) AS tokens FROM documents")
 def tokens_distinct(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    d = _texts(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.encode(F.array_join(F.array_sort("t"), " "), "UTF-8")).alias("tokens"))
 
 
@@ -91,7 +99,7 @@ _DF = f"t AS (SELECT doc_id, lang, unnest({_TOKENS('text')}) AS token FROM docum
 def idf_weights(spark, sf_dir):
     """Document frequency and weight of every token. The corpus size is a one-row aggregate."""
     d = load(spark, sf_dir, "documents")
-    df = d.select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    df = _texts(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     n = d.agg(F.count("*").alias("n"))
     weight = F.lit(1.0) + F.log((n.scalar() + 1) / (F.col("df") + 1))
     return df.withColumn("w", weight).select("token", "df", F.round("w", 6).alias("weight"), ((F.length("token") >= 4) & (F.col("w") >= 1.35)).alias("salient"))
@@ -104,7 +112,7 @@ def df_context(spark, sf_dir):
     """Per language: how many documents a token may be in to tell stories apart, the incoming one counted."""
     d = load(spark, sf_dir, "documents")
     docs = d.groupBy("lang").agg(F.count("*").alias("docs"))
-    df = d.select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("df"))
+    df = _texts(spark, sf_dir, "lang").select("lang", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("df"))
     limit = F.greatest(F.lit(3), F.ceil((F.col("docs") + 1) * F.lit(0.03))).cast("long")
     joined = df.join(F.broadcast(docs), "lang").withColumn("max_df", limit)  # one row per language
     return joined.groupBy("lang", (F.col("docs") + 1).alias("event_count"), "max_df").agg(F.count_if(F.col("df") + 1 <= F.col("max_df")).alias("discriminant"), F.count_if(F.col("df") + 1 > F.col("max_df")).alias("common"))
@@ -172,8 +180,9 @@ def structured_repr(spark, sf_dir):
  SELECT doc_id, count(*) AS anchors, count(*) FILTER (items = 1) AS linked, count(*) FILTER (items > 1) AS ambiguous, count(*) FILTER (items IS NULL) AS unmatched, min(CASE WHEN items = 1 THEN item END) AS item_id FROM d LEFT JOIN m ON anchor = alias WHERE anchor <> '' GROUP BY 1""")
 def dictionary_resolve(spark, sf_dir):
     """The sentences of every whole document looked up among those of the items: one hit links, several are ambiguous, none
-    is unmatched. Equal normal forms only, so a lookup is an equi-join; a document's repeated sentence counts once."""
-    named = lambda name, key: load(spark, sf_dir, name).select(key, F.explode(F.split("text", r"\.")).alias("s")).select(key, T.topic_normal(F.col("s")).alias("anchor")).where("anchor != ''").distinct()
+    is unmatched. Equal normal forms only, so a lookup is an equi-join; a document's repeated sentence counts once. A
+    document is dealt out whole, so its sentences are made distinct, and counted, where it lies."""
+    named = lambda name, key: spread(load(spark, sf_dir, name).select(key, "text"), key).select(key, F.explode(F.split("text", r"\.")).alias("s")).select(key, T.topic_normal(F.col("s")).alias("anchor")).where("anchor != ''").distinct()
     m = named("benchmark", "item_id").groupBy("anchor").agg(F.count("*").alias("items"), F.min("item_id").alias("item"))
     d = named("documents", "doc_id").join(m, "anchor", "left")
     one = F.col("items") == 1
@@ -190,7 +199,7 @@ _MAIN = f"""trim(regexp_replace(array_to_string(list_filter(list_transform(regex
 
 @query(f"SELECT page_id, {_TITLE} AS title, md5({_MAIN}) AS main, length({_MAIN}) AS n FROM pages")
 def html_fields(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", F.coalesce(T.first_tag_text(F.col("html"), "title", "h1"), F.lit("")).alias("title"), T.main_text(F.col("html")).alias("m"))
+    p = _pages(spark, sf_dir).select("page_id", F.coalesce(T.first_tag_text(F.col("html"), "title", "h1"), F.lit("")).alias("title"), T.main_text(F.col("html")).alias("m"))
     return p.select("page_id", "title", F.md5(F.encode("m", "UTF-8")).alias("main"), F.length("m").alias("n"))
 
 
@@ -198,7 +207,7 @@ def html_fields(spark, sf_dir):
  SELECT page_id, CASE WHEN regexp_matches(url, '/(login|connexion|contact|classement)(/|$)') THEN 'rejected' WHEN length(title) < 12 THEN 'rejected' WHEN length(body) < 120 THEN 'needs_content' ELSE 'usable' END AS status,
  CASE WHEN regexp_matches(url, '/(login|connexion|contact|classement)(/|$)') THEN 'navigation_page' WHEN length(title) < 12 THEN 'insufficient_title' WHEN length(body) < 120 THEN 'insufficient_content' END AS reason_code FROM p""")
 def technical_classifier(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"), T.first_tag_text(F.col("html"), "title").alias("title"), T.main_text(F.col("html")).alias("body"))
+    p = _pages(spark, sf_dir).select("page_id", F.lower("url").alias("url"), T.first_tag_text(F.col("html"), "title").alias("title"), T.main_text(F.col("html")).alias("body"))
     status, reason = R.technical_status(F.col("url"), F.col("title"), F.lit(""), F.col("body"))
     return p.select("page_id", status.alias("status"), reason.alias("reason_code"))
 
@@ -213,24 +222,24 @@ def url_canonical(spark, sf_dir):
  SELECT page_id, link, min(pos)::INT AS first_pos, count(*) AS times FROM r GROUP BY 1, 2""")
 def html_links(spark, sf_dir):
     """Anchors of a page, first place first; relative paths are put under the page's host."""
-    return P.anchors(load(spark, sf_dir, "pages"))
+    return P.anchors(_pages(spark, sf_dir))
 
 
 @query()
 def page_discovery(spark, sf_dir):
     """The gated link listing of the crawl, at most 50 links per page, first wins."""
-    return P.discover_links(load(spark, sf_dir, "pages"))
+    return P.discover_links(_pages(spark, sf_dir))
 
 
 @query()
 def page_bodies(spark, sf_dir):
     """Readable body, cut at 40 000 characters, with its status."""
-    return P.bodies(load(spark, sf_dir, "pages"))
+    return P.bodies(_pages(spark, sf_dir))
 
 
 @query()
 def entity_decode(spark, sf_dir):
-    p = load(spark, sf_dir, "pages").select("page_id", P.decode_entities(T.first_tag_text(F.col("html"), "title")).alias("title"))
+    p = _pages(spark, sf_dir).select("page_id", P.decode_entities(T.first_tag_text(F.col("html"), "title")).alias("title"))
     return p.withColumn("repaired", P.repair_mojibake(F.col("title")))
 
 
