@@ -19,7 +19,7 @@ from storyloom.plans.registry import query
 from storyloom.plans.stories import _FAMILY_OK, PAIRS_SQL, scored_pairs
 from storyloom.plans.texts import _MAIN, _TITLE
 from storyloom.sources.sinks import kept
-from storyloom.sources.tables import EVENTS_SQL, events, load
+from storyloom.sources.tables import EVENTS_SQL, events, load, spread
 
 _THRESHOLDS = [i / 200 for i in range(60, 157, 8)]
 _COMPAT = _FAMILY_OK
@@ -164,7 +164,7 @@ def length_percentiles(spark, sf_dir):
  SELECT host, count(*) AS pages, count(*) FILTER (n >= 200) AS usable, round(count(*) FILTER (n >= 200) / count(*), 6) AS rate, median(n) AS median_chars, max(t) AS longest_title FROM p GROUP BY 1""")
 def extractor_compare(spark, sf_dir):
     """Usable bodies (200 characters or more) and their median length per host."""
-    p = load(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.char_length(T.main_text(F.col("html"))).alias("n"), F.char_length(T.first_tag_text(F.col("html"), "title")).alias("t"))
+    p = kept(spread(load(spark, sf_dir, "pages").select("page_id", "url", "html"), "page_id").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.char_length(T.main_text(F.col("html"))).alias("n"), F.char_length(T.first_tag_text(F.col("html"), "title")).alias("t")))  # three numbers a page, written once: medians read them twice more
     usable = F.count_if(F.col("n") >= 200)
     g = p.groupBy("host").agg(F.count("*").alias("pages"), usable.alias("usable"), F.round(usable / F.count("*"), 6).alias("rate"), F.coalesce(F.max("t"), F.lit(0)).alias("longest_title"))
     return g.join(E.quantiles(p, "n", {"median_chars": 0.5}, ["host"], per=1 / 64).drop("n"), "host", "left")
