@@ -33,12 +33,17 @@ def _counted(spark: SparkSession, sf_dir: str, level) -> DataFrame:
 
     def fold(out: dict) -> dict:
         same = pc.fill_null(pc.equal(out["a_label"], out["b_label"]).cast(pa.int8()), -1).to_numpy(zero_copy_only=False)
-        kinds, at = np.unique(level(out["hybrid"]).astype(np.int64) * 4 + same, return_inverse=True)
-        scores, counts = out["hybrid"][np.argsort(at, kind="stable")], np.bincount(at)
-        start = np.cumsum(counts) - counts
+        kinds = level(out["hybrid"]).astype(np.int64) * 4 + same
+        at = kinds - kinds.min()  # levels are few
+        counts = np.bincount(at)
+        least, most = np.full(len(counts), np.inf), np.full(len(counts), -np.inf)
+        np.minimum.at(least, at, out["hybrid"])
+        np.maximum.at(most, at, out["hybrid"])
+        found = np.flatnonzero(counts)
+        kinds = found + kinds.min()
         levels = (kinds + 1) // 4
         truth = pa.array(kinds - levels * 4 == 1, mask=kinds - levels * 4 < 0)
-        return {"level": levels.astype(np.int32), "same": truth, "n": counts.astype(np.int64), "least": np.minimum.reduceat(scores, start), "most": np.maximum.reduceat(scores, start)}
+        return {"level": levels.astype(np.int32), "same": truth, "n": counts[found], "least": least[found], "most": most[found]}
 
     p = scored_pairs(spark, sf_dir, "hybrid", "a_label", "b_label", fold=(fold, "level int, same boolean, n long, least double, most double"))
     return p.groupBy("level", "same").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))

@@ -15,7 +15,8 @@ from storyloom.operators import queues
 from storyloom.operators import sparse as S
 from storyloom.plans.registry import ORACLES, query
 from storyloom.plans.texts import _TOKENS, _TOPIC
-from storyloom.sources.tables import ARTICLES_SQL, EVENTS_SQL, MATCH_SQL, articles, events, load, match_events
+from storyloom.sources.sinks import kept
+from storyloom.sources.tables import ARTICLES_SQL, EVENTS_SQL, MATCH_SQL, articles, events, load, match_events, matched
 
 
 @query(f"""WITH {EVENTS_SQL} SELECT a.event_id AS a, b.event_id AS b, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 3600000000, 4) AS hours
@@ -84,8 +85,13 @@ PAIRS_SQL = f"""{RECORDS_SQL}, cp AS (SELECT a.event_id AS a, b.event_id AS b, a
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that have a vector, with it and their salient tokens; a story is the first person's."""
-    e = match_events(spark, sf_dir).join(load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), F.col("event_id") == F.col("vec_id")).drop("vec_id")
+    """Events that have a vector, with it and their salient tokens; a story is the first person's. Few events have one: they
+    are found by their ids before anything is worked out about an event, and written once, as they are read several times."""
+    v = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    ends = v.agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last")).first()
+    own = F.col("event_id") == F.col("vec_id")
+    near = load(spark, sf_dir, "events").where(F.col("event_id").between(ends["first"], ends["last"]))  # skips what a file says it does not hold
+    e = kept(matched(near.join(v.select("vec_id"), own, "left_semi").join(v, own), "label", "embedding"))
     most = e.agg(F.greatest(F.lit(3), F.ceil(F.count("*") * F.lit(0.03))).alias("n")).scalar()
     long = e.select("event_id", F.explode("tokens").alias("token"))
     rare = long.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") <= most).select("token")

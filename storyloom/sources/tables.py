@@ -70,7 +70,12 @@ FAMILY_OF = {"signup": "transfer", "view": "contract", "click": "match", "purcha
 def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they are matched: two to an article, a known or unknown family, people, one or two clubs, now and then a
     relation to a club, and lexical tokens."""
-    e = load(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return matched(load(spark, sf_dir, "events"))
+
+
+def matched(e: DataFrame, *others: str) -> DataFrame:
+    """Rows of the events table as `match_events` gives them, with `others` of their columns."""
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     family = F.coalesce(F.create_map(*[F.lit(x) for p in FAMILY_OF.items() for x in p])[F.col("event_type")], F.lit("unknown"))
     name = lambda kind, n: F.concat(F.lit(kind), n.cast("string"))
     none = F.array().cast("array<string>")
@@ -79,6 +84,7 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_distinct(F.array(name("club", F.col("user_id") % 23), name("club", F.col("k") % 29))).alias("clubs"),
         F.when(F.col("value") > 60, F.array(name("club", F.col("k") % 31))).otherwise(none).alias("relations"),
         F.array(name("tok", F.col("k")), name("tak", F.col("k") % 50), name("tek", F.col("event_id") % 37), name("tik", F.col("event_id") % 74)).alias("tokens"),
+        *others,
     )
 
 

@@ -107,3 +107,49 @@ def test_bridges_write_and_join_strong_pairs_only(spark, monkeypatch):
     p = stories.scored_pairs(spark, "", "hybrid", "a_family", "b_family").select("a", "b", "hybrid", V.family_compatible(F.col("a_family"), F.col("b_family")).alias("compatible"), F.lit(None).cast("string").alias("label"))
     c = E.bridge_candidates(E.bridge_triads(p, 0.3, 0.4))
     assert got == {tuple(x) for x in c.select("center", "triads", "family_block", "below_low", "ambiguous_gap", "not_shortlisted", F.round("max_severity", 4), "risk").collect()} and got
+
+
+def test_events_are_read_once_and_only_those_with_a_vector(spark, monkeypatch):
+    from __spark_entry__ import SMOKE
+
+    seen = []
+    monkeypatch.setattr(stories, "matched", lambda e, *others, real=stories.matched: seen.append(e.count()) or real(e, *others))
+    p = stories.scored_pairs(spark, SMOKE, "hybrid")
+    assert seen == [spark.read.parquet(f"{SMOKE}/embeddings.parquet").join(spark.read.parquet(f"{SMOKE}/events.parquet"), F.expr("vec_id = event_id")).count()]
+    assert p.inputFiles() and not [f for f in p.inputFiles() if "events.parquet" in f or "embeddings.parquet" in f]
+
+
+def test_blocks_are_sent_as_one_value(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK", 30)
+    calls = []
+    monkeypatch.setattr(B.F, "explode", lambda c, real=F.explode: calls.append(c) or real(c))
+    plan = B.block_pairs(_records(spark), "id", ["hybrid"], vector="vec")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode") :]  # what is multiplied by the number of blocks: packed blocks, not rows
+    assert len(calls) == 1 and "MapInArrow _packed" in below
+
+
+def test_tiles_count_what_sets_have_in_common(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "TALL", 7)
+    monkeypatch.setattr(B, "WIDE", 19)
+    rng = random.Random(11)
+    names = ("people", "clubs", "relations", "salient", "tokens")
+    some = lambda of, most: [rng.choice([None, *map(str, range(of))]) for _ in range(rng.randrange(most + 1))]
+    rows = [{"id": rng.randrange(60) * 5, "article": rng.choice([None, *range(30)]), "family": rng.choice(["a", "b", "unknown", None]), "us": i, "vector": [1.0], "people": some(40, 2), "clubs": some(9, 4), "relations": some(9, 2), "salient": some(20, 14), "tokens": some(20, 14), "at": i % 2} for i in range(101)]
+    for single in (False, True):
+        these = [r | {"block": 0 if single else r["at"], "other": 0 if single else 1 - r["at"], "id": r["id"] * 2 + (0 if single else r["at"])} for r in rows]
+        want = []
+        for i, x in enumerate(these):
+            for y in these[:i]:
+                a, b = sorted((x, y), key=lambda r: r["id"])
+                s = {(n, m): len({*a[n]} & {*b[m]} - {None}) for n in names for m in names}
+                people, clubs, salient, shared = (s[n, n] for n in ("people", "clubs", "salient", "tokens"))
+                relations = s["relations", "relations"] + s["relations", "clubs"] + s["clubs", "relations"]
+                kin = a["family"] == b["family"] and a["family"] not in ("unknown", None)
+                apart = None not in (a["article"], b["article"]) and a["article"] != b["article"] and a["id"] != b["id"]
+                if apart and (single or a["at"] != b["at"]) and (people or relations or clubs >= 2 or salient >= 4 or kin and (salient >= 3 or salient >= 2 and clubs)):
+                    want.append((a["id"], b["id"], people, relations, clubs, salient, kin, shared / max(len({*a["tokens"], *b["tokens"]} - {None}), 1)))
+        asked = ["n_people", "n_relations", "n_clubs", "n_salient", "kin", "lex"]
+        got = [r for out in B._cell(pa.Table.from_pylist(these), asked, [], False) for r in zip(*(out[n].tolist() for n in ("a", "b", *asked)))]
+        assert sorted(got) == sorted(want) and len(want) > 500 and max(w[5] for w in want) > 7
